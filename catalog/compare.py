@@ -25,12 +25,20 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# Spark type -> DuckDB type; anything else must have the same name.
+TYPES = {"string": "varchar", "int": "integer", "timestamp_ntz": "timestamp"}
+
+
 def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when rows and columns agree, else what differs."""
     columns = sorted(df.columns)
     expected = con.sql(sql)
     if columns != sorted(expected.columns):
         return f"columns {columns} against {sorted(expected.columns)}"
+    theirs_by_name = dict(zip(expected.columns, map(str, expected.types), strict=True))
+    for name, dtype in df.dtypes:
+        if TYPES.get(dtype, dtype) != theirs_by_name[name].lower():
+            return f"type of {name}: {dtype} against {theirs_by_name[name]}"
     ours = Counter(tuple(r) for r in df.select(*(f"`{c}`" for c in columns)).collect())
     quoted = ", ".join(f'"{c}"' for c in columns)
     theirs = Counter(con.sql(f"SELECT {quoted} FROM ({sql}) AS q").fetchall())

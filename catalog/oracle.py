@@ -27,8 +27,7 @@ _NUMBERED = """
 
 _OUTCOME = """
     SELECT run_id, CASE WHEN bool_or(result = 'failure' AND critical) THEN 'failure'
-                        WHEN bool_or(result = 'failure') THEN 'partial' ELSE 'success' END AS result,
-           max(finished_at) AS ended_at
+                        WHEN bool_or(result = 'failure') THEN 'partial' ELSE 'success' END AS result
     FROM {fx_steps} GROUP BY run_id"""
 
 _SINCE = """
@@ -105,7 +104,7 @@ _SQL: dict[str, str] = {
         FROM {orders}""",
     "delete_where": "SELECT * FROM {orders} WHERE NOT coalesce(nullif(o_orderstatus, 'P') = 'F', false)",
     "write_counts": """
-        SELECT 'update_where' AS strategy, 0 AS rows_inserted, count(*) AS rows_updated, 0 AS rows_deleted
+        SELECT 'update_where' AS strategy, 0::BIGINT AS rows_inserted, count(*) AS rows_updated, 0::BIGINT AS rows_deleted
         FROM {orders} WHERE o_orderstatus = 'F'
         UNION ALL
         SELECT 'delete_where', 0, 0, count(*) FROM {orders} WHERE o_orderstatus = 'F'""",
@@ -239,9 +238,9 @@ _SQL: dict[str, str] = {
                CASE WHEN a.user_id IN (SELECT user_id FROM recent) THEN TIMESTAMP '2024-01-31 00:00:00'
                     ELSE a.latest_ingestion END AS latest_ingestion
         FROM {{fx_account_state}} a""",
-    "ingest_stream": "SELECT DISTINCT url AS external_game_id, 1 AS n_rows FROM {fx_games}",
+    "ingest_stream": "SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games}",
     "stream_dedupe": """
-        SELECT DISTINCT url AS external_game_id, 1 AS n_rows FROM {fx_games} WHERE end_time IS NOT NULL""",
+        SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games} WHERE end_time IS NOT NULL""",
     # ledger
     "run_outcome": f"SELECT run_id, result FROM ({_OUTCOME})",
     "run_errors": """
@@ -250,7 +249,8 @@ _SQL: dict[str, str] = {
     "ledger_write": f"""
         SELECT l.run_id, l.name, l.user_id,
                CASE WHEN l.result = 'in_progress' THEN o.result ELSE l.result END AS result, l.started_at,
-               CASE WHEN l.result = 'in_progress' THEN o.ended_at ELSE l.finished_at END AS finished_at
+               CASE WHEN l.result = 'in_progress' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE l.finished_at END
+               AS finished_at
         FROM {{fx_ledger}} l JOIN ({_OUTCOME}) o ON o.run_id = l.run_id""",
     "ledger_write_steps": f"""
         SELECT run_id, step_order, name, result, started_at, finished_at, error_message FROM ({_NUMBERED})""",

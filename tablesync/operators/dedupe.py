@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.functions.times import epoch_micros
-from tablesync.operators.guards import any_null
+from tablesync.operators.guards import any_null, guard_not_null
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -48,23 +48,19 @@ def number_in_group(
 
     Groups are cut into time slices. Rows are ranked inside a slice and shifted by
     the number of rows in earlier slices of the group, so one long group is
-    ranked by many tasks. Only slice counts, not rows, meet per group.
+    ranked by many tasks. Only slice counts, not rows, meet per group. A row
+    without group or time has no position and fails the job.
     """
+    df = guard_not_null(df, [group, time], alias)
     rows = df.withColumn("_slice", F.floor(epoch_micros(F.col(time)) / F.lit(slice_seconds * 1_000_000)))
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(group, "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            F.col(group).alias("_group"),
-            F.col("_slice").alias("_at"),
-            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        )
+        .select(group, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     inside = Window.partitionBy(group, "_slice").orderBy(time, *tie)
     ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1)
-    joined = ranked.join(
-        offsets,
-        ranked[group].eqNullSafe(offsets["_group"]) & ranked["_slice"].eqNullSafe(offsets["_at"]),
-    )
+    # The ranked rows are already laid out by the join keys; only the counts move.
+    joined = ranked.join(offsets, [group, "_slice"])
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(alias))

@@ -142,8 +142,12 @@ def merge(
 
     if shape == "auto":
         shape = "split" if fits_broadcast(source) else "full_outer" if on_key else "shuffle_split"
+    state = None
     if shape == "full_outer" and inserting and needs_unique and condition is None:
-        tagged = _full_outer(target, source, contract, keys, changed, on_match, on_target_only)
+        parts = (target, source, contract, keys, changed, on_match, on_target_only)
+        tagged = _full_outer(*parts)
+        if on_target_only == DELETE:
+            state = _full_outer(*parts, source_only=True)
     else:
         tagged = _matched_side(target, source, contract, keys, changed, on_match, on_target_only, condition)
         if inserting:
@@ -154,11 +158,11 @@ def merge(
 
     touched = F.col(ACTION).isin(INSERT, UPDATE)
     tagged = guard_not_null(tagged, contract.required, contract.name, touched)
-
-    state = None
     if on_target_only == DELETE and on_match == UPDATE and inserting and condition is None and names == columns:
-        # Every row of the next state comes from the source.
-        state = guard_not_null(source, contract.required, contract.name)
+        # Every value of the next state comes from the source.
+        state = source
+    if state is not None:
+        state = guard_not_null(state, contract.required, contract.name)
     return WriteOutcome("merge", tagged, tuple(columns), () if on_key else tuple(keys), state)
 
 
@@ -208,12 +212,18 @@ def _unmatched_source(target, source, keys, condition, on_key) -> DataFrame:
     return source.join(hits.distinct(), keys, "left_anti")
 
 
-def _full_outer(target, source, contract, keys, changed, on_match, on_target_only) -> DataFrame:
+def _full_outer(
+    target, source, contract, keys, changed, on_match, on_target_only, source_only=False
+) -> DataFrame:
+    """All rows, tagged; with ``source_only`` just those a full sync leaves, untagged."""
     joined = _join(
         target.withColumn(_HELD, F.lit(1)), source.withColumn(_HIT, F.lit(1)), keys, None, "full_outer"
     )
     held, hit = F.col(_HELD).isNotNull(), F.col(_HIT).isNotNull()
     from_source = hit if on_match == UPDATE else hit & ~held
+    if source_only:
+        # Dropping target-only rows here lets the optimizer narrow the outer join.
+        joined = joined.where(from_source)
 
     def value(c: str) -> Column:
         if c in keys:
@@ -225,7 +235,8 @@ def _full_outer(target, source, contract, keys, changed, on_match, on_target_onl
     action = (
         F.when(held & hit, F.lit(on_match)).when(hit, F.lit(INSERT)).otherwise(F.lit(on_target_only))
     )
-    return joined.select(*(value(c).alias(c) for c in contract.column_names), action.alias(ACTION))
+    tags = () if source_only else (action.alias(ACTION),)
+    return joined.select(*(value(c).alias(c) for c in contract.column_names), *tags)
 
 
 def _guard_new_keys(new, kept, contract, unique_source, unmatched_on_key) -> DataFrame:
