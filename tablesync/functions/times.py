@@ -29,7 +29,11 @@ def ntz(value: datetime | str | Column) -> Column:
 
 
 def epoch_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", ntz(EPOCH), ts)
+    """Microseconds since the epoch. ``timestampdiff`` would go through the session
+    zone and move times that fall in a spring gap; calendar fields do not."""
+    minutes = F.unix_date(ts.cast("date")).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    seconds = F.date_part(F.lit("SECOND"), ts)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
 def to_epoch(ts: Column, unit: str = "ms") -> Column:
@@ -79,7 +83,7 @@ def day_minute_path(ts: Column) -> Column:
 
 def duration_seconds(started: Column, finished: Column) -> Column:
     """Fractional seconds between two times; NULL for a run that is still active."""
-    seconds = F.timestamp_diff("MICROSECOND", started, finished) / F.lit(1_000_000.0)
+    seconds = (epoch_micros(finished) - epoch_micros(started)) / F.lit(1_000_000.0)
     return F.when(finished != ntz(EPOCH), seconds)
 
 

@@ -156,6 +156,12 @@ def merge(
                 new = _guard_new_keys(new, tagged, contract, needs_unique, on_key and condition is None)
             tagged = tagged.unionByName(tag(new, INSERT))
 
+    if validate and on_match == UPDATE and set(changed) & set(contract.primary_key):
+        # Matching on other columns may rewrite keys: check them all.
+        live = tagged.where(F.col(ACTION) != DELETE)
+        clashes = duplicate_keys(live, list(contract.primary_key))
+        tagged = guard_empty(tagged, clashes, f"primary key clash in {contract.name}")
+
     touched = F.col(ACTION).isin(INSERT, UPDATE)
     tagged = guard_not_null(tagged, contract.required, contract.name, touched)
     if on_target_only == DELETE and on_match == UPDATE and inserting and condition is None and names == columns:
