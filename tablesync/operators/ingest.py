@@ -70,7 +70,9 @@ def month_plan(
     checked = accounts.where(
         fail_when(F.year(first) < FIRST_YEAR, F.lit(f"months before {FIRST_YEAR} cannot be requested"))
     )
-    planned = checked.select(*accounts.columns, F.explode(months).alias("_month"))
+    # Each account becomes hundreds of rows: spread the accounts over all cores first.
+    spread = checked.repartition(accounts.sparkSession.sparkContext.defaultParallelism, F.col(username))
+    planned = spread.select(*accounts.columns, F.explode(months).alias("_month"))
     url = F.concat(
         F.lit(f"{base_url}/player/"),
         F.col(username),
