@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.functions.times import epoch_micros
-from tablesync.operators.guards import any_null, guard_not_null
+from tablesync.operators.guards import any_null, required
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -51,8 +51,8 @@ def number_in_group(
     ranked by many tasks. Only slice counts, not rows, meet per group. A row
     without group or time has no position and fails the job.
     """
-    df = guard_not_null(df, [group, time], alias)
-    rows = df.withColumn("_slice", F.floor(epoch_micros(F.col(time)) / F.lit(slice_seconds * 1_000_000)))
+    needed = {c: required(F.col(c), f"{c} is NULL, so {alias} is not defined") for c in (group, time)}
+    rows = df.withColumns(needed).withColumn("_slice", F.floor(epoch_micros(F.col(time)) / F.lit(slice_seconds * 1_000_000)))
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(group, "_slice")

@@ -45,6 +45,13 @@ def guard_empty(df: DataFrame, violations: DataFrame, message: str) -> DataFrame
     return df.where(fail_when(found > 0, text))
 
 
+def required(column: Column, message: Column | str) -> Column:
+    """The column's value, failing on NULL. Unlike a filter this also holds below an
+    inner join, where the optimizer would drop NULL keys before a filter sees them."""
+    message = F.lit(message) if isinstance(message, str) else message
+    return F.when(column.isNull(), F.raise_error(message)).otherwise(column)
+
+
 def guard_not_null(df: DataFrame, columns: Iterable[str], table: str, rows: Column | None = None) -> DataFrame:
     """Fail on a NULL in ``columns``, looking only at ``rows`` when given."""
     for column in columns:

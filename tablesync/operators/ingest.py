@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.times import from_epoch_seconds, ntz, to_epoch
-from tablesync.operators.guards import any_null, fail_when
+from tablesync.operators.guards import any_null, fail_when, required
 
 # The first month the monthly archive has, and the address formats.
 FIRST_YEAR = 2005
@@ -142,8 +142,9 @@ def game_flatten(games: DataFrame, *, source_file: str | None = None, strict: bo
     missing = any_null(REQUIRED)
     label = F.concat(F.lit("incomplete game record: "), F.coalesce(F.col("url"), F.lit("without url")))
     kept = games.where(fail_when(missing, label) if strict else ~missing)
+    game_id = required(F.col("url"), label) if strict else F.col("url")
     return kept.select(
-        F.col("url").alias("external_game_id"),
+        game_id.alias("external_game_id"),
         from_epoch_seconds(F.col("end_time")).alias("played_at"),
         F.col("white.username").alias("white_username"),
         F.col("black.username").alias("black_username"),
