@@ -1,0 +1,162 @@
+"""Physical plans: what is pushed down, what is shuffled, and how hot keys are met."""
+
+import contextlib
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablesync import ColumnContract as C
+from tablesync import TableContract
+from tablesync.operators import (
+    accounts_for_user,
+    dedupe_by_key,
+    incremental_since,
+    insert_ignore,
+    merge,
+    orphan_accounts,
+    run_errors,
+    stale_links,
+    step_order,
+    table_read,
+)
+from tablesync.sources import log_tail
+
+SF = "/root/testdata/sf0.001"
+ORDERS = TableContract(
+    "s",
+    "orders",
+    (C("o_orderkey", "bigint", nullable=False), C("o_orderstatus", "text"), C("o_totalprice", "double")),
+    ("o_orderkey",),
+)
+
+
+def plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
+
+
+def tree(df):
+    return plan(df).split("\n\n\n")[0]
+
+
+@pytest.fixture
+def orders(spark):
+    return spark.read.parquet(f"{SF}/orders.parquet")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_filter_and_columns_reach_the_scan(orders):
+    text = plan(table_read(orders, ["o_orderkey"], F.col("o_orderstatus") == "F"))
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in text
+
+
+def test_order_and_limit_is_a_top_k(orders):
+    assert "TakeOrderedAndProject" in tree(table_read(orders, order_by="o_totalprice", limit=5))
+
+
+def test_small_merge_does_not_shuffle_the_target(orders):
+    text = tree(merge(orders, orders.select("o_orderkey", "o_orderstatus"), ORDERS).next_state)
+    assert text.count("BroadcastHashJoin") == 3
+    assert " Exchange" not in text and "SortMergeJoin" not in text
+
+
+def test_large_merge_shuffles_each_side_once(orders, no_broadcast):
+    text = tree(merge(orders, orders.select("o_orderkey", "o_orderstatus"), ORDERS).next_state)
+    assert text.count("SortMergeJoin FullOuter") == 1
+    assert text.count(" Exchange") == 2 and "BroadcastExchange" not in text
+
+
+def test_large_full_sync_never_widens_to_the_target(orders, no_broadcast):
+    source = orders.select("o_orderkey", "o_orderstatus")
+    text = tree(merge(orders, source, ORDERS, when_not_matched_by_source="delete").next_state)
+    assert "FullOuter" not in text and "RightOuter" in text
+
+
+def test_insert_new_leaves_the_target_out_of_any_join(orders, no_broadcast):
+    text = tree(merge(orders, orders.select("o_orderkey"), ORDERS, when_matched="ignore").next_state)
+    assert text.count("SortMergeJoin") == 1 and "LeftAnti" in text
+
+
+def test_rank_limits_are_applied_before_the_shuffle(spark, orders):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    logs = events.withColumnsRenamed({"event_type": "logger", "event_id": "log_id"})
+    for df in (dedupe_by_key(orders, ["o_custkey"], ["o_orderkey"]), log_tail(logs)):
+        text = tree(df)
+        assert text.count("WindowGroupLimit") == 2
+
+
+def test_insert_ignore_shares_one_exchange_between_dedupe_and_anti_join(orders, no_broadcast):
+    held = orders.where("o_orderkey % 2 = 0")
+    source = orders.select("o_orderkey", "o_orderstatus")
+    text = tree(insert_ignore(held, source, ORDERS, order_by=["o_orderstatus"]).next_state)
+    assert text.count(" Exchange") == 2
+
+
+def test_joins_on_a_key_that_may_be_hot_can_be_cut(spark, orders, no_broadcast):
+    """AQE cuts a skewed join only if both inputs are plain exchanges."""
+    bridge = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("account_id"))
+    accounts = orders.select(F.col("o_orderkey").alias("account_id"), F.lit("x").alias("username"))
+    records = bridge.withColumn("end_time", F.lit(1).cast("bigint"))
+    state = accounts.withColumn("latest_ingestion", F.lit(None).cast("timestamp_ntz"))
+    for df in (
+        stale_links(bridge, accounts),
+        accounts_for_user(bridge, accounts, ordered=False),
+        incremental_since(records, state),
+    ):
+        text = tree(df)
+        assert "HashAggregate" not in text and text.count(" Exchange") == 2
+    # Here the hot side is only looked into, so it is reduced before the shuffle.
+    assert tree(orphan_accounts(accounts, bridge)).count("HashAggregate") == 2
+
+
+def test_aqe_cuts_a_hot_account(spark, tmp_path, no_broadcast):
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        n = 200_000
+        hot = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id"))
+        spark.range(0, n, 1, 8).select(F.xxhash64("id").alias("user_id"), hot.alias("account_id")).write.parquet(
+            str(tmp_path / "bridge")
+        )
+        spark.range(0, n, 1, 8).select(F.col("id").alias("account_id")).write.parquet(str(tmp_path / "accounts"))
+        bridge, accounts = (spark.read.parquet(str(tmp_path / t)) for t in ("bridge", "accounts"))
+        found = accounts_for_user(bridge, accounts, ordered=False)
+        found.write.format("noop").mode("overwrite").save()
+        assert found.count() == n
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_step_numbering_moves_the_rows_once(spark, no_broadcast):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    steps = events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("started_at"), "event_id")
+    text = tree(step_order(steps, ["event_id"]))
+    # One exchange for the rows; the other three carry slice counts.
+    assert text.count(" Exchange") == 4
+
+
+def test_run_errors_needs_no_shuffle(spark):
+    steps = spark.createDataFrame([], "run_id string, step_order int, name string, error_message string")
+    assert "Exchange" not in tree(run_errors(steps))
