@@ -423,7 +423,7 @@ def range_plan(spark, sf):
 def incremental_since(spark, sf):
     end_time = F.when(F.col("event_id") % 50 != 0, fn.to_epoch(F.col("ts"), "s"))
     records = fixture(spark, sf, "events").select("event_id", "user_id", end_time.alias("end_time"))
-    state = stored(fixture(spark, sf, "fx_account_state"), "account-state")
+    state = stored(fixture(spark, sf, "fx_account_state"), scratch_dir(spark, "account-state"))
     return ops.incremental_since(records, state, key="user_id")
 
 
@@ -506,7 +506,7 @@ def ingest_batch_watermarks(spark, sf):
 
 def _ingest(spark, sf):
     records = _raw_games(spark, sf, "user_id").withColumnRenamed("user_id", "account_id")
-    state = stored(fixture(spark, sf, "fx_account_state"), "account-state")
+    state = stored(fixture(spark, sf, "fx_account_state"), scratch_dir(spark, "account-state"))
     accounts = state.select(
         F.col("user_id").alias("account_id"),
         F.concat(F.lit("user_"), "user_id").alias("username"),

@@ -18,7 +18,7 @@ from tablesync.operators.merge import merge, watermark_advance
 from tablesync.operators.outcome import WriteCounts, WriteOutcome
 from tablesync.operators.reads import table_read
 from tablesync.operators.writes import insert_ignore, overwrite
-from tablesync.session import scratch_dir
+from tablesync.session import discard, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,21 @@ def nightly_maintenance(
     return Maintenance(purge_runs(runs, now), links, orphan_accounts(accounts, links), log_retention(logs, now))
 
 
+# Partition values named in a scan; more than this and a join finds them.
+MAX_LISTED_PARTITIONS = 10_000
+
+
+def _touched(table: DataFrame, source: DataFrame, partition: str) -> DataFrame:
+    """The partitions of ``table`` that occur in ``source``."""
+    values = source.select(partition).distinct()
+    listed = [row[0] for row in values.limit(MAX_LISTED_PARTITIONS + 1).collect()]
+    if len(listed) > MAX_LISTED_PARTITIONS:
+        return table.join(values, partition, "left_semi")
+    # Literals prune partitions before the table is read.
+    named = F.col(partition).isin([v for v in listed if v is not None])
+    return table.where(named | F.col(partition).isNull() if None in listed else named)
+
+
 def sync_partitions(
     path: str, source: DataFrame, contract: TableContract, partition_by: str, **merge_options
 ) -> WriteCounts:
@@ -98,8 +113,7 @@ def sync_partitions(
     if partition_by not in source.columns:
         raise ContractError(f"source lacks the partition column {partition_by!r}")
     spark = source.sparkSession
-    touched = source.select(partition_by).distinct()
-    target = spark.read.schema(contract.struct()).parquet(path).join(touched, partition_by, "left_semi")
+    target = _touched(spark.read.schema(contract.struct()).parquet(path), source, partition_by)
     staging = scratch_dir(spark, "sync")
     counts = merge(target.select(*contract.column_names), source, contract, **merge_options).write(staging)
     (
@@ -110,4 +124,5 @@ def sync_partitions(
         .partitionBy(partition_by)
         .parquet(path)
     )
+    discard(spark, staging)
     return counts

@@ -57,9 +57,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(estimate)) <= threshold
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared scratch and read it back: a cut in the lineage that
-    survives the loss of executors and gives later plans real file sizes."""
-    path = scratch_dir(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to a new ``path`` on shared storage and read it back: a cut in the
+    lineage that survives the loss of executors and gives later plans real file sizes."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch directory this application made."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -23,7 +23,9 @@ def log_read(spark: SparkSession, path: str, *, quarantine: bool = False) -> Dat
     return lines.withColumn("ts", text_to_utc(F.col("ts")))
 
 
-def log_tail(logs: DataFrame, by: str = "logger", lines: int = TAIL_LINES, tie: str = "log_id") -> DataFrame:
-    """The last ``lines`` lines per ``by``, oldest first inside each."""
+def log_tail(
+    logs: DataFrame, by: str = "logger", lines: int = TAIL_LINES, tie: str = "log_id", *, ordered: bool = False
+) -> DataFrame:
+    """The last ``lines`` lines per ``by``; ``ordered`` sorts them, oldest first inside each."""
     kept = top_per_key(logs, [by], [F.col("ts").desc(), F.col(tie).desc()], lines)
-    return kept.orderBy(by, "ts", tie)
+    return kept.orderBy(by, "ts", tie) if ordered else kept

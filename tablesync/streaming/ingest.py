@@ -18,9 +18,11 @@ from tablesync.functions.times import epoch_micros
 from tablesync.operators.dedupe import dedupe_by_key
 from tablesync.operators.ingest import GAME, game_flatten
 from tablesync.operators.merge import absent_from
+from tablesync.session import discard, scratch_dir, stored
 from tablesync.sources.landing import LANDED
 
 BATCH = "batch_id"
+SALTS = 64
 
 
 def _stream(spark: SparkSession, landing: str, schema: T.StructType, max_files: int | None) -> DataFrame:
@@ -61,10 +63,14 @@ def ingest_stream(
         session = batch.sparkSession
         games = game_flatten(batch, source_file="source_file", strict=False)
         order = [F.col("played_at").asc_nulls_last(), *(c for c in games.columns if c not in (*key, "played_at"))]
-        unique = dedupe_by_key(games, key, order, null_keys=False)
+        # Written out, the batch has a known size: if it is small, the look-up scans the
+        # ids of the table in place instead of shuffling all of them per batch.
+        scratch = scratch_dir(session, "batch")
+        unique = stored(dedupe_by_key(games, key, order, null_keys=False), scratch)
         known = read_ingested(session, table, contract).where(F.col(BATCH) < batch_id)
         fresh = absent_from(unique, known, key, unique_target=True)
         fresh.select(*contract.column_names).write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
+        discard(session, scratch)
 
     return (
         _stream(spark, landing, GAME, max_files)
@@ -87,16 +93,20 @@ def stream_dedupe(
     """Start copying new games to ``table``, dropping repeats that arrive within ``lateness``.
 
     The state holds ids only, and only as long as the bound asks; the table is
-    never read. Records without id or time cannot be bounded and are skipped.
+    never read. Repeats are first dropped per id and group of files, so an id that
+    most records share is spread over many tasks and reaches the final step at
+    most once per group. Records without id or time cannot be bounded and are skipped.
     """
     games = game_flatten(_stream(spark, landing, GAME, max_files), source_file="source_file", strict=False)
     timed = games.where(F.col("played_at").isNotNull())
     unique = (
         # A watermark needs an instant.
         timed.withColumn("_event_time", F.timestamp_micros(epoch_micros(F.col("played_at"))))
+        .withColumn("_salt", F.pmod(F.xxhash64("source_file"), F.lit(SALTS)))
         .withWatermark("_event_time", lateness)
+        .dropDuplicatesWithinWatermark(["external_game_id", "_salt"])
         .dropDuplicatesWithinWatermark(["external_game_id"])
-        .drop("_event_time")
+        .drop("_event_time", "_salt")
     )
     return (
         unique.writeStream.format("parquet")

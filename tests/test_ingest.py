@@ -200,4 +200,4 @@ def test_logs(spark, rows, tmp_path):
     logs = log_read(spark, lines(tmp_path / "app.log", *texts, json.dumps(failed)))
     row = logs.where("log_id = '9'").first()
     assert (row.ts, row.exc_type, row.traceback) == (datetime(2024, 3, 10, 2, 30, 0, 500000), "ValueError", None)
-    assert [r.log_id for r in log_tail(logs, lines=2).collect()] == ["3", "4", "9"]
+    assert [r.log_id for r in log_tail(logs, lines=2, ordered=True).collect()] == ["3", "4", "9"]

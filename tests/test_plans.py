@@ -111,7 +111,7 @@ def test_joins_on_a_key_that_may_be_hot_can_be_cut(spark, orders, no_broadcast):
     state = accounts.withColumn("latest_ingestion", F.lit(None).cast("timestamp_ntz"))
     for df in (
         stale_links(bridge, accounts),
-        accounts_for_user(bridge, accounts, ordered=False),
+        accounts_for_user(bridge, accounts),
         incremental_since(records, state),
     ):
         text = tree(df)
@@ -139,7 +139,7 @@ def test_aqe_cuts_a_hot_account(spark, tmp_path, no_broadcast):
         )
         spark.range(0, n, 1, 8).select(F.col("id").alias("account_id")).write.parquet(str(tmp_path / "accounts"))
         bridge, accounts = (spark.read.parquet(str(tmp_path / t)) for t in ("bridge", "accounts"))
-        found = accounts_for_user(bridge, accounts, ordered=False)
+        found = accounts_for_user(bridge, accounts)
         found.write.format("noop").mode("overwrite").save()
         assert found.count() == n
         found.collect()

@@ -84,7 +84,7 @@ def test_concat(spark, rows):
 
 
 def test_links(spark, rows, accounts, bridge):
-    found = accounts_for_user(bridge, accounts).collect()
+    found = accounts_for_user(bridge, accounts, ordered=True).collect()
     assert [(r.user_id, r.account_id) for r in found] == [("u1", "a1"), ("u1", "a3"), ("u2", "a1")]
     only = spark.createDataFrame([("u2",)], "user_id string")
     assert rows(accounts_for_user(bridge, accounts, only), "user_id", "account_id") == [("u2", "a1")]
