@@ -19,7 +19,7 @@ from tablesync import build_session  # noqa: E402
 
 HEADLINE = [
     "merge_upsert",
-    "merge_upsert_shuffled",
+    "merge_upsert_in_place",
     "merge_full_sync",
     "merge_metrics",
     "insert_ignore",

@@ -50,6 +50,8 @@ _SQL: dict[str, str] = {
     # merges
     "merge_upsert": _UPSERT,
     "merge_upsert_shuffled": _UPSERT,
+    "merge_upsert_in_place": _UPSERT,
+    "merge_upsert_split_shuffled": _UPSERT,
     "merge_full_sync": """
         SELECT s.o_orderkey, s.o_orderstatus, t.o_totalprice
         FROM {fx_source} s LEFT JOIN {fx_target} t ON t.o_orderkey = s.o_orderkey""",

@@ -131,6 +131,18 @@ def merge_upsert_shuffled(spark, sf):
     return _merge(spark, sf, shape="full_outer").next_state
 
 
+@query
+def merge_upsert_in_place(spark, sf):
+    """The same merge in the shape a small source and a large target take."""
+    return _merge(spark, sf, shape="split").next_state
+
+
+@query
+def merge_upsert_split_shuffled(spark, sf):
+    """The same merge in the shape a large source on repeating keys takes."""
+    return _merge(spark, sf, shape="shuffle_split").next_state
+
+
 @query
 def merge_full_sync(spark, sf):
     return _merge(spark, sf, when_not_matched_by_source="delete").next_state

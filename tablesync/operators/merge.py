@@ -141,7 +141,12 @@ def merge(
         on_target_only = DELETE
 
     if shape == "auto":
-        shape = "split" if fits_broadcast(source) else "full_outer" if on_key else "shuffle_split"
+        small = fits_broadcast(source)
+        # Next to a small target there is no shuffle to save, and one join is fewer jobs.
+        if on_key and (not small or fits_broadcast(target)):
+            shape = "full_outer"
+        else:
+            shape = "split" if small else "shuffle_split"
     state = None
     if shape == "full_outer" and inserting and needs_unique and condition is None:
         parts = (target, source, contract, keys, changed, on_match, on_target_only)

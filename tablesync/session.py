@@ -19,7 +19,21 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "tablesync", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_PARTITION_BYTES = 128 * 1024**2
+
+
+def build_session(
+    app_name: str = "tablesync", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the defaults above.
+
+    ``shuffle_bytes``, the size of the largest input that is shuffled, sets the
+    number of shuffle partitions so that each is about 128 MB before AQE merges
+    the small ones.
+    """
+    if shuffle_bytes:
+        partitions = max(200, -(-shuffle_bytes // SHUFFLE_PARTITION_BYTES))
+        conf = {"spark.sql.shuffle.partitions": str(partitions), **conf}
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -65,12 +65,27 @@ def test_order_and_limit_is_a_top_k(orders):
     assert "TakeOrderedAndProject" in tree(table_read(orders, order_by="o_totalprice", limit=5))
 
 
-def test_small_merge_does_not_shuffle_the_target(orders):
-    text = tree(merge(orders, orders.select("o_orderkey", "o_orderstatus"), ORDERS).next_state)
+def test_merge_in_place_does_not_shuffle_the_target(orders):
+    source = orders.select("o_orderkey", "o_orderstatus")
+    text = tree(merge(orders, source, ORDERS, shape="split").next_state)
     assert text.count("BroadcastHashJoin") == 3
     assert " Exchange" not in text and "SortMergeJoin" not in text
 
 
+def test_shape_follows_the_sizes(spark, orders):
+    few = orders.where("o_orderkey = 1").select("o_orderkey", "o_orderstatus")
+    many = spark.range(10**9).select(
+        F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice")
+    )
+    small_into_small = tree(merge(orders, few, ORDERS).next_state)
+    assert "FullOuter" in small_into_small
+    small_into_large = tree(merge(many, few, ORDERS).next_state)
+    assert "SortMergeJoin" not in small_into_large and " Exchange" not in small_into_large
+    assert "SortMergeJoin FullOuter" in tree(merge(orders, many, ORDERS).next_state)
+    by_status = dict(keys=["o_orderstatus"], when_matched="delete", when_not_matched_by_target="ignore")
+    assert "FullOuter" not in tree(merge(orders, many, ORDERS, **by_status).next_state)
+
+
 def test_large_merge_shuffles_each_side_once(orders, no_broadcast):
     text = tree(merge(orders, orders.select("o_orderkey", "o_orderstatus"), ORDERS).next_state)
     assert text.count("SortMergeJoin FullOuter") == 1
