@@ -248,6 +248,7 @@ _SQL: dict[str, str] = {
     "run_errors": """
         SELECT run_id, event_id, name || ': ' || error_message AS error FROM {fx_steps} WHERE error_message <> ''""",
     "step_order": f"SELECT run_id, event_id, step_order FROM ({_NUMBERED})",
+    "step_order_sliced": f"SELECT run_id, event_id, step_order FROM ({_NUMBERED})",
     "ledger_write": f"""
         SELECT l.run_id, l.name, l.user_id,
                CASE WHEN l.result = 'in_progress' THEN o.result ELSE l.result END AS result, l.started_at,

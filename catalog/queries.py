@@ -568,6 +568,14 @@ def step_order(spark, sf):
     return ops.step_order(steps, tie=["event_id"]).select("run_id", "event_id", "step_order")
 
 
+@query
+def step_order_sliced(spark, sf):
+    """The same numbering in the shape runs too long for one task take."""
+    steps = fixture(spark, sf, "fx_steps").select("run_id", "event_id", "started_at")
+    numbered = ops.step_order(steps, tie=["event_id"], group_limit=0)
+    return numbered.select("run_id", "event_id", "step_order")
+
+
 def _finished_steps(spark, sf) -> DataFrame:
     numbered = ops.step_order(fixture(spark, sf, "fx_steps"), tie=["event_id"])
     columns = ["run_id", "step_order", "name", "result", "started_at", "finished_at", "error_message"]

@@ -86,11 +86,9 @@ def run_errors(steps: DataFrame, order: str = "step_order") -> DataFrame:
     return steps.where(F.col("error_message") != "").select("run_id", order, message.alias("error"))
 
 
-def step_order(steps: DataFrame, tie: Sequence[str] = ("name",), slice_seconds: int = 60) -> DataFrame:
+def step_order(steps: DataFrame, tie: Sequence[str] = ("name",), **options: int) -> DataFrame:
     """Zero-based position of each step in its run, by start time."""
-    return number_in_group(
-        steps, "run_id", "started_at", tie, alias="step_order", slice_seconds=slice_seconds
-    )
+    return number_in_group(steps, "run_id", "started_at", tie, alias="step_order", **options)
 
 
 def ledger_write(

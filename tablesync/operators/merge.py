@@ -154,7 +154,8 @@ def merge(
         if on_target_only == DELETE:
             state = _full_outer(*parts, source_only=True)
     else:
-        tagged = _matched_side(target, source, contract, keys, changed, on_match, on_target_only, condition)
+        parts = (target, source, contract, keys, changed, on_match, on_target_only)
+        tagged = _matched_side(*parts, condition, needs_unique)
         if inserting:
             new = with_defaults(_unmatched_source(target, source, keys, condition, on_key), contract)
             if validate and contract.primary_key:
@@ -189,17 +190,18 @@ def _join(target: DataFrame, source: DataFrame, keys: list[str], condition: Colu
     return target.alias("_target").join(source.alias("_source"), on, how)
 
 
-def _matched_side(target, source, contract, keys, changed, on_match, on_target_only, condition) -> DataFrame:
+def _matched_side(
+    target, source, contract, keys, changed, on_match, on_target_only, condition, unique_source
+) -> DataFrame:
     """Every target row, tagged."""
     if on_match == on_target_only == KEEP:
         return tag(target, KEEP)
-    if on_match != UPDATE:
-        # No source value is needed, so repeated source keys must not multiply rows.
-        if condition is not None:
-            hits = _join(target, source, keys, condition, "left_semi")
-            rest = _join(target, source, keys, condition, "left_anti")
-            return tag(hits, on_match).unionByName(tag(rest, on_target_only))
-        source = key_set(source, keys)
+    if on_match != UPDATE and not unique_source:
+        # Repeated source keys must not multiply rows. A branch whose rows go is only
+        # run when they are counted.
+        hits = _join(target, source, keys, condition, "left_semi")
+        rest = _join(target, source, keys, condition, "left_anti")
+        return tag(hits, on_match).unionByName(tag(rest, on_target_only))
     joined = _join(target, source.withColumn(_HIT, F.lit(1)), keys, condition, "left")
     hit = F.col(_HIT).isNotNull()
     from_source = set(changed) if on_match == UPDATE else set()

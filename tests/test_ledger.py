@@ -86,12 +86,15 @@ def test_outcomes_and_errors(spark, rows):
     assert rows(run_errors(steps)) == [("b", 0, "x: boom"), ("c", 0, "x: one"), ("c", 1, "y: two")]
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 60, 10**6])
-def test_step_order_across_slices(spark, slice_seconds):
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"group_limit": 99, "slice_seconds": 1}, {"group_limit": 0}, {"group_limit": 0, "slice_seconds": 10**6}],
+)
+def test_step_order(spark, options):
     start = datetime(2024, 3, 10, 1, 59)
     data = [(f"r{i % 3}", start + timedelta(seconds=(i * 37) % 400), i) for i in range(300)]
     df = spark.createDataFrame(data, "run_id string, started_at timestamp_ntz, id int")
-    got = {(r.run_id, r.id): r.step_order for r in step_order(df, ["id"], slice_seconds).collect()}
+    got = {(r.run_id, r.id): r.step_order for r in step_order(df, ["id"], **options).collect()}
     want = {}
     for run in ("r0", "r1", "r2"):
         for position, (_, _, i) in enumerate(sorted(d for d in data if d[0] == run)):
@@ -99,10 +102,11 @@ def test_step_order_across_slices(spark, slice_seconds):
     assert got == want
 
 
-def test_step_without_run_or_time_fails(spark):
+@pytest.mark.parametrize("group_limit", [0, 10])
+def test_step_without_run_or_time_fails(spark, group_limit):
     df = spark.createDataFrame([(None, NOW, 1)], "run_id string, started_at timestamp_ntz, id int")
     with pytest.raises(PySparkException, match="run_id is NULL"):
-        step_order(df, ["id"]).collect()
+        step_order(df, ["id"], group_limit=group_limit).collect()
 
 
 def test_ledger_write_replaces_the_placeholder(spark, rows, runs):

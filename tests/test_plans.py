@@ -98,6 +98,12 @@ def test_large_full_sync_never_widens_to_the_target(orders, no_broadcast):
     assert "FullOuter" not in text and "RightOuter" in text
 
 
+def test_delete_matched_is_one_anti_join(orders, no_broadcast):
+    options = dict(when_matched="delete", when_not_matched_by_target="ignore")
+    text = tree(merge(orders, orders.select("o_orderkey"), ORDERS, **options).next_state)
+    assert text.count("SortMergeJoin LeftAnti") == 1 and text.count(" Exchange") == 2
+
+
 def test_insert_new_leaves_the_target_out_of_any_join(orders, no_broadcast):
     text = tree(merge(orders, orders.select("o_orderkey"), ORDERS, when_matched="ignore").next_state)
     assert text.count("SortMergeJoin") == 1 and "LeftAnti" in text
@@ -167,7 +173,8 @@ def test_aqe_cuts_a_hot_account(spark, tmp_path, no_broadcast):
 def test_step_numbering_moves_the_rows_once(spark, no_broadcast):
     events = spark.read.parquet(f"{SF}/events.parquet")
     steps = events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("started_at"), "event_id")
-    text = tree(step_order(steps, ["event_id"]))
+    assert tree(step_order(steps, ["event_id"])).count(" Exchange") == 1
+    text = tree(step_order(steps, ["event_id"], group_limit=0))
     # One exchange for the rows; the other three carry slice counts.
     assert text.count(" Exchange") == 4
 
