@@ -241,8 +241,7 @@ _SQL: dict[str, str] = {
                     ELSE a.latest_ingestion END AS latest_ingestion
         FROM {{fx_account_state}} a""",
     "ingest_stream": "SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games}",
-    "stream_dedupe": """
-        SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games} WHERE end_time IS NOT NULL""",
+    "stream_dedupe": "SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games}",
     # ledger
     "run_outcome": f"SELECT run_id, result FROM ({_OUTCOME})",
     "run_errors": """

@@ -542,9 +542,7 @@ def ingest_stream_games(spark, sf):
 @query
 def stream_dedupe_games(spark, sf):
     table_path, checkpoint = scratch_dir(spark, "games"), scratch_dir(spark, "offsets")
-    # Files carry no order of time, so the bound covers all of them.
-    stream = stream_dedupe(spark, _land(spark, sf), table_path, checkpoint, lateness="3650 days")
-    stream.awaitTermination()
+    stream_dedupe(spark, _land(spark, sf), table_path, checkpoint).awaitTermination()
     games = spark.read.schema(stored_table("games").struct()).parquet(table_path)
     return games.groupBy("external_game_id").agg(F.count(F.lit(1)).alias("n_rows"))
 

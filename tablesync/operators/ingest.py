@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -132,12 +133,15 @@ def incremental_since(
     return joined.where(kept).select(*records.columns)
 
 
-def game_flatten(games: DataFrame, *, source_file: str | None = None, strict: bool = True) -> DataFrame:
+def game_flatten(
+    games: DataFrame, *, source_file: str | None = None, strict: bool = True, extra: Sequence[str] = ()
+) -> DataFrame:
     """Raw games to rows of the games table.
 
     The id, both names and ratings and the result must be there: ``strict`` fails
     the job when one is missing, else such records drop out (``game_rejects``
-    returns them). Time, time control and moves may be missing.
+    returns them). Time, time control and moves may be missing. ``extra`` columns
+    are carried along.
     """
     missing = any_null(REQUIRED)
     label = F.concat(F.lit("incomplete game record: "), F.coalesce(F.col("url"), F.lit("without url")))
@@ -154,6 +158,7 @@ def game_flatten(games: DataFrame, *, source_file: str | None = None, strict: bo
         F.col("time_control"),
         F.col("pgn"),
         (F.col(source_file) if source_file else F.lit(None).cast("string")).alias("source_file"),
+        *extra,
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablesync.contract import TableContract
 from tablesync.errors import ContractError
-from tablesync.operators.ingest import advanced_accounts, game_flatten, incremental_since
+from tablesync.operators.ingest import advanced_accounts, game_flatten, game_rejects, incremental_since
 from tablesync.operators.ledger import log_retention, purge_runs
 from tablesync.operators.links import live_links, orphan_accounts
 from tablesync.operators.merge import merge, watermark_advance
@@ -23,10 +23,12 @@ from tablesync.session import discard, scratch_dir
 
 @dataclass(frozen=True)
 class IngestBatch:
-    """Next state of the games table and of the accounts' watermarks."""
+    """Next state of the games table and of the accounts' watermarks, and the recent
+    records too incomplete to become games."""
 
     games: WriteOutcome
     accounts: WriteOutcome
+    rejects: DataFrame
 
 
 def ingest_batch(
@@ -52,6 +54,7 @@ def ingest_batch(
         accounts=watermark_advance(
             accounts, advanced_accounts(recent, run_started_at), accounts_contract, "latest_ingestion"
         ),
+        rejects=game_rejects(recent),
     )
 
 
@@ -105,7 +108,8 @@ def sync_partitions(
 
     For merges that remove no row and whose partition value never changes for a
     key, as with an ingestion date. The touched partitions are merged to scratch
-    first, because a path cannot be read and overwritten in one job.
+    first, because a path cannot be read and overwritten in one job; that copy stays
+    there until the partitions have been replaced.
     """
     if merge_options.get("when_matched") == "delete" or merge_options.get("when_not_matched_by_source") == "delete":
         raise ContractError("a partition-wise merge cannot delete: an emptied partition would stay")

@@ -14,22 +14,31 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablesync.contract import TableContract
-from tablesync.functions.times import epoch_micros
 from tablesync.operators.dedupe import dedupe_by_key
-from tablesync.operators.ingest import GAME, game_flatten
+from tablesync.operators.ingest import GAME, game_flatten, game_rejects
 from tablesync.operators.merge import absent_from
 from tablesync.session import discard, scratch_dir, stored
-from tablesync.sources.landing import LANDED
+from tablesync.sources.landing import CORRUPT, LANDED
 
 BATCH = "batch_id"
 SALTS = 64
 
 
-def _stream(spark: SparkSession, landing: str, schema: T.StructType, max_files: int | None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", LANDED)
+def _stream(spark: SparkSession, landing: str, max_files: int | None) -> DataFrame:
+    schema = T.StructType([*GAME.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = (
+        spark.readStream.schema(schema)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", LANDED)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+    )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(landing).withColumn("source_file", F.col("_metadata.file_name"))
+    return reader.json(landing).select(
+        "*",
+        F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+    )
 
 
 def read_ingested(spark: SparkSession, table: str, contract: TableContract) -> DataFrame:
@@ -50,18 +59,24 @@ def ingest_stream(
     checkpoint: str,
     contract: TableContract,
     *,
+    rejects: str | None = None,
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Start ingesting all new landed files, then stop.
 
     Games are unique by id: the earliest played of a batch wins, and a game known
-    from an earlier batch is left alone. Incomplete records are skipped.
+    from an earlier batch is left alone. A malformed line or incomplete record
+    stops the stream, or goes to ``rejects`` as JSON when that path is given.
     """
     key = list(contract.primary_key)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        games = game_flatten(batch, source_file="source_file", strict=False)
+        if rejects:
+            # Under its own name the text would be taken for a new parse failure when read.
+            aside = game_rejects(batch).withColumnRenamed(CORRUPT, "line")
+            aside.write.mode("overwrite").json(f"{rejects}/{BATCH}={batch_id}")
+        games = game_flatten(batch, source_file="source_file", strict=rejects is None)
         order = [F.col("played_at").asc_nulls_last(), *(c for c in games.columns if c not in (*key, "played_at"))]
         # Written out, the batch has a known size: if it is small, the look-up scans the
         # ids of the table in place instead of shuffling all of them per batch.
@@ -73,7 +88,7 @@ def ingest_stream(
         discard(session, scratch)
 
     return (
-        _stream(spark, landing, GAME, max_files)
+        _stream(spark, landing, max_files)
         .writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -88,25 +103,25 @@ def stream_dedupe(
     checkpoint: str,
     *,
     lateness: str = "7 days",
+    strict: bool = True,
     max_files: int | None = None,
 ) -> StreamingQuery:
-    """Start copying new games to ``table``, dropping repeats that arrive within ``lateness``.
-
-    The state holds ids only, and only as long as the bound asks; the table is
-    never read. Repeats are first dropped per id and group of files, so an id that
-    most records share is spread over many tasks and reaches the final step at
-    most once per group. Records without id or time cannot be bounded and are skipped.
+    """Start copying new games to ``table``, dropping repeats that land within ``lateness``.
+
+    Time is when the file landed, so games played long ago, or without a time,
+    are not late. The state holds ids only, and only as long as the bound asks;
+    the table is never read. Repeats are first dropped per id and group of files,
+    so an id that most records share is spread over many tasks and reaches the
+    final step at most once per group. ``strict`` stops at an incomplete record;
+    otherwise such records are skipped.
     """
-    games = game_flatten(_stream(spark, landing, GAME, max_files), source_file="source_file", strict=False)
-    timed = games.where(F.col("played_at").isNotNull())
+    landed = _stream(spark, landing, max_files).withWatermark("landed_at", lateness)
+    timed = game_flatten(landed, source_file="source_file", strict=strict, extra=["landed_at"])
     unique = (
-        # A watermark needs an instant.
-        timed.withColumn("_event_time", F.timestamp_micros(epoch_micros(F.col("played_at"))))
-        .withColumn("_salt", F.pmod(F.xxhash64("source_file"), F.lit(SALTS)))
-        .withWatermark("_event_time", lateness)
+        timed.withColumn("_salt", F.pmod(F.xxhash64("source_file"), F.lit(SALTS)))
         .dropDuplicatesWithinWatermark(["external_game_id", "_salt"])
         .dropDuplicatesWithinWatermark(["external_game_id"])
-        .drop("_event_time", "_salt")
+        .drop("landed_at", "_salt")
     )
     return (
         unique.writeStream.format("parquet")

@@ -12,6 +12,7 @@ def spark():
         **{
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "3",
+            "spark.default.parallelism": "2",
             "spark.sql.session.timeZone": "America/New_York",
         },
     )

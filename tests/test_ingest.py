@@ -187,6 +187,7 @@ def test_ingest_batch_twice_is_once(spark, rows, tmp_path):
         ("held", None),
     ]
     assert rows(done.accounts.next_state, "account_id", "latest_ingestion") == [("a", NOW), ("b", None)]
+    assert done.rejects.count() == 0
     again = ingest_batch(raw, state, first, games, accounts, NOW)
     assert rows(again.games.next_state) == rows(first)
 

@@ -2,6 +2,7 @@ import json
 import shutil
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from tablesync import stored_table
 from tablesync.streaming import ingest_stream, read_ingested, stream_dedupe
@@ -26,9 +27,10 @@ def paths(tmp_path):
 
 def test_ingest_stream_is_incremental_and_replayable(spark, rows, paths, tmp_path):
     raw, table, offsets = paths
+    rejects = str(tmp_path / "rejects")
 
     def run():
-        ingest_stream(spark, str(raw), table, offsets, GAMES).awaitTermination()
+        ingest_stream(spark, str(raw), table, offsets, GAMES, rejects=rejects).awaitTermination()
         return rows(read_ingested(spark, table, GAMES), "external_game_id", "source_file", "batch_id")
 
     land(raw, "1.jsonl", ("g1", 100), ("g2", 200), ("g1", 50))
@@ -45,13 +47,27 @@ def test_ingest_stream_is_incremental_and_replayable(spark, rows, paths, tmp_pat
     shutil.rmtree(tmp_path / "offsets" / "commits" / ".1.crc", ignore_errors=True)
     (tmp_path / "offsets" / "commits" / ".1.crc").unlink(missing_ok=True)
     assert run() == second
+    aside = spark.read.json(rejects).select("line", "source_file", "batch_id")
+    assert rows(aside) == [('{"broken', "1.jsonl", 0), ('{"broken', "2.jsonl", 1)]
 
 
-def test_ingest_in_small_batches_gives_the_same_games(spark, rows, paths):
+def test_a_bad_line_stops_a_stream_without_a_place_for_it(spark, paths):
+    raw, table, offsets = paths
+    land(raw, "1.jsonl", ("g1", 100))
+    for query in (
+        ingest_stream(spark, str(raw), table, offsets, GAMES),
+        stream_dedupe(spark, str(raw), table + "2", offsets + "2"),
+    ):
+        with pytest.raises(StreamingQueryException, match="incomplete game record"):
+            query.awaitTermination()
+
+
+def test_ingest_in_small_batches_gives_the_same_games(spark, rows, paths, tmp_path):
     raw, table, offsets = paths
     for i in range(4):
         land(raw, f"{i}.jsonl", (f"g{i}", 10 + i), ("shared", 10 + i))
-    ingest_stream(spark, str(raw), table, offsets, GAMES, max_files=1).awaitTermination()
+    rejects = str(tmp_path / "rejects")
+    ingest_stream(spark, str(raw), table, offsets, GAMES, rejects=rejects, max_files=1).awaitTermination()
     got = rows(read_ingested(spark, table, GAMES), "external_game_id")
     assert got == [("g0",), ("g1",), ("g2",), ("g3",), ("shared",)]
 
@@ -64,10 +80,11 @@ def test_stream_dedupe(spark, rows, paths):
     raw, table, offsets = paths
 
     def run():
-        stream_dedupe(spark, str(raw), table, offsets, lateness="1 hour").awaitTermination()
+        stream_dedupe(spark, str(raw), table, offsets, lateness="1 hour", strict=False).awaitTermination()
         return rows(spark.read.schema(GAMES.struct()).parquet(table), "external_game_id")
 
     land(raw, "1.jsonl", ("g1", 1000), ("g1", 1001), ("g2", 1002), ("untimed", None))
-    assert run() == [("g1",), ("g2",)]
-    land(raw, "2.jsonl", ("g1", 1003), ("g3", 1004))
-    assert run() == [("g1",), ("g2",), ("g3",)]
+    assert run() == [("g1",), ("g2",), ("untimed",)]
+    # Played long before anything seen so far, and still not late.
+    land(raw, "2.jsonl", ("g1", 1003), ("g3", 1), ("untimed", None))
+    assert run() == [("g1",), ("g2",), ("g3",), ("untimed",)]
