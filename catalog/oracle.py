@@ -106,7 +106,8 @@ _SQL: dict[str, str] = {
         FROM {orders}""",
     "delete_where": "SELECT * FROM {orders} WHERE NOT coalesce(nullif(o_orderstatus, 'P') = 'F', false)",
     "write_counts": """
-        SELECT 'update_where' AS strategy, 0::BIGINT AS rows_inserted, count(*) AS rows_updated, 0::BIGINT AS rows_deleted
+        SELECT 'update_where' AS strategy, 0::BIGINT AS rows_inserted, count(*) AS rows_updated,
+               0::BIGINT AS rows_deleted
         FROM {orders} WHERE o_orderstatus = 'F'
         UNION ALL
         SELECT 'delete_where', 0, 0, count(*) FROM {orders} WHERE o_orderstatus = 'F'""",

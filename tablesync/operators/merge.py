@@ -132,13 +132,13 @@ def merge(
     on_key = set(keys) == set(contract.primary_key)
     if condition is not None:
         condition = as_predicate(condition, "merge condition")
+    on_target_only = KEEP
+    if when_not_matched_by_source == "delete" and not source.isEmpty():
+        on_target_only = DELETE
     # A target row may not be changed twice. Repeats that match a row left alone are harmless.
     needs_unique = on_match == UPDATE or (on_match == DELETE and inserting)
     if validate and needs_unique:
         source = guard_empty(source, duplicate_keys(source, keys), f"duplicate source keys for {contract.name}")
-    on_target_only = KEEP
-    if when_not_matched_by_source == "delete" and not source.isEmpty():
-        on_target_only = DELETE
 
     if shape == "auto":
         small = fits_broadcast(source)
@@ -147,14 +147,13 @@ def merge(
             shape = "full_outer"
         else:
             shape = "split" if small else "shuffle_split"
+    parts = (target, source, contract, keys, changed, on_match, on_target_only)
     state = None
-    if shape == "full_outer" and inserting and needs_unique and condition is None:
-        parts = (target, source, contract, keys, changed, on_match, on_target_only)
+    if shape == "full_outer" and on_key and inserting and needs_unique and condition is None:
         tagged = _full_outer(*parts)
         if on_target_only == DELETE:
             state = _full_outer(*parts, source_only=True)
     else:
-        parts = (target, source, contract, keys, changed, on_match, on_target_only)
         tagged = _matched_side(*parts, condition, needs_unique)
         if inserting:
             new = with_defaults(_unmatched_source(target, source, keys, condition, on_key), contract)
@@ -170,7 +169,8 @@ def merge(
 
     touched = F.col(ACTION).isin(INSERT, UPDATE)
     tagged = guard_not_null(tagged, contract.required, contract.name, touched)
-    if on_target_only == DELETE and on_match == UPDATE and inserting and condition is None and names == columns:
+    replaced = on_target_only == DELETE and on_match == UPDATE and inserting and on_key and condition is None
+    if replaced and names == columns:
         # Every value of the next state comes from the source.
         state = source
     if state is not None:

@@ -157,7 +157,8 @@ def test_landing_round_trip(spark, rows, tmp_path):
 
 
 def test_landing_path(spark):
-    df = spark.range(1).select(landing_path("/raw", F.lit("acc"), F.lit("2024-03-10").cast("timestamp_ntz"), F.lit("f")))
+    at = F.lit("2024-03-10").cast("timestamp_ntz")
+    df = spark.range(1).select(landing_path("/raw", F.lit("acc"), at, F.lit("f")))
     assert df.first()[0] == "/raw/ingested/acc/2024/03/10/f"
 
 

@@ -250,13 +250,13 @@ def test_source_is_cast_to_the_declared_types(spark, rows, target):
 
 
 def test_watermark(spark, rows):
-    contract = TableContract(
-        "s", "acc", (C("id", "integer"), C("latest", "timestamp"), C("n", "text")), ("id",), watermark_columns=("latest",)
-    )
+    columns = (C("id", "integer"), C("latest", "timestamp"), C("n", "text"))
+    contract = TableContract("s", "acc", columns, ("id",), watermark_columns=("latest",))
     state = spark.createDataFrame([(1, "x"), (2, "y")], "id int, n string").withColumn(
         "latest", F.lit("2024-01-01").cast("timestamp_ntz")
     )
-    moved = spark.createDataFrame([(2,), (3,)], "id int").withColumn("latest", F.lit("2024-02-01").cast("timestamp_ntz"))
+    later = F.lit("2024-02-01").cast("timestamp_ntz")
+    moved = spark.createDataFrame([(2,), (3,)], "id int").withColumn("latest", later)
     done = watermark_advance(state, moved, contract, "latest")
     got = rows(done.next_state.select("id", F.col("latest").cast("string"), "n"))
     assert got == [(1, "2024-01-01 00:00:00", "x"), (2, "2024-02-01 00:00:00", "y")]

@@ -97,7 +97,8 @@ def test_contract_check_reports_key_lists(spark, rows):
 
 def test_a_user_record_satisfies_its_contract(spark):
     users = stored_table("users")
-    df = default_fill(spark.createDataFrame([("u", "s", "google")], "user_id string, sub string, provider string"), users)
+    given = spark.createDataFrame([("u", "s", "google")], "user_id string, sub string, provider string")
+    df = default_fill(given, users)
     assert contract_check(df, users).count() == 0
     row = df.first()
     assert (row.tier, row.email_verified, row.cron_time, row.timezone, row.email) == (

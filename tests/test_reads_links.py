@@ -29,7 +29,11 @@ def people(spark):
 @pytest.fixture
 def accounts(spark):
     return spark.createDataFrame(
-        [("a1", "ann", "Lichess", None), ("a2", "  ", "Lichess", None), ("a3", " bob ", "Chess.com", "2024-01-02 03:04:05")],
+        [
+            ("a1", "ann", "Lichess", None),
+            ("a2", "  ", "Lichess", None),
+            ("a3", " bob ", "Chess.com", "2024-01-02 03:04:05"),
+        ],
         "account_id string, username string, platform string, latest_ingestion string",
     ).withColumn("latest_ingestion", F.col("latest_ingestion").cast("timestamp_ntz"))
 

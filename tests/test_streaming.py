@@ -13,10 +13,8 @@ GAMES = stored_table("games")
 def land(root, name, *games):
     root.mkdir(exist_ok=True)
     side = {"username": "ann", "rating": 1, "result": "win"}
-    texts = [
-        json.dumps({"url": url, "end_time": at, "white": side, "black": side} if at else {"url": url, "white": side, "black": side})
-        for url, at in games
-    ]
+    players = {"white": side, "black": side}
+    texts = [json.dumps({"url": url, **({"end_time": at} if at else {}), **players}) for url, at in games]
     (root / name).write_text("\n".join([*texts, '{"broken']) + "\n")
 
 

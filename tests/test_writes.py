@@ -4,7 +4,15 @@ from pyspark.sql import functions as F
 
 from tablesync import ColumnContract as C
 from tablesync import ContractError, PredicateError, TableContract
-from tablesync.operators import append_strict, dedupe_by_key, delete_where, insert_ignore, merge, overwrite, update_where
+from tablesync.operators import (
+    append_strict,
+    dedupe_by_key,
+    delete_where,
+    insert_ignore,
+    merge,
+    overwrite,
+    update_where,
+)
 from tablesync.operators.outcome import WriteCounts
 from tablesync.plans import sync_partitions, table_transform
 
