@@ -262,6 +262,15 @@ _SQL: dict[str, str] = {
         WHERE finished_at = TIMESTAMP '1970-01-01 00:00:00'
           AND EXISTS (SELECT 1 FROM {fx_users} u
                       WHERE CASE WHEN u.tier IS NOT NULL THEN u.user_id END IS NOT DISTINCT FROM r.user_id)""",
+    "lock_check": """
+        SELECT 'ingest' AS name, u.user_id,
+               CASE WHEN max(r.started_at) > TIMESTAMP '2024-01-28 00:00:00' THEN 'blocked'
+                    WHEN count(r.run_id) > 0 THEN 'stale' ELSE 'free' END AS status,
+               min(CASE WHEN r.started_at > TIMESTAMP '2024-01-28 00:00:00' THEN r.started_at END) AS locked_at
+        FROM (SELECT DISTINCT CASE WHEN tier IS NOT NULL THEN user_id END AS user_id FROM {fx_users}) u
+        LEFT JOIN {fx_runs} r ON r.user_id IS NOT DISTINCT FROM u.user_id
+                             AND r.finished_at = TIMESTAMP '1970-01-01 00:00:00'
+        GROUP BY u.user_id""",
     "lock_staleness": """
         SELECT run_id, user_id, started_at,
                CASE WHEN started_at > TIMESTAMP '2024-01-28 00:00:00' THEN 'fresh' ELSE 'stale' END AS lock

@@ -606,11 +606,19 @@ def ledger_write_steps(spark, sf):
     return _ledger(spark, sf)[1].next_state.withColumn("step_order", F.col("step_order").cast("bigint"))
 
 
+def _lock_requests(spark, sf):
+    user = F.when(F.col("tier").isNotNull(), F.col("user_id"))
+    return fixture(spark, sf, "fx_users").select(F.lit("ingest").alias("name"), user.alias("user_id"))
+
+
+@query
+def lock_check(spark, sf):
+    return ops.lock_check(fixture(spark, sf, "fx_runs"), _lock_requests(spark, sf), NOW, LOCK_TIMEOUT)
+
+
 @query
 def active_locks(spark, sf):
-    asked = fixture(spark, sf, "fx_users").select(
-        F.lit("ingest").alias("name"), F.when(F.col("tier").isNotNull(), F.col("user_id")).alias("user_id")
-    )
+    asked = _lock_requests(spark, sf)
     return ops.active_locks(fixture(spark, sf, "fx_runs"), asked).select("run_id", "user_id", "started_at")
 
 

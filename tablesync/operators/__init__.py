@@ -18,6 +18,7 @@ from tablesync.operators.ledger import (
     due_accounts,
     due_users,
     ledger_write,
+    lock_check,
     lock_staleness,
     log_retention,
     purge_runs,

@@ -13,6 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def any_null(columns: Iterable[str]) -> Column:
@@ -45,6 +46,18 @@ def guard_empty(df: DataFrame, violations: DataFrame, message: str) -> DataFrame
     return df.where(fail_when(found > 0, text))
 
 
+def exact_cast(df: DataFrame, name: str, want: T.DataType) -> Column:
+    """The column in another type; a value that does not survive fails the job in any
+    session, with ANSI mode on or off."""
+    column = F.col(name)
+    if df.schema[name].dataType == want:
+        return column
+    cast = column.try_cast(want)
+    lost = column.isNotNull() & cast.isNull()
+    message = F.concat(F.lit(f"{name} does not cast to {want.simpleString()}: "), column.cast("string"))
+    return F.when(lost, F.raise_error(message)).otherwise(cast)
+
+
 def required(column: Column, message: Column | str) -> Column:
     """The column's value, failing on NULL. Unlike a filter this also holds below an
     inner join, where the optimizer would drop NULL keys before a filter sees them."""

@@ -59,6 +59,23 @@ def lock_staleness(runs: DataFrame, now: datetime, timeout: timedelta = LOCK_TIM
     return runs.where(is_active()).withColumn("lock", F.when(fresh, "fresh").otherwise("stale"))
 
 
+def lock_check(
+    runs: DataFrame, requests: DataFrame, now: datetime, timeout: timedelta = LOCK_TIMEOUT
+) -> DataFrame:
+    """What each requested ``(name, user_id)`` would meet: ``status`` is blocked by a fresh
+    lock (since ``locked_at``), stale when only abandoned ones are left, or free."""
+    fresh = F.col("lock") == "fresh"
+    held = (
+        lock_staleness(runs, now, timeout)
+        .groupBy(F.col("name").alias("_name"), F.col("user_id").alias("_user"))
+        .agg(F.min(F.when(fresh, F.col("started_at"))).alias("locked_at"), F.count(F.lit(1)).alias("_locks"))
+    )
+    asked = requests.select("name", "user_id").distinct()
+    same = asked["name"].eqNullSafe(held["_name"]) & asked["user_id"].eqNullSafe(held["_user"])
+    status = F.when(F.col("locked_at").isNotNull(), "blocked").when(F.col("_locks") > 0, "stale").otherwise("free")
+    return asked.join(held, same, "left").select("name", "user_id", status.alias("status"), "locked_at")
+
+
 def purge_runs(runs: DataFrame, now: datetime, older_than: timedelta = PURGE_AFTER) -> WriteOutcome:
     """Delete active runs that started before the cut-off."""
     return delete_where(runs, is_active() & (F.col("started_at") < ago(now, older_than)))

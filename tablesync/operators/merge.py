@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tablesync.contract import TableContract
 from tablesync.errors import ContractError
 from tablesync.functions.keys import as_predicate
-from tablesync.operators.guards import duplicate_keys, guard_empty, guard_not_null, key_set
+from tablesync.operators.guards import duplicate_keys, exact_cast, guard_empty, guard_not_null, key_set
 from tablesync.operators.outcome import ACTION, DELETE, INSERT, KEEP, UPDATE, WriteOutcome, tag
 from tablesync.session import fits_broadcast
 
@@ -58,7 +58,7 @@ def supplied_columns(
 
 
 def typed(df: DataFrame, contract: TableContract, columns: Sequence[str]) -> DataFrame:
-    return df.select(*(F.col(c).cast(contract.column(c).type).alias(c) for c in columns))
+    return df.select(*(exact_cast(df, c, contract.column(c).type).alias(c) for c in columns))
 
 
 def with_defaults(df: DataFrame, contract: TableContract) -> DataFrame:
@@ -66,7 +66,7 @@ def with_defaults(df: DataFrame, contract: TableContract) -> DataFrame:
     present = set(df.columns)
     return df.select(
         *(
-            F.col(c.name).cast(c.type).alias(c.name) if c.name in present else c.default_value().alias(c.name)
+            (exact_cast(df, c.name, c.type) if c.name in present else c.default_value()).alias(c.name)
             for c in contract.columns
         )
     )

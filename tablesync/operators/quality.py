@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tablesync.contract import TableContract
 from tablesync.errors import ContractError
 from tablesync.functions.keys import enum_valid
-from tablesync.operators.guards import any_null, fail_when
+from tablesync.operators.guards import any_null, exact_cast, fail_when
 
 VIOLATIONS = "`column` string, kind string, expected string, actual string, n_bad bigint"
 
@@ -53,7 +53,7 @@ def default_fill(df: DataFrame, contract: TableContract) -> DataFrame:
     missing = {c.name for c in absent}
     return df.select(
         *(
-            c.default_value().alias(c.name) if c.name in missing else F.col(c.name).cast(c.type).alias(c.name)
+            (c.default_value() if c.name in missing else exact_cast(df, c.name, c.type)).alias(c.name)
             for c in contract.columns
         )
     )
@@ -175,7 +175,7 @@ def schema_reconcile(df: DataFrame, contract: TableContract) -> DataFrame:
     live = {c.lower(): c for c in df.columns}
     out = df.select(
         *(
-            (F.col(live[c.name]).cast(c.type) if c.name in live else c.default_value()).alias(
+            (exact_cast(df, live[c.name], c.type) if c.name in live else c.default_value()).alias(
                 c.name, metadata=c.struct_field().metadata
             )
             for c in contract.columns

@@ -11,6 +11,7 @@ from tablesync.operators import (
     due_accounts,
     due_users,
     ledger_write,
+    lock_check,
     lock_staleness,
     log_retention,
     purge_runs,
@@ -64,6 +65,19 @@ def test_staleness_at_the_cut_off(rows, runs):
     assert {r.lock for r in wide.collect()} == {"fresh"}
 
 
+def test_a_second_run_is_blocked_until_the_lock_is_stale(spark, rows, runs):
+    asked = spark.createDataFrame(
+        [("ingest", "u"), ("ingest", None), ("ingest", "v"), ("ingest", "u")], "name string, user_id string"
+    )
+    assert rows(lock_check(runs, asked, NOW)) == [
+        ("ingest", None, "stale", None),
+        ("ingest", "u", "blocked", datetime(2024, 3, 10, 11, 0, 1)),
+        ("ingest", "v", "free", None),
+    ]
+    later = lock_check(runs, asked, NOW + timedelta(seconds=1))
+    assert rows(later, "user_id", "status") == [(None, "stale"), ("u", "stale"), ("v", "free")]
+
+
 def test_purge_is_strict_about_the_cut_off(rows, runs):
     done = purge_runs(runs, NOW)
     assert rows(done.next_state, "run_id") == [("done",), ("edge",), ("fresh",), ("nobody",)]

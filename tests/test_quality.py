@@ -65,8 +65,11 @@ def test_reconcile_makes_the_diff_empty(spark, rows, tmp_path):
 def test_reconcile_refusals(spark):
     with pytest.raises(ContractError, match="extra"):
         schema_reconcile(live(spark, [(1, "5", "Free", 0)]), TABLE)
-    with pytest.raises(PySparkException):
-        schema_reconcile(live(spark, [(1, "x")], "id int, n string"), TABLE).collect()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(PySparkException, match="n does not cast to int: x"):
+            schema_reconcile(live(spark, [(1, "x")], "id int, n string"), TABLE).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "true")
     with pytest.raises(PySparkException, match="NOT NULL"):
         schema_reconcile(live(spark, [(1, None)], "id int, tier string"), TABLE).collect()
 
