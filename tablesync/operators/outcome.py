@@ -65,14 +65,17 @@ class WriteOutcome:
         """Write the next state to a path it does not read from, counting as it goes.
 
         The counts are observed in the stage that writes, so they cost no second
-        pass and a retried task is counted once.
+        pass and a retried task is counted once. With ``partition_by``, rows are
+        first gathered by those columns; AQE splits a partition that holds most of
+        them over several files.
         """
         if self.keys:
             counts = self.metrics.first().asDict()
-            self.next_state.write.mode(mode).partitionBy(*partition_by).parquet(path)
+            state = gathered(self.next_state, partition_by)
+            state.write.mode(mode).partitionBy(*partition_by).parquet(path)
             return WriteCounts(**counts)
         seen = Observation("write_counts")
-        observed = self.tagged.observe(
+        observed = gathered(self.tagged, partition_by).observe(
             seen,
             F.count_if(F.col(ACTION) == INSERT).alias("rows_inserted"),
             F.count_if(F.col(ACTION) == UPDATE).alias("rows_updated"),
@@ -83,5 +86,10 @@ class WriteOutcome:
         return WriteCounts(self.strategy, **seen.get)
 
 
+def gathered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows laid out for a partitioned write: few files per partition, none too large."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def tag(df: DataFrame, action: str) -> DataFrame:
     return df.withColumn(ACTION, F.lit(action))

@@ -41,7 +41,7 @@ def row_count(df: DataFrame, where: Column | str | None = None) -> DataFrame:
 
 
 def row_exists(df: DataFrame, where: Column | str) -> DataFrame:
-    """One row ``(found)``; the scan stops at the first match."""
+    """One row ``(found)``; each task stops reading at its first match."""
     hit = df.where(as_predicate(where, "row_exists")).select(F.lit(1)).limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("found"))
 

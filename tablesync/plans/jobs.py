@@ -15,7 +15,7 @@ from tablesync.operators.ingest import advanced_accounts, game_flatten, game_rej
 from tablesync.operators.ledger import log_retention, purge_runs
 from tablesync.operators.links import live_links, orphan_accounts
 from tablesync.operators.merge import merge, watermark_advance
-from tablesync.operators.outcome import WriteCounts, WriteOutcome
+from tablesync.operators.outcome import WriteCounts, WriteOutcome, gathered
 from tablesync.operators.reads import table_read
 from tablesync.operators.writes import insert_ignore, overwrite
 from tablesync.session import discard, scratch_dir
@@ -120,9 +120,9 @@ def sync_partitions(
     target = _touched(spark.read.schema(contract.struct()).parquet(path), source, partition_by)
     staging = scratch_dir(spark, "sync")
     counts = merge(target.select(*contract.column_names), source, contract, **merge_options).write(staging)
+    merged = spark.read.schema(contract.struct()).parquet(staging)
     (
-        spark.read.schema(contract.struct())
-        .parquet(staging)
+        gathered(merged, [partition_by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.times import day_path
+from tablesync.operators.outcome import gathered
 
 CORRUPT = "_corrupt_record"
 # Half-written files (.tmp) never match.
@@ -68,6 +69,8 @@ def landing_write(
     ``("account_id", "ingest_date")`` for a folder per account.
     """
     dated = records.withColumn("ingest_date", F.lit(ingest_date).cast("date"))
+    if len(partition_by) > 1:
+        dated = gathered(dated, partition_by)
     writer = dated.write.mode("append").partitionBy(*partition_by)
     writer.option("maxRecordsPerFile", max_records_per_file).json(root)
 

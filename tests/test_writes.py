@@ -127,6 +127,17 @@ def test_write_counts_rows_while_writing(spark, rows, target, tmp_path):
     assert by_name == WriteCounts("merge", 0, 0, 1)
 
 
+def test_partitioned_write_gathers_rows_and_counts_once(spark, rows, tmp_path):
+    table = TableContract("s", "p", (C("k", "bigint"), C("day", "text")), ("k",))
+    target = spark.range(0, 900, 1, 9).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("day"))
+    source = spark.range(890, 910).select(F.col("id").alias("k"), F.lit("2").alias("day"))
+    path = tmp_path / "t"
+    done = merge(target, source, table).write(str(path), partition_by=["day"])
+    assert done == WriteCounts("merge", 10, 10, 0)
+    assert spark.read.parquet(str(path)).count() == 910
+    assert all(len(list((path / f"day={d}").glob("*.parquet"))) == 1 for d in range(3))
+
+
 def test_sync_partitions_rewrites_only_what_it_touches(spark, rows, tmp_path):
     table = TableContract(
         "s", "p", (C("k", "integer", nullable=False), C("a", "text"), C("day", "text", nullable=False)), ("k",)
