@@ -2,8 +2,8 @@ import json
 from datetime import datetime
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from helpers import fails
 
 from tablesync import stored_table
 from tablesync.operators import (
@@ -37,7 +37,7 @@ def test_ndjson_skips_blank_lines_and_fails_on_a_bad_one(spark, tmp_path):
     good = lines(tmp_path / "a.jsonl", json.dumps(game()), "", json.dumps(game("g2", None)), "")
     assert ndjson_read(spark, good, GAME).count() == 2
     bad = lines(tmp_path / "b.jsonl", json.dumps(game()), '{"url": ')
-    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+    with fails("FAILED_READ_FILE"):
         ndjson_read(spark, bad, GAME).collect()
     kept = ndjson_read(spark, bad, GAME, quarantine=True).cache()
     assert kept.where("_corrupt_record IS NOT NULL").first()._corrupt_record == '{"url": '
@@ -53,7 +53,7 @@ def test_games_explode(spark, rows):
     ]
     df = spark.createDataFrame(documents, "account string, document string")
     assert rows(games_explode(df), "account", "url") == [("a", "g1"), ("a", "g2")]
-    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+    with fails("MALFORMED_RECORD"):
         games_explode(spark.createDataFrame([("a", "{")], df.schema)).collect()
 
 
@@ -70,7 +70,7 @@ def test_flatten(spark, tmp_path):
 def test_incomplete_records(spark, tmp_path, missing):
     path = lines(tmp_path / "a.jsonl", json.dumps(game("ok")), json.dumps(game(**{"url": "part", missing: None})))
     raw = ndjson_read(spark, path, GAME)
-    with pytest.raises(PySparkException, match="incomplete game record"):
+    with fails("incomplete game record"):
         game_flatten(raw).collect()
     assert [r.external_game_id for r in game_flatten(raw, strict=False).collect()] == ["ok"]
     assert game_rejects(raw).count() == 1
@@ -124,7 +124,7 @@ def test_month_plan(spark, rows):
     since_launch = month_plan(accounts.where("username = 'b'").drop("joined"), NOW)
     assert since_launch.count() == 19 * 12 + 3
     early = spark.createDataFrame([("x", datetime(2004, 12, 31))], "username string, latest_ingestion timestamp_ntz")
-    with pytest.raises(PySparkException, match="before 2005"):
+    with fails("before 2005"):
         month_plan(early, NOW).collect()
 
 

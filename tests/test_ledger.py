@@ -1,8 +1,8 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from helpers import fails
 
 from tablesync import stored_table
 from tablesync.functions import EPOCH, ntz
@@ -119,7 +119,7 @@ def test_step_order(spark, options):
 @pytest.mark.parametrize("group_limit", [0, 10])
 def test_step_without_run_or_time_fails(spark, group_limit):
     df = spark.createDataFrame([(None, NOW, 1)], "run_id string, started_at timestamp_ntz, id int")
-    with pytest.raises(PySparkException, match="run_id is NULL"):
+    with fails("run_id is NULL"):
         step_order(df, ["id"], group_limit=group_limit).collect()
 
 

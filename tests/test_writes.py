@@ -1,6 +1,6 @@
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from helpers import fails
 
 from tablesync import ColumnContract as C
 from tablesync import ContractError, PredicateError, TableContract
@@ -45,12 +45,12 @@ def test_append(spark, rows, target):
 @pytest.mark.parametrize("keys", [[4, 4], [1, 4]])
 def test_append_clash_fails_all_of_it(spark, target, keys):
     batch = spark.createDataFrame([(k,) for k in keys], "k int")
-    with pytest.raises(PySparkException, match="primary key clash"):
+    with fails("primary key clash"):
         append_strict(target, batch, TABLE).next_state.collect()
 
 
 def test_append_null_key_fails(spark, target):
-    with pytest.raises(PySparkException, match="NOT NULL"):
+    with fails("NOT NULL"):
         append_strict(target, spark.createDataFrame([(None,)], "k int"), TABLE).next_state.collect()
 
 
@@ -62,7 +62,7 @@ def test_insert_ignore(spark, rows, target):
     again = insert_ignore(done.next_state, batch, TABLE, order_by=["n", "a"])
     assert rows(again.next_state) == rows(done.next_state)
     assert counts(again) == ("insert_ignore", 0, 0, 0)
-    with pytest.raises(PySparkException, match="duplicate source keys"):
+    with fails("duplicate source keys"):
         insert_ignore(target, batch, TABLE).next_state.collect()
 
 
@@ -77,7 +77,7 @@ def test_overwrite(spark, rows):
     assert rows(done.next_state) == [(9, "n", 5)]
     assert counts(done) == ("overwrite", 1, 0, 0)
     assert overwrite(spark.createDataFrame([], "k int"), TABLE).next_state.count() == 0
-    with pytest.raises(PySparkException, match="primary key clash"):
+    with fails("primary key clash"):
         overwrite(spark.createDataFrame([(9,), (9,)], "k int"), TABLE).next_state.collect()
 
 
@@ -102,7 +102,7 @@ def test_update_where_refusals(target):
         update_where(target, {}, "k = 1", TABLE)
     with pytest.raises(ContractError):
         update_where(target, {"nope": 1}, "k = 1", TABLE)
-    with pytest.raises(PySparkException, match="NOT NULL"):
+    with fails("NOT NULL"):
         update_where(target, {"n": None}, "k = 1", TABLE).next_state.collect()
     assert update_where(target, {"n": None}, "k = 99", TABLE).next_state.count() == 3
 
