@@ -7,7 +7,6 @@ literals, by Spark. ``{name}`` refers to a given table or another fixture.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -103,15 +102,15 @@ def _names(sql: str) -> list[str]:
     return sorted({part.split("}")[0] for part in sql.split("{")[1:]})
 
 
-@cache
-def _schema(path: str) -> StructType:
-    return SparkSession.active().read.parquet(path).schema
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A given table. Its footer is read once, not once per reference."""
     path = f"{sf_dir}/{table}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
