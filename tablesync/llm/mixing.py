@@ -115,7 +115,7 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=landing(flown, size, float((flown * size)[fractional].sum())))
 
 
-COLUMNS = "source string, doc_id long, row long, size long, p double, draw double"
+COLUMNS = "source string, doc_id string, row long, size long, p double, draw double"
 
 
 def balanced_sample(fractions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -169,10 +169,13 @@ def mix(
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = rated.withColumn("whole", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio))
     draw = F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    fractions = rated.where("size > 0").select("source", "doc_id", "row", "size", "p", draw.alias("draw"))
+    # Ids travel as text: pandas would round large numbers beside a NULL.
+    fractions = rated.where("size > 0").select(
+        "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "row", "size", "p", draw.alias("draw")
+    )
     chosen = (
         balanced_sample(fractions, block_rows)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+        .groupBy(F.expr("nullif(doc_id, '')").cast("long").alias("_id"), F.col("row").alias("_row"))
         .agg(F.sum("p").alias("_chosen"), F.count("*").alias("_rows"))
     )
     joined = rated.join(

@@ -14,6 +14,7 @@ from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mix
 from tablesync.llm.oracle import ORACLE  # noqa: F401 - part of this module's interface
 from tablesync.llm.quality import quality_rules
+from tablesync.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,12 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op4_cube_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(
