@@ -13,6 +13,7 @@ from tablesync.llm.common import read_table, whole
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mix
 from tablesync.llm.oracle import ORACLE  # noqa: F401 - part of this module's interface
+from tablesync.llm.pieces import decode, encode
 from tablesync.llm.quality import quality_rules
 from tablesync.llm.simhash import simhash_components
 
@@ -82,6 +83,19 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the text decoded from them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decode(encode(docs).drop("text"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
