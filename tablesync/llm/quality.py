@@ -142,3 +142,16 @@ def quality_rules(
     return joined.withColumn("limited_words", F.coalesce("limited_words", F.lit(0))).withColumn(
         "kept", ~F.col("base_failed") & (100 * left >= min_left_percent * F.col("n_words"))
     )
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """``docs`` without the documents that ``quality_rules`` rejects. Rows are told apart by id and text."""
+    judged = quality_rules(docs, doc_id, text, host)
+    gone = cut(
+        judged.where(~F.col("kept"))
+        .select(F.col("doc_id").alias("_gone_id"), F.xxhash64(whole(F.col("text"))).alias("_gone_row"))
+        .distinct(),
+        "rejected",
+    )
+    row = F.xxhash64(whole(docs[text]))
+    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("_gone_id")) & (row == F.col("_gone_row")), "left_anti")

@@ -1,0 +1,81 @@
+"""The stages one by one, each against a plain Python version on what the one before kept."""
+
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import pytest
+import sentencepiece
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import corpus_pipeline
+from test_simhash import brute_components, brute_fingerprint
+
+from tablesync.llm.pieces import MODEL
+from tablesync.llm.quality import quality_rules
+
+SF = "/root/testdata/sf0.001"
+SPACE = " \t\n\x0b\x0c\r"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def kept(spark, tmp_path_factory):
+    """What each stage returned, read again; the first entry is the input."""
+    out = [spark.read.parquet(f"{SF}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name.replace(" ", "_"))
+        stage(spark, out[-1], SF).write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.collect()}
+
+
+def test_columns(kept):
+    for df in kept[:-1]:
+        assert df.columns == corpus_pipeline.COLUMNS
+
+
+def test_quality(kept):
+    wanted = {r["doc_id"] for r in quality_rules(kept[0]).where("kept").collect()}
+    assert texts(kept[1]) == {d: t for d, t in texts(kept[0]).items() if d in wanted}
+    assert len(wanted) > 0.6 * kept[0].count()
+
+
+def test_lines(kept):
+    given, holders = texts(kept[1]), defaultdict(set)
+    key = lambda line: line.strip(SPACE).translate(LOWER)
+    for d, t in given.items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(d)
+    gone = {k: max(v) for k, v in holders.items() if len(v) >= 3}
+    wanted = {d: "\n".join(x for x in t.split("\n") if gone.get(key(x), d) == d) for d, t in given.items()}
+    assert texts(kept[2]) == wanted
+    assert all(r["n_chars"] == len(r["text"]) for r in kept[2].collect())
+
+
+def test_near_duplicates(kept):
+    given = texts(kept[2])
+    components = brute_components(list(given), [brute_fingerprint(t) for t in given.values()])
+    assert texts(kept[3]) == {d: given[d] for d in set(components)}
+
+
+def test_mixture(kept):
+    given = texts(kept[3])
+    rows = Counter((r["doc_id"], r["text"]) for r in kept[4].collect())
+    assert all(given[d] == t and 1 <= n <= 3 for (d, t), n in rows.items())
+
+
+def test_pieces_and_run(spark, kept):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    given = texts(kept[4])
+    for r in kept[5].collect():
+        assert list(r["ids"]) == library.encode(given[r["doc_id"]])
+    count = lambda df: Counter((r["doc_id"], tuple(r["ids"])) for r in df.collect())
+    assert count(kept[5]) == count(corpus_pipeline.run(spark, SF))
