@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tablesync.llm.chat import best_paths, format_chat, read_loss, read_turns
 from tablesync.llm.common import read_table, whole
+from tablesync.llm.fingerprint import as_text, edited_documents, likeness, with_fingerprint
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mix
 from tablesync.llm.oracle import ORACLE  # noqa: F401 - part of this module's interface
@@ -26,6 +27,20 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = with_fingerprint(edited_documents(read_table(spark, sf_dir, "documents")), "edited", "edited_print")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("print")).alias("fingerprint"),
+        as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
