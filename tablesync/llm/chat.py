@@ -27,7 +27,6 @@ from tablesync.llm.common import cut, whole
 # Control strings of this template and of common chat templates.
 CONTROL = r"(<s>|</s>|\[/?ROLE\]|\[/?INST\]|<</?SYS>>|<\|(?:im_start|im_end|endoftext|eot_id)\|>)"
 TURN, BODY, END = "<s>[ROLE]", " [/ROLE] ", " </s>"
-MAX_LEVELS = 62
 
 
 def escape(text: Column) -> Column:
@@ -49,28 +48,24 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         ),
         "jump",
     )
+    # Only messages that haven't met their root move on, so a round costs what is still deeper than it.
     levels = []
-    while state.where("up IS NOT NULL").limit(1).count():
-        levels.append(state.select("tree", "id", "up"))
-        if len(levels) > MAX_LEVELS:
-            break
+    while (active := state.where("up IS NOT NULL")).limit(1).count():
+        levels.append(active.select("tree", "id", "up"))
         above = state.select(
             "tree", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
             F.col("total").alias("_total"),
         )
-        new = cut(
-            state.join(above, ["tree", "up"], "left").select(
-                "tree", "id", F.col("_up").alias("up"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            ),
-            "jump",
+        moved = active.join(above, ["tree", "up"]).select(
+            "tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            (F.col("total") + F.col("_total")).alias("total"),
         )
-        # Once only rings still move, no message has come to its root in this round.
-        if new.where("up IS NULL").count() == state.where("up IS NULL").count():
-            state = new
-            break
+        new = cut(state.where("up IS NULL").unionByName(moved), "jump")
+        # Each round brings some message to its root, until only rings are left.
+        stuck = new.where("up IS NULL").count() == state.where("up IS NULL").count()
         state = new
+        if stuck:
+            break
     return levels, state.where("up IS NULL").select("tree", "id", "depth", "total")
 
 
