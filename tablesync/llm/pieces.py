@@ -22,6 +22,7 @@ Columns already named ``ids`` or ``decoded`` are replaced. No rows in, no rows o
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from tablesync.llm.common import cut, indices, whole
 
@@ -38,7 +39,9 @@ SIGN = "▁"
 UNIT = f"{SIGN}*[^{SIGN}]+|{SIGN}+"
 DICTIONARY_UNITS = 1 << 17
 DICTIONARY_CHARS = 24
-TASK_CACHE = 1 << 20
+TASK_CACHE = 1 << 19
+SHORT_UNIT = 128
+SLICE_ROWS = 256
 
 
 def piece_table(model: str = MODEL) -> list[tuple[str, int, float]]:
@@ -60,16 +63,6 @@ def first_byte(model: str = MODEL) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=model).piece_to_id("<0x00>")
 
 
-def signed(text: Column) -> Column:
-    """Text with signs for spaces and one in front; empty stays empty."""
-    marked = F.concat(F.lit(SIGN), F.translate(whole(text), " ", SIGN))
-    return F.when(F.length(whole(text)) > 0, marked).otherwise("")
-
-
-def units_of(text: Column) -> Column:
-    return F.regexp_extract_all(signed(text), F.lit(UNIT), F.lit(0))
-
-
 def encode_units(units: DataFrame, model: str = MODEL) -> DataFrame:
     """``unit``, ``ids`` of each distinct value in ``units`` (unit), by the relational lattice."""
     spark = units.sparkSession
@@ -91,6 +84,7 @@ def encode_units(units: DataFrame, model: str = MODEL) -> DataFrame:
             F.collect_list(F.when(F.col("id").isNotNull(), F.struct("rank", "s", "e", "id")))
         ).alias("edges")
     )
+
     # after[i] is the end of the piece that starts at i, -1 where none does.
     def merge(after: Column, _: Column) -> Column:
         fits = F.filter("edges", lambda x: F.get(after, F.get(after, x["s"])) == x["e"])
@@ -126,9 +120,12 @@ def encode_units(units: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def frequent_units(docs: DataFrame, text: str, limit: int, chars: int = DICTIONARY_CHARS) -> DataFrame:
-    """The ``limit`` most frequent units of all documents that have at most ``chars`` code points."""
-    counts = docs.select(F.explode(units_of(docs[text])).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    return counts.where(F.length("unit") <= chars).orderBy(F.desc("n"), "unit").limit(limit).select("unit")
+    """The ``limit`` most frequent words of all documents, as units of at most ``chars`` code points."""
+    words = docs.select(F.explode(F.split(whole(docs[text]), " ")).alias("word")).where(
+        (F.col("word") != "") & (F.length("word") < chars) & ~F.contains("word", F.lit(SIGN))
+    )
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "word").limit(limit).select(F.concat(F.lit(SIGN), "word").alias("unit"))
 
 
 class Fold(dict):
@@ -136,7 +133,9 @@ class Fold(dict):
 
     def __init__(self, known: dict[str, bytes], pieces: dict[str, tuple[float, int]], base: int):
         super().__init__(known)
-        self.known, self.pieces, self.base = known, pieces, base
+        self.known, self.base = known, base
+        self.ids = {p: i for p, (_, i) in pieces.items()}
+        self.rank = {p: rank for p, (rank, _) in pieces.items()}.get
         self.most = max(map(len, pieces))
 
     def __missing__(self, unit: str) -> bytes:
@@ -149,14 +148,39 @@ class Fold(dict):
         return packed
 
     def fold(self, unit: str) -> list[int]:
-        n, pieces, most = len(unit), self.pieces, self.most
+        ids: list[int] = []
+        for piece in self.parts(unit) if len(unit) <= SHORT_UNIT else self.long_parts(unit):
+            if piece in self.ids:
+                ids.append(self.ids[piece])
+            else:
+                ids += (self.base + b for b in piece.encode())
+        return ids
+
+    def parts(self, unit: str) -> list[str]:
+        """Join the best-ranked pair of neighbours until no pair is a piece; for short units."""
+        rank, never = self.rank, math.inf
+        parts = list(unit)
+        pairs = [rank(unit[i : i + 2], never) for i in range(len(parts) - 1)]
+        while pairs and (best := min(pairs)) != never:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], never)
+        return parts
+
+    def long_parts(self, unit: str) -> list[str]:
+        """The same with an agenda: n log n in the length of the unit."""
+        n, rank, most = len(unit), self.rank, self.most
         after, before = list(range(1, n + 1)), list(range(-1, n))
         agenda: list[tuple[float, int, int, int]] = []
 
         def offer(start: int, middle: int) -> None:
             end = after[middle]
-            if end - start <= most and (found := pieces.get(unit[start:end])):
-                heapq.heappush(agenda, (found[0], start, middle, end))
+            if end - start <= most and (found := rank(unit[start:end])) is not None:
+                heapq.heappush(agenda, (found, start, middle, end))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -170,35 +194,33 @@ class Fold(dict):
                 offer(start, end)
             if start:
                 offer(before[start], start)
-        ids: list[int] = []
-        i = 0
-        while i < n:
-            piece = unit[i : after[i]]
-            if piece in pieces:
-                ids.append(pieces[piece][1])
-            else:
-                ids += (self.base + b for b in piece.encode("utf-8", "surrogatepass"))
-            i = after[i]
-        return ids
+        return [unit[i : after[i]] for i in range(n) if after[i] > 0]
+
+
+Step = tuple[str, DataType, str, Callable[[pa.Array], pa.Array]]
 
 
-def _with_column(df: DataFrame, name: str, data_type, column: str, step: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with ``name`` made from ``column``, a batch of rows at a time; the others pass as they are."""
-    kept = [f for f in df.schema.fields if f.name != name]
-    schema = StructType([*kept, StructField(name, data_type)])
+def _with_columns(df: DataFrame, steps: list[Step], gone: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns (name, type, input column, function) made in order, a slice of rows at a time;
+    columns in ``gone`` go, the others pass as they are."""
+    made = {name for name, *_ in steps}
+    kept = [f for f in df.schema.fields if f.name not in made]
+    out = StructType([*(f for f in kept if f.name not in gone), *(StructField(n, t) for n, t, *_ in steps)])
+    names = [f.name for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, step(batch.column(column))], [*(f.name for f in kept), name])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                columns = {f.name: part.column(f.name) for f in kept}
+                for name, _, source, step in steps:
+                    columns[name] = step(columns[source])
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, out)
 
 
-def encode(
-    docs: DataFrame, text: str = "text", model: str = MODEL, dictionary_units: int = DICTIONARY_UNITS
-) -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of the whole text."""
+def _encoder(docs: DataFrame, text: str, model: str, dictionary_units: int) -> Step:
     words = cut(encode_units(cut(frequent_units(docs, text, dictionary_units), "units"), model), "dictionary")
     known = {
         r["unit"]: np.array(r["ids"], dtype="<i4").tobytes() for r in words.toLocalIterator(prefetchPartitions=True)
@@ -216,22 +238,10 @@ def encode(
         values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32())
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    return _with_column(docs, "ids", ArrayType(IntegerType(), containsNull=False), text, step)
-
-
-_FOLDS: dict[int, Fold] = {}
-
+    return "ids", ArrayType(IntegerType(), containsNull=False), text, step
 
-def _task_fold(number: int, shared) -> Fold:
-    """One dictionary per Python worker, kept from task to task of the same query."""
-    if number not in _FOLDS:
-        _FOLDS.clear()
-        _FOLDS[number] = Fold(*shared.value)
-    return _FOLDS[number]
 
-
-def decode(docs: DataFrame, ids: str = "ids", name: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``docs`` with ``name``, the text that the ids spell. Bytes that are no UTF-8 become U+FFFD."""
+def _decoder(ids: str, name: str, model: str) -> Step:
     import sentencepiece
 
     table = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -246,11 +256,42 @@ def decode(docs: DataFrame, ids: str = "ids", name: str = "decoded", model: str
     ]
 
     def step(rows: pa.Array) -> pa.Array:
-        values, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
         texts = []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            text = b"".join([spelled[i] for i in values[a:b].tolist()])
+        for ids in rows:
+            found = [] if ids.values is None else ids.values.to_numpy(zero_copy_only=False).tolist()
+            text = b"".join([spelled[i] for i in found])
             texts.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
         return pa.array(texts, pa.string())
 
-    return _with_column(docs, name, StringType(), ids, step)
+    return name, StringType(), ids, step
+
+
+def encode(
+    docs: DataFrame, text: str = "text", model: str = MODEL, dictionary_units: int = DICTIONARY_UNITS
+) -> DataFrame:
+    """``docs`` with ``ids``, the piece ids of the whole text."""
+    return _with_columns(docs, [_encoder(docs, text, model, dictionary_units)])
+
+
+def decode(docs: DataFrame, ids: str = "ids", name: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``docs`` with ``name``, the text that the ids spell. Bytes that are no UTF-8 become U+FFFD."""
+    return _with_columns(docs, [_decoder(ids, name, model)])
+
+
+def round_trip(
+    docs: DataFrame, text: str = "text", model: str = MODEL, dictionary_units: int = DICTIONARY_UNITS
+) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded`` instead of the text, in one pass."""
+    steps = [_encoder(docs, text, model, dictionary_units), _decoder("ids", "decoded", model)]
+    return _with_columns(docs, steps, gone=(text,))
+
+
+_FOLDS: dict[int, Fold] = {}
+
+
+def _task_fold(number: int, shared) -> Fold:
+    """One dictionary per Python worker, kept from task to task of the same query."""
+    if number not in _FOLDS:
+        _FOLDS.clear()
+        _FOLDS[number] = Fold(*shared.value)
+    return _FOLDS[number]

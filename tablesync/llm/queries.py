@@ -14,7 +14,8 @@ from tablesync.llm.fingerprint import as_text, edited_documents, likeness, with_
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mix
 from tablesync.llm.oracle import ORACLE  # noqa: F401 - part of this module's interface
-from tablesync.llm.pieces import decode, encode
+from tablesync.llm.pii import KINDS, find_personal_data
+from tablesync.llm.pieces import round_trip
 from tablesync.llm.quality import quality_rules
 from tablesync.llm.simhash import simhash_components
 
@@ -102,8 +103,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text decoded from them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs).drop("text"))
-    return done.select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -115,3 +115,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(whole(F.col("text")), 256).alias("kept_sha256"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(f"n_{kind}" for kind in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
