@@ -18,6 +18,7 @@ from tablesync.llm.pii import KINDS, find_personal_data
 from tablesync.llm.pieces import round_trip
 from tablesync.llm.quality import quality_rules
 from tablesync.llm.simhash import simhash_components
+from tablesync.llm.suffixes import repeated_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +93,15 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeated_substrings(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", spans.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).select(
