@@ -17,6 +17,7 @@ from tablesync.llm.oracle import ORACLE  # noqa: F401 - part of this module's in
 from tablesync.llm.pii import KINDS, find_personal_data
 from tablesync.llm.pieces import round_trip
 from tablesync.llm.quality import quality_rules
+from tablesync.llm.secrets import secret_scan
 from tablesync.llm.simhash import simhash_components
 from tablesync.llm.suffixes import repeated_substrings
 
@@ -29,6 +30,13 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every text, the secrets themselves as digests."""
+    found = secret_scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "kept")
+
+
 @query
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = with_fingerprint(edited_documents(read_table(spark, sf_dir, "documents")), "edited", "edited_print")
