@@ -4,7 +4,8 @@ Each source's target is its share of all words; a document's expected number of
 source size. Whole copies are certain; the fraction is an inclusion probability. Within blocks of one
 source, probabilities move along the null space of two constraints, the number of documents and their
 words, until at most two per block are left undecided; the undecided rows of many blocks form the next,
-far smaller round. What one last block leaves, two documents at most, is the landing problem.
+far smaller round. What one last block leaves, two documents at most, and the source's smallest ``LANDING``
+documents left are the landing problem, of which every choice is weighed.
 
 Defined results: NULL or empty text has size 0 and is taken 0 words. A NULL source is one source, last
 in order. Rows with the same id are documents of their own, told apart by their text; equal rows share
@@ -23,6 +24,7 @@ from tablesync.llm.common import cut, numbered, words_of
 
 LIMIT = 3.0
 BLOCK_ROWS = 4096
+LANDING = 10  # documents kept out of the last flight, the smallest ones
 SEED = 20240601
 
 
@@ -88,16 +90,15 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-def landing(p: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
-    """Decide the last one or two documents: the choice whose words come nearest to ``owed``."""
-    open_ = [i for i in range(len(p)) if 0.0 < p[i] < 1.0]
-    choices = [[]]
-    for i in open_:
-        choices += [[*chosen, i] for chosen in choices]
-    best = min(choices, key=lambda chosen: (abs(sum(size[i] for i in chosen) - owed), len(chosen)))
+def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Decide the last documents: of all choices the one whose words come nearest to what is expected of
+    them, then the one whose number of documents does."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    words = np.abs(choices @ size[open_] - (p * size)[open_].sum())
+    documents = np.abs(choices.sum(axis=1) - p[open_].sum())
     out = p.copy()
-    out[open_] = 0.0
-    out[best] = 1.0
+    out[open_] = choices[np.lexsort((documents, words))[0]]
     return out
 
 
@@ -109,10 +110,10 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "draw", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
-    p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
-    flown = flight(p, size, pdf["draw"].to_numpy())
-    fractional = (flown > 0) & (flown < 1)
-    return pdf.assign(p=landing(flown, size, float((flown * size)[fractional].sum())))
+    p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy(float)
+    most = max(len(p) - LANDING, 0)
+    flown = np.concatenate([flight(p[:most], size[:most], pdf["draw"].to_numpy()[:most]), p[most:]])
+    return pdf.assign(p=landing(flown, size))
 
 
 COLUMNS = "source string, doc_id string, row long, size long, p double, draw double"
