@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tablesync.contract import TableContract
 from tablesync.errors import ContractError
+from tablesync.operators.guards import guard_empty
 from tablesync.operators.ingest import advanced_accounts, game_flatten, game_rejects, incremental_since
 from tablesync.operators.ledger import log_retention, purge_runs
 from tablesync.operators.links import live_links, orphan_accounts
 from tablesync.operators.merge import merge, watermark_advance
-from tablesync.operators.outcome import WriteCounts, WriteOutcome, gathered
+from tablesync.operators.outcome import WriteOutcome, gathered
 from tablesync.operators.reads import table_read
 from tablesync.operators.writes import insert_ignore, overwrite
 from tablesync.session import discard, scratch_dir
@@ -86,30 +87,36 @@ def nightly_maintenance(
     return Maintenance(purge_runs(runs, now), links, orphan_accounts(accounts, links), log_retention(logs, now))
 
 
-# Partition values named in a scan; more than this and a join finds them.
-MAX_LISTED_PARTITIONS = 10_000
+def _touched(table: DataFrame, source: DataFrame, partition: str) -> DataFrame:
+    """The partitions of ``table`` that occur in ``source``, the NULL partition like any other.
+
+    The smallest and largest value prune partitions before the table is read; a
+    null-safe join on the distinct values does the rest, however many there are.
+    """
+    low, high, nulls = source.agg(F.min(partition), F.max(partition), F.count_if(F.col(partition).isNull())).first()
+    within = F.col(partition).between(F.lit(low), F.lit(high)) if low is not None else F.lit(False)
+    if nulls:
+        within = within | F.col(partition).isNull()
+    values = source.select(F.col(partition).alias("_touched")).distinct()
+    return table.where(within).join(values, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
 
 
-def _touched(table: DataFrame, source: DataFrame, partition: str) -> DataFrame:
-    """The partitions of ``table`` that occur in ``source``."""
-    values = source.select(partition).distinct()
-    listed = [row[0] for row in values.limit(MAX_LISTED_PARTITIONS + 1).collect()]
-    if len(listed) > MAX_LISTED_PARTITIONS:
-        return table.join(values, partition, "left_semi")
-    # Literals prune partitions before the table is read.
-    named = F.col(partition).isin([v for v in listed if v is not None])
-    return table.where(named | F.col(partition).isNull() if None in listed else named)
+def _untouched(table: DataFrame, source: DataFrame, partition: str) -> DataFrame:
+    values = source.select(F.col(partition).alias("_touched")).distinct()
+    return table.join(values, F.col(partition).eqNullSafe(F.col("_touched")), "left_anti")
 
 
 def sync_partitions(
     path: str, source: DataFrame, contract: TableContract, partition_by: str, **merge_options
-) -> WriteCounts:
+) -> dict:
     """Merge into a partitioned Parquet table, rewriting only the partitions the source touches.
 
     For merges that remove no row and whose partition value never changes for a
-    key, as with an ingestion date. The touched partitions are merged to scratch
-    first, because a path cannot be read and overwritten in one job; that copy stays
-    there until the partitions have been replaced.
+    key, as with an ingestion date; a source key held by a partition that the source
+    does not touch fails the job. Each call looks through the keys of the whole table
+    for that, and no other column of those partitions. The touched partitions are
+    merged to scratch first, because a path cannot be read and overwritten in one
+    job; that copy stays there until the partitions have been replaced.
     """
     if merge_options.get("when_matched") == "delete" or merge_options.get("when_not_matched_by_source") == "delete":
         raise ContractError("a partition-wise merge cannot delete: an emptied partition would stay")
@@ -117,7 +124,11 @@ def sync_partitions(
     if partition_by not in source.columns:
         raise ContractError(f"source lacks the partition column {partition_by!r}")
     spark = source.sparkSession
-    target = _touched(spark.read.schema(contract.struct()).parquet(path), source, partition_by)
+    table = spark.read.schema(contract.struct()).parquet(path)
+    target = _touched(table, source, partition_by)
+    keys = list(merge_options.get("keys") or contract.primary_key)
+    moved = _untouched(table, source, partition_by).select(*keys).join(source.select(*keys), keys, "left_semi")
+    source = guard_empty(source, moved, f"source keys of {contract.name} held by another partition")
     staging = scratch_dir(spark, "sync")
     counts = merge(target.select(*contract.column_names), source, contract, **merge_options).write(staging)
     merged = spark.read.schema(contract.struct()).parquet(staging)

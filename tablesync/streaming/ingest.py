@@ -1,8 +1,9 @@
 """Landing zone to games table as a stream.
 
 Files are replayable and inserts are idempotent, which together give exactly-once
-rows: each micro-batch writes its own partition of the table and looks for known
-games in earlier partitions only, so a replayed batch overwrites itself.
+rows: each micro-batch writes its own partitions of the table, named after the query
+and the batch, and looks for known games in all others, so a replayed batch overwrites
+itself and a query with a new checkpoint adds to what is there.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from tablesync.contract import TableContract
 from tablesync.operators.dedupe import dedupe_by_key
 from tablesync.operators.ingest import GAME, game_flatten, game_rejects
 from tablesync.operators.merge import absent_from
+from tablesync.operators.outcome import gathered
 from tablesync.session import discard, scratch_dir, stored
 from tablesync.sources.landing import CORRUPT, LANDED
 
 BATCH = "batch_id"
-SALTS = 64
+BUCKET = "bucket"
+MAX_FILE_AGE = "36500d"
+BUCKETS = 256  # of the key's hash; a look-up reads those that its batch has
 
 
 def _stream(spark: SparkSession, landing: str, max_files: int | None) -> DataFrame:
@@ -31,19 +35,24 @@ def _stream(spark: SparkSession, landing: str, max_files: int | None) -> DataFra
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", LANDED)
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # Spark otherwise passes over files a week older than the newest; restored ones may be.
+        # In return the names of all files read stay in the checkpoint.
+        .option("maxFileAge", MAX_FILE_AGE)
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(landing).select(
         "*",
         F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start").alias("_block"),
     )
 
 
 def read_ingested(spark: SparkSession, table: str, contract: TableContract) -> DataFrame:
-    """The games table a stream has written, with its ``batch_id`` partition column."""
-    schema = T.StructType([*contract.struct().fields, T.StructField(BATCH, T.LongType())])
+    """The games table a stream has written, with its partition columns ``bucket`` and ``batch_id``
+    (query id and number of the micro-batch)."""
+    parts = [T.StructField(BUCKET, T.IntegerType()), T.StructField(BATCH, T.StringType())]
+    schema = T.StructType([*contract.struct().fields, *parts])
     try:
         return spark.read.schema(schema).parquet(table)
     except AnalysisException as error:
@@ -72,20 +81,32 @@ def ingest_stream(
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        # Numbers start again with a new checkpoint; the query's id does not repeat.
+        own = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         if rejects:
             # Under its own name the text would be taken for a new parse failure when read.
             aside = game_rejects(batch).withColumnRenamed(CORRUPT, "line")
-            aside.write.mode("overwrite").json(f"{rejects}/{BATCH}={batch_id}")
+            aside.write.mode("overwrite").json(f"{rejects}/{BATCH}={own}")
         games = game_flatten(batch, source_file="source_file", strict=rejects is None)
         order = [F.col("played_at").asc_nulls_last(), *(c for c in games.columns if c not in (*key, "played_at"))]
         # Written out, the batch has a known size: if it is small, the look-up scans the
-        # ids of the table in place instead of shuffling all of them per batch.
+        # ids of the table in place instead of shuffling them.
         scratch = scratch_dir(session, "batch")
-        unique = stored(dedupe_by_key(games, key, order, null_keys=False), scratch)
-        known = read_ingested(session, table, contract).where(F.col(BATCH) < batch_id)
-        fresh = absent_from(unique, known, key, unique_target=True)
-        fresh.select(*contract.column_names).write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
-        discard(session, scratch)
+        try:
+            bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+            unique = stored(dedupe_by_key(games, key, order, null_keys=False).withColumn(BUCKET, bucket), scratch)
+            buckets = [row[0] for row in unique.select(BUCKET).distinct().collect()]
+            known = read_ingested(session, table, contract).where(F.col(BUCKET).isin(buckets) & (F.col(BATCH) != own))
+            fresh = absent_from(unique, known, key, unique_target=True).withColumn(BATCH, F.lit(own))
+            (
+                gathered(fresh.select(*contract.column_names, BUCKET, BATCH), [BUCKET])
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(BUCKET, BATCH)
+                .parquet(table)
+            )
+        finally:
+            discard(session, scratch)
 
     return (
         _stream(spark, landing, max_files)
@@ -104,24 +125,37 @@ def stream_dedupe(
     *,
     lateness: str = "7 days",
     strict: bool = True,
+    rejects: str | None = None,
     max_files: int | None = None,
 ) -> StreamingQuery:
-    """Start copying new games to ``table``, dropping repeats that land within ``lateness``.
-
-    Time is when the file landed, so games played long ago, or without a time,
-    are not late. The state holds ids only, and only as long as the bound asks;
-    the table is never read. Repeats are first dropped per id and group of files,
-    so an id that most records share is spread over many tasks and reaches the
-    final step at most once per group. ``strict`` stops at an incomplete record;
-    otherwise such records are skipped.
+    """Start copying new games to ``table``, dropping repeats read within ``lateness``.
+
+    Time is when the stream reads a record, so no record is late, however old its
+    file or its game. The state holds ids only, and only as long as the bound asks;
+    the table is never read. Repeats are first dropped per id and block of a file,
+    so an id that most records share is spread over many tasks and reaches the final
+    step at most once per block. ``strict`` stops at an incomplete record; otherwise
+    such records are skipped, or with ``rejects`` written there as JSON by a second
+    query, which stops like the first.
     """
-    landed = _stream(spark, landing, max_files).withWatermark("landed_at", lateness)
-    timed = game_flatten(landed, source_file="source_file", strict=strict, extra=["landed_at"])
+    if rejects:
+        strict = False
+        aside = game_rejects(_stream(spark, landing, max_files)).withColumnRenamed(CORRUPT, "line").drop("_block")
+        (
+            aside.writeStream.format("json")
+            .option("path", rejects)
+            .option("checkpointLocation", f"{checkpoint.rstrip('/')}-rejects")
+            .trigger(availableNow=True)
+            .start()
+        )
+    read = _stream(spark, landing, max_files).withColumn("_read_at", F.current_timestamp())
+    timed = game_flatten(
+        read.withWatermark("_read_at", lateness), source_file="source_file", strict=strict, extra=["_read_at", "_block"]
+    )
     unique = (
-        timed.withColumn("_salt", F.pmod(F.xxhash64("source_file"), F.lit(SALTS)))
-        .dropDuplicatesWithinWatermark(["external_game_id", "_salt"])
+        timed.dropDuplicatesWithinWatermark(["external_game_id", "_block"])
         .dropDuplicatesWithinWatermark(["external_game_id"])
-        .drop("landed_at", "_salt")
+        .drop("_read_at", "_block")
     )
     return (
         unique.writeStream.format("parquet")
