@@ -71,6 +71,15 @@ def _plain(value: Any) -> Any:
     return value.isoformat() if isinstance(value, date | datetime | time) else value
 
 
+def exact_literal(value: object, want: T.DataType) -> Column:
+    """A constant in its declared type; one that does not fit fails in any session."""
+    literal = F.lit(value)
+    if value is None:
+        return literal.cast(want)
+    message = f"{value!r} is no {want.simpleString()}"
+    return F.when(literal.try_cast(want).isNull(), F.raise_error(F.lit(message))).otherwise(literal.try_cast(want))
+
+
 @dataclass(frozen=True)
 class ColumnContract:
     """One declared column. ``domain`` lists the allowed values of an enumeration."""
@@ -96,7 +105,7 @@ class ColumnContract:
 
     def default_value(self) -> Column:
         """The declared default as a typed literal (NULL when none is declared)."""
-        return F.lit(self.default).cast(self.type)
+        return exact_literal(self.default, self.type)
 
     def struct_field(self) -> T.StructField:
         notes: dict[str, Any] = {}

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 # Fixed value: a run whose finish is the epoch is still active.
 EPOCH = "1970-01-01 00:00:00"
 
-_HAS_ZONE = r"\d:\d{2}.*(?:[Zz]|[+-]\d{2}(?::?\d{2})?|[A-Za-z]+/[A-Za-z_/]+|UTC|GMT)$"
+# A date, or a date and time, with nothing behind it. Whatever else follows must be a zone.
+_NO_ZONE = r"^[+-]?\d+(?:-\d{1,2}){0,2}(?:[T ](?:\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d*)?)?)?)?)?$"
 
 
 def ntz(value: datetime | str | Column) -> Column:
@@ -54,10 +55,11 @@ def instant_to_utc(instant: Column) -> Column:
 
 
 def text_to_utc(text: Column) -> Column:
-    """Timestamp text to UTC: an offset or zone name is applied, none means UTC."""
+    """Timestamp text to UTC: an offset or zone name is applied, none means UTC. A zone
+    that Spark does not know fails the cast."""
     text = F.trim(text)
     zoned = instant_to_utc(text.cast("timestamp"))
-    return F.when(text.rlike(_HAS_ZONE), zoned).otherwise(text.cast("timestamp_ntz"))
+    return F.when(text.rlike(_NO_ZONE), text.cast("timestamp_ntz")).otherwise(zoned)
 
 
 def zoned_to_utc(local: Column, zone: Column | str) -> Column:

@@ -16,6 +16,7 @@ from tablesync.operators.ingest import (
 from tablesync.operators.ledger import (
     active_locks,
     due_accounts,
+    bad_schedules,
     due_users,
     ledger_write,
     lock_check,
@@ -37,7 +38,7 @@ from tablesync.operators.links import (
     unlink_cascade,
 )
 from tablesync.operators.merge import absent_from, merge, watermark_advance
-from tablesync.operators.outcome import WriteCounts, WriteOutcome
+from tablesync.operators.outcome import WriteOutcome
 from tablesync.operators.quality import (
     contract_check,
     default_fill,

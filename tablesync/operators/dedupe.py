@@ -11,12 +11,26 @@ from tablesync.functions.times import epoch_micros
 from tablesync.operators.guards import any_null, required
 
 
+# Above this Spark no longer limits groups before a shuffle by itself.
+GROUP_LIMIT = 1000
+PARTS = 64
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The first ``n`` rows per key.
 
-    The rank limit is applied before the shuffle as well as after it, so a key
-    that holds most of the rows sends at most ``n`` of them per task.
+    The rank limit is applied before rows of a key meet as well as after, so a key that
+    holds most of the rows brings at most ``n`` of them per task, or per part, together.
     """
+    if n > GROUP_LIMIT:
+        # Spark limits groups ahead of the shuffle only for small n; here a key is first cut
+        # to n rows in each of several parts.
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        return _first(_first(df.withColumn("_part", part), [*keys, "_part"], order_by, n).drop("_part"), keys, order_by, n)
+    return _first(df, keys, order_by, n)
+
+
+def _first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], n: int) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order_by)
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
 
@@ -31,8 +45,9 @@ def dedupe_by_key(
     """
     if not null_keys:
         return top_per_key(df, keys, order_by)
-    keyed = top_per_key(df.where(~any_null(keys)), keys, order_by)
-    return keyed.unionByName(df.where(any_null(keys)))
+    # A row with a NULL in its key gets a number of its own, so it competes with no other.
+    alone = F.when(any_null(keys), F.monotonically_increasing_id())
+    return top_per_key(df.withColumn("_alone", alone), [*keys, "_alone"], order_by).drop("_alone")
 
 
 def number_in_group(

@@ -46,6 +46,25 @@ def guard_empty(df: DataFrame, violations: DataFrame, message: str) -> DataFrame
     return df.where(fail_when(found > 0, text))
 
 
+def lossy(column: Column, have: T.DataType, want: T.DataType) -> Column:
+    """True for a value that another type cannot hold: it does not cast, or does not come back.
+
+    Text may spell a value in many ways, so it is compared in the widest type of its
+    kind. Between floating-point types rounding is expected.
+    """
+    cast = column.try_cast(want)
+    lost = column.isNotNull() & cast.isNull()
+    floats = (T.FloatType, T.DoubleType)
+    if isinstance(want, T.StringType) or (isinstance(have, floats) and isinstance(want, floats)):
+        return lost
+    if isinstance(have, T.StringType):
+        wide = {T.DateType: T.TimestampNTZType(), T.DecimalType: T.DecimalType(38, 18)}.get(type(want))
+        if wide is None:
+            return lost
+        return lost | ~F.coalesce(column.try_cast(wide) == cast.cast(wide), cast.isNull())
+    return lost | ~F.coalesce(cast.try_cast(have) == column, cast.isNull())
+
+
 def exact_cast(df: DataFrame, name: str, want: T.DataType) -> Column:
     """The column in another type; a value that does not survive fails the job in any
     session, with ANSI mode on or off."""
@@ -53,7 +72,7 @@ def exact_cast(df: DataFrame, name: str, want: T.DataType) -> Column:
     if df.schema[name].dataType == want:
         return column
     cast = column.try_cast(want)
-    lost = column.isNotNull() & cast.isNull()
+    lost = lossy(column, df.schema[name].dataType, want)
     message = F.concat(F.lit(f"{name} does not cast to {want.simpleString()}: "), column.cast("string"))
     return F.when(lost, F.raise_error(message)).otherwise(cast)
 

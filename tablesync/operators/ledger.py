@@ -141,17 +141,29 @@ def due_accounts(
     return accounts.where(F.col(column).isNull() | (F.col(column) <= ago(now, every)))
 
 
+def _local_time(day: Column) -> Column:
+    return F.concat(day.cast("string"), F.lit(" "), F.col("cron_time").cast("string")).try_cast("timestamp_ntz")
+
+
+def bad_schedules(users: DataFrame) -> DataFrame:
+    """Users whose ``cron_time`` is NULL or no time of day, or whose zone is unknown."""
+    unknown = users.join(valid_zones(users.sparkSession), "timezone", "left_anti").select(*users.columns)
+    known = users.join(valid_zones(users.sparkSession), "timezone", "left_semi").select(*users.columns)
+    return unknown.unionByName(known.where(_local_time(F.lit("2000-01-01")).isNull()))
+
+
 def due_users(users: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Users whose ``cron_time`` in their ``timezone`` falls in the UTC interval [start, end).
 
     Adds ``due_at`` in UTC. Zones are up to 14 hours from UTC, so the local dates
-    from one day before the start to one day after the end are tried. Users with
-    an unknown zone are left out.
+    from one day before the start to one day after the end are tried. Users with an
+    unknown zone, or without a readable ``cron_time``, are left out; ``bad_schedules``
+    lists them.
     """
     known = users.join(valid_zones(users.sparkSession), "timezone", "left_semi")
     first, last = ntz(start).cast("date"), ntz(end).cast("date")
     days = F.sequence(F.date_sub(first, 1), F.date_add(last, 1))
-    local = F.concat_ws(" ", F.col("_day").cast("string"), F.col("cron_time")).cast("timestamp_ntz")
+    local = _local_time(F.col("_day"))
     tried = known.select(*users.columns, F.explode(days).alias("_day"))
     due = tried.withColumn("due_at", zoned_to_utc(local, F.col("timezone"))).drop("_day")
     return due.where((F.col("due_at") >= ntz(start)) & (F.col("due_at") < ntz(end)))

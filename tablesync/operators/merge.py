@@ -76,10 +76,10 @@ def absent_from(source: DataFrame, target: DataFrame, keys: list[str], *, unique
     """Source rows whose key is not in the target."""
     held = target.select(*keys)
     if fits_broadcast(source):
-        # Keys of the source that the target holds: at most as many as the source,
-        # which has just passed the size check.
+        # Keys that both sides hold are few where the source is small: the target stays in
+        # place and the next join can take whichever form suits their measured number.
         hits = held.join(source.select(*keys), keys, "left_semi")
-        return source.join(F.broadcast(hits if unique_target else hits.distinct()), keys, "left_anti")
+        return source.join(hits if unique_target else hits.distinct(), keys, "left_anti")
     return source.join(held if unique_target else key_set(target, keys), keys, "left_anti")
 
 
@@ -183,11 +183,13 @@ def _check_choice(name: str, value: str, allowed: Sequence[str]) -> None:
         raise ContractError(f"{name} must be one of {list(allowed)}, not {value!r}")
 
 
-def _join(target: DataFrame, source: DataFrame, keys: list[str], condition: Column | None, how: str) -> DataFrame:
+def _on(keys: list[str], condition: Column | None) -> Column:
     on = reduce(and_, (F.col(f"_target.{k}") == F.col(f"_source.{k}") for k in keys))
-    if condition is not None:
-        on = on & condition
-    return target.alias("_target").join(source.alias("_source"), on, how)
+    return on if condition is None else on & condition
+
+
+def _join(target: DataFrame, source: DataFrame, keys: list[str], condition: Column | None, how: str) -> DataFrame:
+    return target.alias("_target").join(source.alias("_source"), _on(keys, condition), how)
 
 
 def _matched_side(
@@ -221,8 +223,8 @@ def _matched_side(
 def _unmatched_source(target, source, keys, condition, on_key) -> DataFrame:
     if condition is None:
         return absent_from(source, target, keys, unique_target=on_key)
-    hits = _join(target, source, keys, condition, "inner").select(*(F.col(f"_source.{k}").alias(k) for k in keys))
-    return source.join(hits.distinct(), keys, "left_anti")
+    # The condition looks at a pair of rows, so a row is unmatched when no pair of its own fits.
+    return source.alias("_source").join(target.alias("_target"), _on(keys, condition), "left_anti")
 
 
 def _full_outer(

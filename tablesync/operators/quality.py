@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from zoneinfo import available_timezones
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from tablesync.contract import TableContract
 from tablesync.errors import ContractError
 from tablesync.functions.keys import enum_valid
-from tablesync.operators.guards import any_null, exact_cast, fail_when
+from tablesync.operators.guards import any_null, exact_cast, fail_when, lossy
 
 VIOLATIONS = "`column` string, kind string, expected string, actual string, n_bad bigint"
 
@@ -41,7 +42,7 @@ def enum_check(df: DataFrame, column: str, domain: Iterable[str], *, strict: boo
 
 
 def default_fill(df: DataFrame, contract: TableContract) -> DataFrame:
-    """Contract columns in order; an absent column takes its default.
+    """Contract columns in order, with their notes; an absent column takes its default.
 
     A column that is present keeps its NULLs. An absent column that is required
     and has no default is an error.
@@ -53,7 +54,9 @@ def default_fill(df: DataFrame, contract: TableContract) -> DataFrame:
     missing = {c.name for c in absent}
     return df.select(
         *(
-            (c.default_value() if c.name in missing else exact_cast(df, c.name, c.type)).alias(c.name)
+            (c.default_value() if c.name in missing else exact_cast(df, c.name, c.type)).alias(
+                c.name, metadata=c.struct_field().metadata
+            )
             for c in contract.columns
         )
     )
@@ -109,8 +112,14 @@ def _report(df: DataFrame, names: Sequence[str], findings: Sequence[_Finding]) -
     return totals.select(_inline((*names, "n_bad", "_shown"), rows)).where("_shown").drop("_shown")
 
 
-def _not_castable(column: Column, dtype: T.DataType) -> Column:
-    return column.isNotNull() & column.try_cast(dtype).isNull()
+def _attached_default(notes: dict) -> str | None:
+    """The default a column carries: in this library's note, or as SQL in a catalog table."""
+    if "default" in notes:
+        return notes["default"]
+    sql = notes.get("CURRENT_DEFAULT")
+    if sql is not None and len(sql) > 1 and sql[0] == sql[-1] == "'":
+        return re.sub(r"\\(.)", r"\1", sql[1:-1])
+    return sql
 
 
 def schema_diff(df: DataFrame | None, contract: TableContract, spark: SparkSession | None = None) -> DataFrame:
@@ -142,12 +151,12 @@ def schema_diff(df: DataFrame | None, contract: TableContract, spark: SparkSessi
         column, notes = F.col(field.name), field.metadata
         if field.dataType != c.type:
             labels = (c.name, "type", declared, field.dataType.simpleString())
-            found.append(_Finding(labels, _not_castable(column, c.type)))
+            found.append(_Finding(labels, lossy(column, field.dataType, c.type)))
         if c.name in contract.required:
             found.append(_Finding((c.name, "nullable", "not null", "null"), column.isNull(), if_any=True))
         default = None if c.default is None else str(c.default)
-        if default != notes.get("default"):
-            found.append(_Finding((c.name, "default", default, notes.get("default"))))
+        if default != _attached_default(notes):
+            found.append(_Finding((c.name, "default", default, _attached_default(notes))))
         if c.comment != notes.get("comment"):
             found.append(_Finding((c.name, "comment", c.comment, notes.get("comment"))))
     names = ("column", "kind", "expected", "actual")
@@ -189,10 +198,12 @@ def schema_reconcile(df: DataFrame, contract: TableContract) -> DataFrame:
 def contract_check(df: DataFrame, contract: TableContract) -> DataFrame:
     """Everything that keeps ``df`` from being this table, as rows of ``(rule, column, detail, n_bad)``.
 
-    Rules: only_in_data, only_in_contract, type, nullable, domain, and the key,
-    id and watermark columns the contract names but does not declare or the data lacks.
+    Rules: only_in_data, only_in_contract, type, nullable, default (declared, but another
+    or none attached to the data), domain, and the key, id and watermark columns the
+    contract names but does not declare or the data lacks.
     """
     live = {f.name: f.dataType for f in df.schema.fields}
+    notes = {f.name: f.metadata for f in df.schema.fields}
     found = [
         _Finding(("only_in_data", c, live[c].simpleString())) for c in live if c not in contract.column_names
     ]
@@ -203,9 +214,12 @@ def contract_check(df: DataFrame, contract: TableContract) -> DataFrame:
         column = F.col(c.name)
         if live[c.name] != c.type:
             detail = f"{live[c.name].simpleString()} for {c.type.simpleString()}"
-            found.append(_Finding(("type", c.name, detail), _not_castable(column, c.type)))
+            found.append(_Finding(("type", c.name, detail), lossy(column, live[c.name], c.type)))
         if c.name in contract.required:
             found.append(_Finding(("nullable", c.name, "NULL where NOT NULL"), column.isNull(), if_any=True))
+        declared, attached = None if c.default is None else str(c.default), _attached_default(notes[c.name])
+        if declared != attached:
+            found.append(_Finding(("default", c.name, f"{attached} for {declared}")))
         if c.domain:
             outside = column.isNotNull() & ~enum_valid(column.cast("string"), c.domain)
             found.append(_Finding(("domain", c.name, "outside " + "|".join(c.domain)), outside, if_any=True))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.contract import TableContract
+from tablesync.contract import TableContract, exact_literal
 from tablesync.errors import ContractError
 from tablesync.functions.keys import as_predicate
 from tablesync.operators.dedupe import dedupe_by_key
@@ -86,7 +86,7 @@ def update_where(
     marked = target.select(*contract.column_names, hit.alias("_hit"))
     tagged = marked.select(
         *(
-            F.when(F.col("_hit"), F.lit(values[c.name]).cast(c.type)).otherwise(F.col(c.name)).alias(c.name)
+            F.when(F.col("_hit"), exact_literal(values[c.name], c.type)).otherwise(F.col(c.name)).alias(c.name)
             if c.name in values
             else F.col(c.name)
             for c in contract.columns

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesync.functions.times import day_path
+from tablesync.errors import ContractError
 from tablesync.operators.outcome import gathered
 
 CORRUPT = "_corrupt_record"
 # Half-written files (.tmp) never match.
-LANDED = "*.json*"
+LANDED = "*.{json,jsonl}"
 
 
 def ndjson_read(
@@ -35,19 +37,47 @@ def ndjson_read(
     )
 
 
-def landing_load(spark: SparkSession, root: str, schema: T.StructType, *, quarantine: bool = False) -> DataFrame:
-    """Every landed file under ``root`` at any depth, with ``source_file`` (its name) and
-    ``source_path``."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", LANDED)
+def landing_load(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    *,
+    quarantine: bool = False,
+    since: date | str | None = None,
+    until: date | str | None = None,
+) -> DataFrame:
+    """Every landed file under ``root``, with ``source_file`` (its name) and ``source_path``.
+
+    The folders ``landing_write`` makes come back as columns, ``ingest_date`` and, where
+    they are there, further ones such as ``account_id``. ``since`` and ``until`` are the
+    first and last ``ingest_date`` to read; folders of other days are not opened.
+    """
+    reader = spark.read.option("pathGlobFilter", LANDED)
     if quarantine:
         fields = [*schema.fields, T.StructField(CORRUPT, T.StringType())]
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         schema = T.StructType(fields)
     else:
         reader = reader.option("mode", "FAILFAST")
-    loaded = reader.schema(schema).json(root)
+    reader = reader.schema(schema)
+    try:
+        loaded = reader.json(root)
+        foldered = len(loaded.columns) > len(schema)
+    except SparkRuntimeException as error:
+        if error.getCondition() != "CONFLICTING_DIRECTORY_STRUCTURES":
+            raise
+        foldered = False
+    if not foldered:
+        # Folders that name no columns, or not the same ones throughout: read at any depth.
+        loaded = reader.option("recursiveFileLookup", "true").json(root)
+    if "ingest_date" in loaded.columns:
+        day = F.col("ingest_date")
+        loaded = loaded.where(day >= F.lit(since).cast("date")) if since is not None else loaded
+        loaded = loaded.where(day <= F.lit(until).cast("date")) if until is not None else loaded
+    elif since is not None or until is not None:
+        raise ContractError(f"{root} has no ingest_date folders")
     return loaded.select(
-        *schema.fieldNames(),
+        "*",
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_path").alias("source_path"),
     )
@@ -73,8 +103,3 @@ def landing_write(
         dated = gathered(dated, partition_by)
     writer = dated.write.mode("append").partitionBy(*partition_by)
     writer.option("maxRecordsPerFile", max_records_per_file).json(root)
-
-
-def landing_path(root: str, account_id: Column, ts: Column, file_name: Column) -> Column:
-    """``root/ingested/<account>/yyyy/MM/dd/<file>`` as an expression."""
-    return F.concat_ws("/", F.lit(root), F.lit("ingested"), account_id, day_path(ts), file_name)
