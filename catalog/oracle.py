@@ -77,6 +77,12 @@ _SQL: dict[str, str] = {
                t.o_totalprice
         FROM {fx_target} t LEFT JOIN {fx_source} s
           ON t.o_orderkey = s.o_orderkey AND t.o_totalprice > 100000 AND t.o_orderstatus <> 'F'""",
+    "merge_condition_insert": """
+        SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey % 4 = 0
+        UNION ALL
+        SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} s WHERE o_orderkey % 4 = 1 AND NOT EXISTS (
+            SELECT 1 FROM {orders} t
+            WHERE t.o_orderkey % 4 = 0 AND t.o_custkey = s.o_custkey AND s.o_totalprice > t.o_totalprice)""",
     "merge_partial": """
         SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey,
                CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_orderstatus ELSE t.o_orderstatus END AS o_orderstatus,
@@ -179,8 +185,7 @@ _SQL: dict[str, str] = {
                date_trunc('second', ts) AS back
         FROM {events}""",
     "utc_normalize": """
-        SELECT event_id, ts - CASE event_id % 4 WHEN 1 THEN INTERVAL 2 HOUR WHEN 2 THEN INTERVAL 9 HOUR
-                              ELSE INTERVAL 0 HOUR END AS utc
+        SELECT event_id, ts - INTERVAL 1 HOUR * [0, 2, 9, -5, -5, 3, 9, 9, 1, 0][event_id % 10 + 1] AS utc
         FROM {events}""",
     "date_path": """
         SELECT event_id, strftime(ts, '%Y/%m/%d') AS day_path, strftime(ts, '%Y/%m/%d/%H%M') AS minute_path
@@ -215,6 +220,7 @@ _SQL: dict[str, str] = {
         SELECT event_id, url, end_time, white_username FROM {fx_games} WHERE event_id % 4 = 3""",
     "landing_write": """
         SELECT user_id AS account_id, url, end_time, '2024-01-31' AS ingest_date FROM {fx_games}""",
+    "landing_load_since": "SELECT user_id AS account_id, url, end_time FROM {fx_games} WHERE user_id % 50 = 0",
     "landing_load": f"SELECT *, 'json' AS source_file FROM ({_FLAT})",
     "ingest_batch_games": f"""
         WITH flat AS ({_FLAT}),
@@ -242,6 +248,13 @@ _SQL: dict[str, str] = {
                     ELSE a.latest_ingestion END AS latest_ingestion
         FROM {{fx_account_state}} a""",
     "ingest_stream": "SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games}",
+    "ingest_stream_restart": "SELECT DISTINCT url AS external_game_id FROM {fx_games}",
+    "sync_partitions": """
+        WITH days AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, value
+                      FROM {events})
+        SELECT event_id, day, CASE WHEN event_id % 3 = 0 AND (day IS NULL OR CAST(substr(day, 9, 2) AS INT) % 7 < 2)
+                                   THEN 0.0::DOUBLE ELSE value END AS value
+        FROM days""",
     "stream_dedupe": "SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games}",
     # ledger
     "run_outcome": f"SELECT run_id, result FROM ({_OUTCOME})",
@@ -311,6 +324,7 @@ _SQL: dict[str, str] = {
         SELECT 'only_in_data' AS rule, 'o_orderdate' AS "column", 'timestamp_ntz' AS detail, 0 AS n_bad
         UNION ALL SELECT 'only_in_contract', 'o_source', 'string', 0
         UNION ALL SELECT 'id_columns', 'o_source', 'not in the data', 0
+        UNION ALL SELECT 'default', 'o_totalprice', 'None for 0.5', 0
         UNION ALL SELECT 'type', 'o_custkey', 'bigint for string', 0
         UNION ALL SELECT 'type', 'o_orderpriority', 'string for int',
                          count(*) FILTER (WHERE try_cast(o_orderpriority AS INT) IS NULL) FROM {orders}

@@ -15,7 +15,8 @@ from tablesync.contract import ColumnContract as C
 from tablesync.contract import TableContract, stored_table
 from tablesync.operators.ingest import GAME
 from tablesync.plans import ingest_batch, nightly_maintenance, table_transform
-from tablesync.session import scratch_dir, stored
+from tablesync.plans import sync_partitions as jobs_sync_partitions
+from tablesync.session import scratch_dir
 from tablesync.sources import landing_load, landing_write, log_read, log_tail, ndjson_read
 from tablesync.streaming import ingest_stream, read_ingested, stream_dedupe
 
@@ -169,6 +170,26 @@ def merge_condition(spark, sf):
     return _merge(spark, sf, when_not_matched_by_target="ignore", condition=condition).next_state
 
 
+PRICED_BY = table(
+    "priced_by",
+    ("o_orderkey",),
+    C("o_orderkey", "bigint", nullable=False),
+    C("o_custkey", "bigint"),
+    C("o_totalprice", "double precision"),
+)
+
+
+@query
+def merge_condition_insert(spark, sf):
+    """Orders dearer than none the customer has in the target; customers repeat on both sides."""
+    orders = fixture(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    target, source = orders.where("o_orderkey % 4 = 0"), orders.where("o_orderkey % 4 = 1")
+    return ops.merge(
+        target, source, PRICED_BY, keys=["o_custkey"], when_matched="ignore",
+        condition="_source.o_totalprice > _target.o_totalprice",
+    ).next_state
+
+
 @query
 def merge_partial(spark, sf):
     target, source = fixture(spark, sf, "fx_target"), fixture(spark, sf, "fx_source_full")
@@ -389,10 +410,14 @@ def epoch_convert(spark, sf):
     )
 
 
+# Zones without summer time, in all spellings; hours from UTC are in the SQL twin.
+ZONES = ["Z", "+02:00", " Asia/Tokyo", " EST", " Etc/GMT+5", " GMT+3", "+9:00", " Japan", " Africa/Porto-Novo"]
+
+
 @query
 def utc_normalize(spark, sf):
-    kind = F.col("event_id") % 4
-    suffix = F.when(kind == 1, "+02:00").when(kind == 2, " Asia/Tokyo").when(kind == 3, "Z").otherwise("")
+    kind = F.col("event_id") % 10
+    suffix = F.when(kind == 9, "").otherwise(F.get(F.array(*map(F.lit, ZONES)), kind.cast("int")))
     text = F.concat(F.col("ts").cast("string"), suffix)
     return fixture(spark, sf, "events").select("event_id", fn.text_to_utc(text).alias("utc"))
 
@@ -435,7 +460,7 @@ def range_plan(spark, sf):
 def incremental_since(spark, sf):
     end_time = F.when(F.col("event_id") % 50 != 0, fn.to_epoch(F.col("ts"), "s"))
     records = fixture(spark, sf, "events").select("event_id", "user_id", end_time.alias("end_time"))
-    state = stored(fixture(spark, sf, "fx_account_state"), scratch_dir(spark, "account-state"))
+    state = fixture(spark, sf, "fx_account_state")
     return ops.incremental_since(records, state, key="user_id")
 
 
@@ -499,6 +524,17 @@ def landing_write_read(spark, sf):
     return landed.select("account_id", "url", "end_time", F.col("ingest_date").cast("string").alias("ingest_date"))
 
 
+@query
+def landing_load_since(spark, sf):
+    """Two days, a folder per account; the accounts come back from the folders' names."""
+    root = scratch_dir(spark, "landing")
+    games = _raw_games(spark, sf, "user_id").withColumnRenamed("user_id", "account_id").where("account_id % 50 = 0")
+    for day in ("2024-01-30", "2024-01-31"):
+        landing_write(games, root, day, partition_by=("account_id", "ingest_date"))
+    loaded = landing_load(spark, root, GAME, since="2024-01-31")
+    return loaded.select(F.col("account_id").cast("bigint").alias("account_id"), "url", "end_time")
+
+
 @query
 def landing_load_files(spark, sf):
     loaded = landing_load(spark, _land(spark, sf), GAME)
@@ -518,7 +554,7 @@ def ingest_batch_watermarks(spark, sf):
 
 def _ingest(spark, sf):
     records = _raw_games(spark, sf, "user_id").withColumnRenamed("user_id", "account_id")
-    state = stored(fixture(spark, sf, "fx_account_state"), scratch_dir(spark, "account-state"))
+    state = fixture(spark, sf, "fx_account_state")
     accounts = state.select(
         F.col("user_id").alias("account_id"),
         F.concat(F.lit("user_"), "user_id").alias("username"),
@@ -539,6 +575,15 @@ def ingest_stream_games(spark, sf):
     return ingested.groupBy("external_game_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def ingest_stream_restart(spark, sf):
+    """Two queries with checkpoints of their own over one table: the second adds nothing twice."""
+    table_path, contract, landed = scratch_dir(spark, "games"), stored_table("games"), _land(spark, sf)
+    for _ in range(2):
+        ingest_stream(spark, landed, table_path, scratch_dir(spark, "offsets"), contract).awaitTermination()
+    return read_ingested(spark, table_path, contract).select("external_game_id")
+
+
 @query
 def stream_dedupe_games(spark, sf):
     table_path, checkpoint = scratch_dir(spark, "games"), scratch_dir(spark, "offsets")
@@ -737,6 +782,29 @@ def schema_reconcile(spark, sf):
 # -- jobs -------------------------------------------------------------------------
 
 
+EVENT_DAYS = table(
+    "event_days",
+    ("event_id",),
+    C("event_id", "bigint", nullable=False),
+    C("day", "text"),
+    C("value", "double precision"),
+)
+
+
+@query
+def sync_partitions(spark, sf):
+    """Events by day, some without one: every third event of two in seven days is set to 0."""
+    day = F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "yyyy-MM-dd"))
+    events = fixture(spark, sf, "events").select("event_id", day.alias("day"), "value")
+    path = scratch_dir(spark, "event-days")
+    events.write.partitionBy("day").parquet(path)
+    known = spark.read.schema(EVENT_DAYS.struct()).parquet(path)
+    touched = F.col("day").isNull() | (F.substring("day", 9, 2).cast("int") % 7 < 2)
+    changes = known.where(touched & (F.col("event_id") % 3 == 0)).withColumn("value", F.lit(0.0))
+    jobs_sync_partitions(path, changes, EVENT_DAYS, "day")
+    return spark.read.schema(EVENT_DAYS.struct()).parquet(path).select("event_id", "day", "value")
+
+
 @query
 def table_transform_clicks(spark, sf):
     clicks = table(

@@ -77,6 +77,7 @@ def test_reconcile_refusals(spark):
 def test_contract_check(spark, rows):
     df = live(spark, [(1, "5", "Free", 0), (2, "x", "Gold", 0), (None, None, None, 0)])
     assert rows(contract_check(df, TABLE)) == [
+        ("default", "tier", "None for Free", 0),
         ("domain", "tier", "outside Free|Premium", 1),
         ("nullable", "id", "NULL where NOT NULL", 1),
         ("nullable", "tier", "NULL where NOT NULL", 1),

@@ -1,8 +1,11 @@
 import json
 import shutil
 
+import os
+
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from tablesync import stored_table
 from tablesync.streaming import ingest_stream, read_ingested, stream_dedupe
@@ -26,10 +29,12 @@ def paths(tmp_path):
 def test_ingest_stream_is_incremental_and_replayable(spark, rows, paths, tmp_path):
     raw, table, offsets = paths
     rejects = str(tmp_path / "rejects")
+    number = F.substring_index("batch_id", "-", -1).cast("int").alias("n")
 
     def run():
         ingest_stream(spark, str(raw), table, offsets, GAMES, rejects=rejects).awaitTermination()
-        return rows(read_ingested(spark, table, GAMES), "external_game_id", "source_file", "batch_id")
+        games = read_ingested(spark, table, GAMES)
+        return rows(games.select("external_game_id", "source_file", number), "external_game_id", "source_file", "n")
 
     land(raw, "1.jsonl", ("g1", 100), ("g2", 200), ("g1", 50))
     first = run()
@@ -45,7 +50,7 @@ def test_ingest_stream_is_incremental_and_replayable(spark, rows, paths, tmp_pat
     shutil.rmtree(tmp_path / "offsets" / "commits" / ".1.crc", ignore_errors=True)
     (tmp_path / "offsets" / "commits" / ".1.crc").unlink(missing_ok=True)
     assert run() == second
-    aside = spark.read.json(rejects).select("line", "source_file", "batch_id")
+    aside = spark.read.json(rejects).select("line", "source_file", number)
     assert rows(aside) == [('{"broken', "1.jsonl", 0), ('{"broken', "2.jsonl", 1)]
 
 
@@ -86,3 +91,41 @@ def test_stream_dedupe(spark, rows, paths):
     # Played long before anything seen so far, and still not late.
     land(raw, "2.jsonl", ("g1", 1003), ("g3", 1), ("untimed", None))
     assert run() == [("g1",), ("g2",), ("g3",), ("untimed",)]
+
+
+def test_a_new_checkpoint_adds_to_the_table(spark, rows, paths, tmp_path):
+    raw, table, offsets = paths
+    land(raw, "1.jsonl", ("g1", 100), ("g2", 200))
+    for k, games in enumerate([[], [("g2", 5), ("g3", 300)]]):
+        if games:
+            land(raw, "2.jsonl", *games)
+        rejects = str(tmp_path / "rejects")
+        ingest_stream(spark, str(raw), table, f"{offsets}{k}", GAMES, rejects=rejects).awaitTermination()
+    assert rows(read_ingested(spark, table, GAMES), "external_game_id") == [("g1",), ("g2",), ("g3",)]
+
+
+def test_look_up_reads_the_buckets_of_a_batch(spark, paths, tmp_path):
+    raw, table, offsets = paths
+    land(raw, "1.jsonl", ("g1", 100))
+    ingest_stream(spark, str(raw), table, offsets, GAMES, rejects=str(tmp_path / "r")).awaitTermination()
+    known = read_ingested(spark, table, GAMES).where(F.col("bucket").isin([3]))
+    assert "PartitionFilters: [isnotnull(bucket" in known._jdf.queryExecution().toString()
+
+
+def test_stream_dedupe_keeps_what_old_files_hold(spark, rows, paths, tmp_path):
+    raw, table, offsets = paths
+    rejects = tmp_path / "rejects"
+
+    def run():
+        stream_dedupe(spark, str(raw), table, offsets, rejects=str(rejects)).awaitTermination()
+        for query in spark.streams.active:
+            query.awaitTermination()
+        return rows(spark.read.schema(GAMES.struct()).parquet(table), "external_game_id")
+
+    land(raw, "1.jsonl", ("g1", 1))
+    assert run() == [("g1",)]
+    land(raw, "2.jsonl", ("g2", 2), ("g1", 3))
+    old = (raw / "2.jsonl").stat().st_mtime - 30 * 86400
+    os.utime(raw / "2.jsonl", (old, old))
+    assert run() == [("g1",), ("g2",)]
+    assert spark.read.json(str(rejects)).where("line IS NOT NULL").count() == 2
