@@ -34,6 +34,9 @@ HEADLINE = [
     "log_tail",
     "pk_integrity",
     "ingest_batch_games",
+    "sync_partitions",
+    "landing_load",
+    "ingest_stream",
 ]
 
 

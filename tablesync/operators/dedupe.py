@@ -57,25 +57,18 @@ def number_in_group(
     tie: Sequence[str],
     *,
     alias: str,
-    group_limit: int = 1_000_000,
     slice_seconds: int = 60,
 ) -> DataFrame:
     """Zero-based position of each row in its group, ordered by ``time`` and ``tie``.
 
-    The size of the largest group is counted first. Up to ``group_limit`` rows a
-    group is ranked by one task. Beyond that, groups are cut into time slices:
-    rows are ranked inside a slice and shifted by the number of rows in earlier
-    slices, so one long group is ranked by many tasks and only slice counts, not
-    rows, meet per group. A row without group or time has no position and fails
-    the job.
+    Groups are cut into time slices: rows are ranked inside a slice and shifted by the
+    number of rows in earlier slices, so one long group is ranked by many tasks and
+    only slice counts, not rows, meet per group. Choose ``slice_seconds`` so that a
+    slice of one group fits a task; rows at one instant stay together. A row without
+    group or time has no position and fails the job.
     """
     needed = {c: required(F.col(c), f"{c} is NULL, so {alias} is not defined") for c in (group, time)}
     rows = df.withColumns(needed)
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0]
-    if (largest or 0) <= group_limit:
-        position = F.row_number().over(Window.partitionBy(group).orderBy(time, *tie)) - 1
-        return rows.withColumn(alias, position.cast("bigint"))
-
     rows = rows.withColumn("_slice", F.floor(epoch_micros(F.col(time)) / F.lit(slice_seconds * 1_000_000)))
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -102,7 +102,7 @@ def test_outcomes_and_errors(spark, rows):
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"group_limit": 99, "slice_seconds": 1}, {"group_limit": 0}, {"group_limit": 0, "slice_seconds": 10**6}],
+    [{}, {"slice_seconds": 1}, {"slice_seconds": 10**6}],
 )
 def test_step_order(spark, options):
     start = datetime(2024, 3, 10, 1, 59)
@@ -116,11 +116,11 @@ def test_step_order(spark, options):
     assert got == want
 
 
-@pytest.mark.parametrize("group_limit", [0, 10])
-def test_step_without_run_or_time_fails(spark, group_limit):
+@pytest.mark.parametrize("slice_seconds", [1, 60])
+def test_step_without_run_or_time_fails(spark, slice_seconds):
     df = spark.createDataFrame([(None, NOW, 1)], "run_id string, started_at timestamp_ntz, id int")
     with fails("run_id is NULL"):
-        step_order(df, ["id"], group_limit=group_limit).collect()
+        step_order(df, ["id"], slice_seconds=slice_seconds).collect()
 
 
 def test_ledger_write_replaces_the_placeholder(spark, rows, runs):
