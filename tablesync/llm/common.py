@@ -25,6 +25,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return stored(df, scratch_dir(df.sparkSession, name))
 
 
+def by_merge(table: DataFrame) -> DataFrame:
+    """For the side that meets whole texts: a merge join at every size, so that what a small table lets
+    pass as a broadcast is not a surprise where the table has grown."""
+    return table.hint("merge")
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import cut, indices, lower_ascii, strip_space, whole
+from tablesync.llm.common import by_merge, cut, indices, lower_ascii, strip_space, whole
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -68,7 +68,7 @@ def line_dedup(
         "dropped_lines",
     )
     joined = docs.withColumn("_row", F.xxhash64(whole(docs[text]))).join(
-        gone, docs[doc_id].eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left"
+        by_merge(gone), docs[doc_id].eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left"
     )
     lined = joined.withColumn("_lines", F.split(whole(docs[text]), "\n", -1))
     kept = F.when(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import cut, numbered, words_of
+from tablesync.llm.common import by_merge, cut, numbered, words_of
 
 LIMIT = 3.0
 BLOCK_ROWS = 4096
@@ -197,7 +197,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("doc_id").alias("_mix_id"), F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies")
     ).distinct()
     keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    joined = keyed.join(plan, docs[doc_id].eqNullSafe(F.col("_mix_id")) & (F.col("_row") == F.col("_mix_row")))
+    joined = keyed.join(by_merge(plan), docs[doc_id].eqNullSafe(F.col("_mix_id")) & (F.col("_row") == F.col("_mix_row")))
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(
         *(docs[c] for c in docs.columns)
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import NOT_SPACE, cut, indices, lower_ascii, strip_space, whole, words_of
+from tablesync.llm.common import NOT_SPACE, by_merge, cut, indices, lower_ascii, strip_space, whole, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -154,4 +154,4 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "rejected",
     )
     row = F.xxhash64(whole(docs[text]))
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("_gone_id")) & (row == F.col("_gone_row")), "left_anti")
+    return docs.join(by_merge(gone), docs[doc_id].eqNullSafe(F.col("_gone_id")) & (row == F.col("_gone_row")), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import cut, indices, lower_ascii, whole, words_of
+from tablesync.llm.common import by_merge, cut, indices, lower_ascii, whole, words_of
 from tablesync.llm.components import connected
 
 SHINGLE = 4
@@ -141,4 +141,4 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Rows that repeat an id are one document and stay or go together."""
     found = simhash_components(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keepers = cut(found.select(F.col("doc_id").alias("_keep")).distinct(), "keepers")
-    return docs.join(keepers, docs[doc_id].eqNullSafe(keepers["_keep"]), "left_semi")
+    return docs.join(by_merge(keepers), docs[doc_id].eqNullSafe(keepers["_keep"]), "left_semi")
