@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import by_merge, cut, numbered, words_of
+from tablesync.llm.common import by_merge, cut, numbered, ship_code, words_of
 
 LIMIT = 3.0
 BLOCK_ROWS = 4096
@@ -125,6 +125,7 @@ def balanced_sample(fractions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataF
     ``block_rows`` bounds what one task holds. Each round leaves two rows per block, so it needs the
     logarithm of the input's rows in rounds.
     """
+    ship_code(fractions.sparkSession)
     fractions = fractions.where((F.col("p") > 0) & (F.col("p") < 1))
     decided = None
     most = fractions.groupBy("source").count().agg(F.max("count")).first()[0] or 0

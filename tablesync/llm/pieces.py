@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
-from tablesync.llm.common import cut, indices, whole
+from tablesync.llm.common import cut, indices, ship_code, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
@@ -203,6 +203,7 @@ Step = tuple[str, DataType, str, Callable[[pa.Array], pa.Array]]
 def _with_columns(df: DataFrame, steps: list[Step], gone: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with columns (name, type, input column, function) made in order, a slice of rows at a time;
     columns in ``gone`` go, the others pass as they are."""
+    ship_code(df.sparkSession)
     made = {name for name, *_ in steps}
     kept = [f for f in df.schema.fields if f.name not in made]
     out = StructType([*(f for f in kept if f.name not in gone), *(StructField(n, t) for n, t, *_ in steps)])

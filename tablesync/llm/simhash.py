@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import by_merge, cut, indices, lower_ascii, whole, words_of
+from tablesync.llm.common import by_merge, cut, indices, lower_ascii, ship_code, whole, words_of
 from tablesync.llm.components import connected
 
 SHINGLE = 4
@@ -71,6 +71,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` (64 bits as a signed long)."""
+    ship_code(docs.sparkSession)
     hashed = docs.select(docs[doc_id].cast("long").alias("doc_id"), shingle_hashes(docs[text]).alias("hashes"))
     return hashed.mapInArrow(_vote, "doc_id long, fp long")
 

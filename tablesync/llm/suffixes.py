@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import cut, numbered, whole
+from tablesync.llm.common import cut, numbered, ship_code, whole
 
 LENGTH = 50
 GRAM = 20
@@ -318,6 +318,7 @@ def _identified(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 def repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, removed (array of start, end in bytes), kept (the other bytes)."""
+    ship_code(docs.sparkSession)
     known = _identified(docs, docs[doc_id], docs[text])
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(16, total // BUCKET_BYTES), 1 << 16)
