@@ -331,9 +331,10 @@ def repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     )
     fetched = (
         known.join(asked, F.col("uid") == F.col("a_uid"))
-        .select("uid", "id", "text", "asked")
+        .select(*known.columns, "asked")
         .mapInArrow(_fetcher(buckets), FETCHED)
     )
+    # Both joins take the same columns of the documents, so that one exchange of the texts serves both.
     induced = fetched.groupBy("bucket").applyInPandas(_induce, RANGES)
     ranges = (
         decided.where("anchor IS NULL").select("uid", "first", "size").unionByName(induced)
@@ -342,6 +343,6 @@ def repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     )
     return (
         known.join(ranges, F.col("uid") == F.col("r_uid"), "left")
-        .select("doc_id", "text", "ranges")
+        .select(*known.columns, "ranges")
         .mapInArrow(_remove, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
     )
