@@ -39,7 +39,7 @@ SIGN = "▁"
 UNIT = f"{SIGN}*[^{SIGN}]+|{SIGN}+"
 DICTIONARY_UNITS = 1 << 17
 DICTIONARY_CHARS = 24
-TASK_CACHE = 1 << 19
+TASK_CACHE = 1 << 18
 SHORT_UNIT = 128
 SLICE_ROWS = 256
 
