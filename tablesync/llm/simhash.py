@@ -11,6 +11,11 @@ link at ``RADIUS`` or fewer differing bits; documents with equal fingerprints ar
   segment table by an equi-join, and the complete distance is verified inside the join. Pairs already in
   one component are not emitted.
 
+``near_dedup`` is wider than ``simhash_components``: beside those links it joins documents whose sets of
+``WIDE_SHINGLE``-word shingles have a Jaccard similarity of at least ``MIN_SIMILAR`` percent. ``BANDS`` x ``BAND``
+MinHash values name the candidates (a pair at 0.8 shares no band once in some 38,000 times) and every candidate is
+verified by its exact similarity.
+
 Defined results: NULL or empty text, or one without words, has fingerprint 0. A NULL id counts only if its
 component has no other. Rows that repeat an id have a row each. No rows in, no rows out. Other columns
 are ignored.
@@ -34,6 +39,10 @@ RADIUS = 4
 # (first bit, bits, radius of the ball): the radii plus one sum to RADIUS + 1.
 SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
 VOTE_ROWS = 1 << 16
+WIDE_SHINGLE = 5
+MIN_SIMILAR = 80
+BANDS, BAND = 20, 4
+SIGN_ROWS = 1 << 10
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -137,9 +146,112 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` * ``BAND`` MinHash values of unsigned hashes: the high halves of odd multiples, shifted."""
+    draw = np.random.default_rng(1)
+    n = BANDS * BAND
+    factors = draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shifts = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), SIGN_ROWS):
+        part = hashes[at : at + SIGN_ROWS].view(np.uint64)
+        least = np.minimum(least, (part[:, None] * factors + shifts).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = batch.column("hashes")
+        values, ends = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
+        rows = [signature(np.ascontiguousarray(values[a:b])).tobytes() for a, b in itertools.pairwise(ends)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "signed"])
+
+
+def _wide_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id`` and its distinct wide shingles; documents without words have none and no row."""
+    sets = docs.select(
+        docs[doc_id].cast("long").alias("doc_id"),
+        F.array_distinct(shingle_hashes(docs[text], WIDE_SHINGLE)).alias("hashes"),
+    )
+    return sets.where(F.size("hashes") > 0)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Rows that repeat an id have a set each."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+    both = by_merge(pairs.join(by_merge(left), "a")).join(by_merge(right), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return (
+        both.withColumn("common", common)
+        .where(100 * F.col("common") >= MIN_SIMILAR * (F.size("x") + F.size("y") - F.col("common")))
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def wide_components(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``found`` (doc_id, component_id) with components joined that hold documents of similar wide shingles.
+
+    Of each bucket first every member meets the smallest; then the pairs of a bucket that are still in
+    different components meet. A large group of near copies is one component by then.
+    """
+    ship_code(docs.sparkSession)
+    labels = cut(
+        found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("label")), "simhash_labels"
+    )
+    signed = _wide_sets(docs, doc_id, text).where("doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, signed binary")
+    width = 4 * BAND
+    bands = [F.xxhash64(F.lit(k), F.expr(f"substring(signed, {k * width + 1}, {width})")) for k in range(BANDS)]
+    # Documents with one signature go on as the smallest of them, each other one with a pair of its own.
+    alike = cut(signed.groupBy("signed").agg(F.min("doc_id").alias("first")), "signatures")
+    twins = (
+        signed.join(alike, "signed").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    )
+    keyed = alike.select(F.col("first").alias("doc_id"), F.explode(F.array(*bands)).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = cut(keyed.join(least, "key"), "wide_buckets")
+    stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+
+    def linked(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """``labels`` after the verified ones of those pairs whose labels differ."""
+        of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"label_{c}"))
+        apart = cut(
+            pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b"), f"{name}_pairs"
+        )
+        met = apart.select(F.col("a").alias("_met")).union(apart.select("b")).distinct()
+        chosen = docs.join(by_merge(met), docs[doc_id].cast("long") == F.col("_met"), "left_semi")
+        sets = cut(_wide_sets(chosen, doc_id, text), f"{name}_sets")
+        links = apart.join(_similar(apart.select("a", "b"), sets), ["a", "b"]).select(
+            F.col("label_a").alias("u"), F.col("label_b").alias("v")
+        )
+        return cut(_relabelled(labels, connected(links), "label"), f"{name}_labels")
+
+    labels = linked(stars.unionByName(twins), labels, "stars")
+    placed = cut(buckets.select("key", "doc_id").join(labels, "doc_id"), "placed")
+    # Every pair of different labels has a side that is not of the leader's label.
+    mixed = placed.groupBy("key").agg(
+        F.min_by("label", "doc_id").alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    placed = placed.join(mixed.where("low <> high").select("key", "lead"), "key")
+    other = placed.select("key", F.col("doc_id").alias("d"), F.col("label").alias("label_d"))
+    rest = placed.where("label <> lead").join(other, "key").where(
+        "label <> label_d AND (label_d = lead OR doc_id < d)"
+    )
+    labels = linked(
+        rest.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")), labels, "rest"
+    )
+    joined = labels.select("doc_id", F.col("label").alias("_wide"))
+    smallest = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(smallest, F.col("_wide") == F.col("label")).select("doc_id", "component_id")
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest id stays.
     Rows that repeat an id are one document and stay or go together."""
-    found = simhash_components(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    narrow = cut(simhash_components(docs, doc_id, text).select("doc_id", "component_id"), "narrow")
+    nameless = narrow.where("doc_id IS NULL AND component_id IS NULL")
+    found = wide_components(docs, narrow, doc_id, text).unionByName(nameless)
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keepers = cut(found.select(F.col("doc_id").alias("_keep")).distinct(), "keepers")
     return docs.join(by_merge(keepers), docs[doc_id].eqNullSafe(keepers["_keep"]), "left_semi")

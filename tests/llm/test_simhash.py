@@ -106,3 +106,37 @@ def test_links_at_every_distance(spark, seed):
     got = [far.get(close.get(f, f), close.get(f, f)) for f in signed]
     groups = lambda labels: {frozenset(f for f, x in zip(signed, labels, strict=True) if x == y) for y in labels}
     assert groups(got) == groups(expected)
+
+
+def wide_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(t.translate(LOWER)) for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_dedup_takes_pairs_from_similarity_80_percent(spark, documents):
+    rng = random.Random(5)
+    texts, wanted = [], set()
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(250)]
+        edited = list(words)
+        for at in range(20, 20 + 40 * (1 + i % 5), 40):
+            edited[at] = f"edit{i}x{at}"
+        pair = [" ".join(words), " ".join(edited)]
+        assert 0.8 <= wide_similarity(*pair) < 0.97
+        wanted.add(len(texts))
+        texts += pair
+    far = [f"v{rng.randrange(5000)}" for _ in range(250)]
+    other = [w if k % 8 else f"o{k}" for k, w in enumerate(far)]
+    assert wide_similarity(" ".join(far), " ".join(other)) < 0.5
+    wanted |= {len(texts), len(texts) + 1}
+    texts += [" ".join(far), " ".join(other)]
+    assert {r["doc_id"] for r in near_dedup(documents(spark, texts)).collect()} == wanted
+
+
+def test_similar_pairs_of_one_bucket_meet_beside_a_leader(spark, documents):
+    """A chain: the ends are not similar, each is similar to the middle."""
+    words = [f"c{k}" for k in range(250)]
+    cut_at = lambda places: " ".join("x%d" % k if k in places else w for k, w in enumerate(words))
+    chain = [(3, cut_at({20, 60, 100, 140})), (2, cut_at(set())), (1, cut_at({30, 70, 110, 150}))]
+    assert wide_similarity(chain[0][1], chain[2][1]) < 0.8 <= wide_similarity(chain[0][1], chain[1][1])
+    assert [r["doc_id"] for r in near_dedup(documents(spark, chain)).collect()] == [1]
