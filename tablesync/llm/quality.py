@@ -4,9 +4,11 @@ Lines are normalised and hashed with their host, and the distinct documents that
 counted per host. A line above the limit is boilerplate; a document left with too few words outside
 such lines is depleted and rejected, beside documents that fail the base rules.
 
-Copies of one document are no boilerplate: documents with the same longest line count as one body,
-and a line is limited only if it is in more than ``max_documents`` documents of its host and at least
-half of those documents differ in body. Copies stay for near-duplicate removal to decide.
+Copies of one document are no boilerplate: documents with the same normalised lines count as one body, and
+a line is limited if more than ``max_documents`` bodies of its host hold it. Copies stay for near-duplicate
+removal to decide. ``by_longest`` is the rule of the SQL of op7: one longest line is one body, and a line in
+more than ``max_documents`` documents is limited only if at least half of them differ in body; it keeps
+boilerplate that is the longest line itself, or that a large group of copies shares.
 
 Defined results: NULL or empty text has no words and fails the base rules. A NULL host is a host of
 its own. Rows with the same id are one document in the line counts and keep a row each. Other columns
@@ -77,24 +79,22 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column) -> DataFrame:
-    """One row per line of each text that has a word: id, hash of the text, hash of the text's longest
-    normalised line, place, hash of host and normalised line, and its number of words."""
+def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column, by_longest: bool = False) -> DataFrame:
+    """One row per line of each text that has a word: id, hash of the text, body (hash of all normalised lines
+    or of the longest), place among all lines, hash of host and normalised line, and its number of words."""
     plain = docs.select(doc_id.alias("id"), whole(text).alias("text"), host.alias("host"))
     keyed = plain.select(
         "id",
         "host",
         F.xxhash64("text").alias("body_of_row"),
-        F.transform(
-            F.filter(F.split("text", "\n", -1), lambda line: line.rlike(NOT_SPACE)),
-            lambda line: lower_ascii(strip_space(line)),
-        ).alias("lines"),
+        F.transform(F.split("text", "\n", -1), lambda line: lower_ascii(strip_space(line))).alias("lines"),
     )
     longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x), x.alias("line"))))["line"]
-    exploded = keyed.withColumn("body", F.xxhash64(longest)).select(
+    body = longest if by_longest else F.array_join(F.filter("lines", lambda x: x != ""), "\n")
+    exploded = keyed.withColumn("body", F.xxhash64(body)).select(
         "id", "host", "body_of_row", "body", F.posexplode("lines").alias("at", "line")
     )
-    return exploded.select(
+    return exploded.where("line <> ''").select(
         "id",
         "body_of_row",
         "body",
@@ -104,14 +104,17 @@ def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column) -> Da
     )
 
 
-def limited_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def limited_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, by_longest: bool = False) -> DataFrame:
     """Hashes of the lines above the limit. Each grouping combines rows before it moves them."""
     documents = rows.groupBy("key", "id").agg(F.min("body").alias("body"))
     bodies = documents.groupBy("key", "body").agg(F.count("*").alias("n"))
+    above = F.col("bodies") > max_documents
+    if by_longest:
+        above = (F.col("documents") > max_documents) & (2 * F.col("bodies") >= F.col("documents"))
     return (
         bodies.groupBy("key")
         .agg(F.sum("n").alias("documents"), F.count("*").alias("bodies"))
-        .where((F.col("documents") > max_documents) & (2 * F.col("bodies") >= F.col("documents")))
+        .where(above)
         .select("key")
     )
 
@@ -123,14 +126,18 @@ def quality_rules(
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS,
     min_left_percent: int = MIN_LEFT_PERCENT,
+    by_longest: bool = False,
 ) -> DataFrame:
-    """Id, text, base counts, ``base_failed``, ``limited_words`` (words in lines above the limit) and ``kept``."""
-    rows = line_rows(docs, docs[doc_id], docs[text], docs[host])
-    limited = cut(limited_lines(rows, max_documents), "limited_lines")
+    """Id, text, base counts, ``base_failed``, ``limited_words`` and ``limited_places`` (words in and places of
+    lines above the limit, NULL for no places) and ``kept``."""
+    rows = line_rows(docs, docs[doc_id], docs[text], docs[host], by_longest)
+    limited = cut(limited_lines(rows, max_documents, by_longest), "limited_lines")
     # Rows that repeat id and text repeat each place; it counts once.
     places = rows.join(limited, "key").groupBy("id", "body_of_row", "at").agg(F.max("words").alias("words"))
     depleted = cut(
-        places.groupBy("id", "body_of_row").agg(F.sum("words").alias("limited_words")),
+        places.groupBy("id", "body_of_row").agg(
+            F.sum("words").alias("limited_words"), F.collect_set("at").alias("limited_places")
+        ),
         "depleted",
     )
     measured = base_measures(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))

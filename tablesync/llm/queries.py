@@ -112,7 +112,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents")).select(
+    """By the rule of its SQL."""
+    return quality_rules(read_table(spark, sf_dir, "documents"), by_longest=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

@@ -42,6 +42,21 @@ def test_boilerplate_depletes_but_copies_do_not(spark, documents):
     assert {r["doc_id"] for r in kept.collect()} == {*range(100, 130), 200} and "key" in kept.columns
 
 
+def test_boilerplate_that_is_the_longest_line_depletes(spark, documents):
+    boiler = " ".join(f"licence{i}" for i in range(60))
+    one_line = [(i, f"{boiler}\n{' '.join(f'd{i}x{k}' for k in range(10))}", "shop") for i in range(30)]
+    got = judged(quality_rules(documents(spark, one_line)))
+    assert not any(r["kept"] for r in got.values())
+
+
+def test_boilerplate_beside_a_large_group_of_copies_depletes(spark, documents):
+    boiler = " ".join(f"menu{i}" for i in range(60))
+    pages = [(i, f"{boiler}\n{'y' * 400} d{i}", "shop") for i in range(30)]
+    copies = [(100 + i, f"{boiler}\n{PROSE}", "shop") for i in range(60)]
+    got = judged(quality_rules(documents(spark, pages + copies)))
+    assert {d for d, r in got.items() if r["kept"]} == set(range(100, 160))
+
+
 def test_quality_of_repeated_rows_nulls_and_none(spark, documents):
     docs = documents(spark, [(1, PROSE), (1, PROSE), (None, PROSE), (None, "few")])
     got = sorted((str(r["doc_id"]), r["kept"]) for r in quality_rules(docs).collect())
