@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
-documents. Quality rules let whole documents go; their line counts change no text.
+documents. Quality rules let whole documents go and take the lines above the limit out of the others.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablesync.llm.common import cut, read_table
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mixed_documents
-from tablesync.llm.pieces import encode
+from tablesync.llm.pieces import round_trip
 from tablesync.llm.quality import kept_documents
 from tablesync.llm.simhash import near_dedup
 
@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_documents(docs).select(COLUMNS)
+    return kept_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = encode(docs.select("doc_id", "source", "text")).drop("text")
-    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+    """The ids of each text, and the text decoded from them."""
+    done = round_trip(docs.select("doc_id", "source", "text"))
+    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded")
 
 
 STAGES = [

@@ -152,13 +152,25 @@ def quality_rules(
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` without the documents that ``quality_rules`` rejects. Rows are told apart by id and text."""
+    """``docs`` without the documents that ``quality_rules`` rejects, and without the lines above the limit in
+    those it keeps. Rows are told apart by id and text."""
     judged = quality_rules(docs, doc_id, text, host)
-    gone = cut(
-        judged.where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_gone_id"), F.xxhash64(whole(F.col("text"))).alias("_gone_row"))
-        .distinct(),
+    changed = cut(
+        judged.where(~F.col("kept") | F.col("limited_places").isNotNull())
+        .select(
+            F.col("doc_id").alias("_gone_id"),
+            F.xxhash64(whole(F.col("text"))).alias("_gone_row"),
+            F.col("kept").alias("_kept"),
+            F.when(F.col("kept"), F.col("limited_places")).alias("_places"),
+        )
+        .dropDuplicates(["_gone_id", "_gone_row"]),
         "rejected",
     )
     row = F.xxhash64(whole(docs[text]))
-    return docs.join(by_merge(gone), docs[doc_id].eqNullSafe(F.col("_gone_id")) & (row == F.col("_gone_row")), "left_anti")
+    joined = docs.join(
+        by_merge(changed), docs[doc_id].eqNullSafe(F.col("_gone_id")) & (row == F.col("_gone_row")), "left"
+    ).where(F.coalesce("_kept", F.lit(True)))
+    lined = joined.withColumn("_lines", F.split(whole(docs[text]), "\n", -1))
+    left = F.transform(F.array_except(indices(F.size("_lines")), F.col("_places")), lambda i: F.get("_lines", i))
+    kept = F.when(F.col("_places").isNotNull(), F.array_join(left, "\n")).otherwise(docs[text])
+    return lined.withColumn(text, kept).select(docs.columns)

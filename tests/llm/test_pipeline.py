@@ -79,3 +79,18 @@ def test_pieces_and_run(spark, kept):
         assert list(r["ids"]) == library.encode(given[r["doc_id"]])
     count = lambda df: Counter((r["doc_id"], tuple(r["ids"])) for r in df.collect())
     assert count(kept[5]) == count(corpus_pipeline.run(spark, SF))
+
+
+def test_lines_above_the_limit_leave_kept_documents(spark, documents):
+    own = lambda i: " ".join(f"d{i}x{k}" for k in range(60))
+    rows = [(i, f"{own(i)}\n\n Menu of all pages \nend {i}", "shop") for i in range(30)] + [(90, f"{own(90)}\nMenu of all pages", "blog")]
+    got = {r["doc_id"]: r for r in corpus_pipeline.quality(spark, documents(spark, rows), SF).collect()}
+    assert {d: r["text"] for d, r in got.items()} == {i: f"{own(i)}\n\nend {i}" for i in range(30)} | {90: rows[-1][1]}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_last_stage_decodes(spark, documents):
+    texts = ["one two three", "na\u00efve caf\u00e9", ""]
+    got = {r["doc_id"]: r["decoded"] for r in corpus_pipeline.pieces(spark, documents(spark, texts), SF).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert got == {i: library.decode(library.encode(t)) for i, t in enumerate(texts)}
