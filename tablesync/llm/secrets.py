@@ -1,12 +1,17 @@
 """Secret scan: wide candidates, and a random forest that takes the false positives out.
 
-Every unbroken run of at least ``MIN_CHARS`` key-like characters is a candidate. The forest sees its length,
+Every unbroken run of at least ``MIN_CHARS`` key-like characters is a candidate. A run that holds an assignment
+(``API_KEY=9f8e...``) is taken apart at its equals signs: parts of that length, and parts of at least
+``MIN_VALUE`` characters after a secret-like name, are candidates in its place, and what stands before a part is
+its neighbour; a run without such a part stays whole. Shorter runs of at least ``MIN_VALUE`` characters are
+candidates where they are assigned to a secret-like name. The forest sees a candidate's length,
 its character transitions, how much of it the corpus's own words cover, the path it comes from and its
 neighbouring words. It is trained from labelled findings; where a caller has none, ``assigned_findings``
 labels candidates by whether they are the value of an assignment to a secret-like name and look random.
 
-The forest is fitted on at most ``SAMPLE_ROWS`` labelled candidates, those with the smallest hashes; words
-are counted over all documents and every candidate is judged.
+The forest is fitted on at most ``SAMPLE_ROWS`` labelled candidates, those with the smallest hashes: of findings
+up to half of them, whatever their share, and others for the rest. Words are counted over all documents and
+every candidate is judged.
 
 Defined results: NULL and empty texts have no candidates. A NULL path is a path of its own. Rows that repeat
 id and text give their candidates once. If the labels in the sample are all alike, the label stands for
@@ -22,11 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import cut, lower_ascii, whole
-from tablesync.llm.spans import find_spans, share
+from tablesync.llm.spans import CONTEXT, find_spans, share
 
 MIN_CHARS = 16
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 SECRET_NAME = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credential|auth)[A-Za-z_]*[\"']?\s*(?::|=|=>)\s*[\"']?$"
+MIN_VALUE = 8
+# Short values with their names.
+SHORT = (
+    r"(?i:key|token|secret|passw(?:or)?d|pwd|credential|auth)[A-Za-z_]{0,32}[\"']?[\x20\t]{0,4}(?:=>|[:=])[\x20\t]{0,4}[\"']?"
+    r"[A-Za-z0-9+/_-]{8,15}={0,2}(?![A-Za-z0-9+/_=-])"
+)
 SAMPLE_ROWS = 20_000
 MIN_DOCUMENTS = 5
 MIN_WORD = 3
@@ -35,12 +46,76 @@ PROBABLE = 0.5
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
-    return find_spans(docs, docs[doc_id], docs[text], {"secret": CANDIDATE}, (docs[path].cast("string").alias("path"),))
+    keep = (docs[path].cast("string").alias("path"),)
+    spans = find_spans(docs, docs[doc_id], docs[text], {"secret": CANDIDATE, "short": SHORT}, keep)
+    same = [c for c in spans.columns if c not in ("kind", "start", "end", "value", "before", "after")]
+    runs = spans.where("kind = 'secret'")
+    simple = ~F.col("value").rlike("=[^=]")
+    # Parts of a run with their places: the text of each is what lies between its equals signs.
+    parts = F.split(F.regexp_replace("value", "=+$", ""), "=")
+    at = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,part:string>>").alias("parts")),
+        lambda a, p: F.struct(
+            (a["next"] + F.length(p) + 1).alias("next"),
+            F.when(F.length(p) < MIN_VALUE, a["parts"])
+            .otherwise(F.concat(a["parts"], F.array(F.struct(a["next"].alias("at"), p.alias("part")))))
+            .alias("parts"),
+        ),
+    )["parts"]
+    lead = lambda p: F.concat("before", F.substring("value", F.lit(1), p["at"]))
+    good = F.filter(
+        at,
+        lambda p: (F.length(p["part"]) >= MIN_CHARS)
+        | ((F.length(p["part"]) >= MIN_VALUE) & lead(p).rlike(SECRET_NAME)),
+    )
+    bare = F.length(F.regexp_replace("value", "=+$", ""))
+    padded = F.transform(
+        good,
+        lambda p: F.struct(
+            p["at"].alias("at"),
+            F.when(p["at"] + F.length(p["part"]) == bare, F.concat(p["part"], F.expr("substring(value, length(rtrim('=', value)) + 1)")))
+            .otherwise(p["part"])
+            .alias("part"),
+        ),
+    )
+    opened = runs.where(~simple).withColumn("_good", padded)
+    start = F.col("start") + F.col("_p.at")
+    taken = (
+        opened.where(F.size("_good") > 0)
+        .select("*", F.explode("_good").alias("_p"))
+        .select(
+            *same,
+            start.alias("start"),
+            (start + F.length("_p.part")).alias("end"),
+            F.col("_p.part").alias("value"),
+            F.right(lead(F.col("_p")), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(F.expr("substring(value, _p.at + length(_p.part) + 1)"), "after"), F.lit(CONTEXT)).alias("after"),
+        )
+    )
+    named = F.regexp_extract("value", "[A-Za-z0-9+/_-]+=*$", 0)
+    # Part of a long run, a value is there already.
+    short = (
+        spans.where("kind = 'short'")
+        .where(~F.concat("before", "value").rlike("[A-Za-z0-9+/_=-]{16,}$"))
+        .withColumn("_value", named)
+        .select(
+            *same,
+            (F.col("end") - F.length("_value")).alias("start"),
+            "end",
+            F.col("_value").alias("value"),
+            F.right(F.expr("concat(before, substring(value, 1, length(value) - length(_value)))"), F.lit(CONTEXT)).alias("before"),
+            "after",
+        )
+    )
+    plain = runs.where(simple).unionByName(opened.where(F.size("_good") == 0).drop("_good")).drop("kind")
+    return plain.unionByName(taken).unionByName(short)
 
 
 def assigned_findings(found: DataFrame) -> DataFrame:
     """Labels (doc_id, row, start, is_secret) by rule: the value of a secret-like name, with digits among its letters."""
-    random_like = (share("[0-9]", F.col("value")) >= 3) & (share("[A-Za-z]", F.col("value")) >= 3)
+    least = F.when(F.length("value") < MIN_CHARS, 1).otherwise(3)
+    random_like = (share("[0-9]", F.col("value")) >= least) & (share("[A-Za-z]", F.col("value")) >= 3)
     return found.select("doc_id", "row", "start", (F.col("before").rlike(SECRET_NAME) & random_like).alias("is_secret"))
 
 
@@ -129,10 +204,10 @@ def secret_scan(
         "secret_features",
     )
     inputs = [c for c in measured.columns if c.startswith("f_")]
-    sample = cut(
-        measured.where("label IS NOT NULL").select("place", "label", *inputs).orderBy("place").limit(sample_rows),
-        "secret_sample",
-    )
+    known = measured.where("label IS NOT NULL").select("place", "label", *inputs)
+    positive = cut(known.where("label = 1").orderBy("place").limit(sample_rows // 2), "secret_positive")
+    others = known.where("label = 0").orderBy("place").limit(sample_rows - positive.count())
+    sample = cut(positive.unionByName(others), "secret_sample")
     seen = [r[0] for r in sample.select("label").distinct().collect()]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features")
     if len(seen) < 2:

@@ -57,3 +57,25 @@ def test_odd_rows(spark, documents):
     ]
     assert secret_scan(docs.where("false")).count() == 0
     assert assigned_findings(candidates(documents(spark, ['my token: "abc123def456abc123"']), "doc_id", "text", "source")).first()["is_secret"]
+
+
+def test_assignments_without_quotes_and_short_values(spark, documents):
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 6)) + "a1b2c3"
+    secrets = [key(32) for _ in range(60)]
+    shapes = ["API_SECRET_KEY={}", "https://h.org/p?token={}&x=1", "export AUTH_TOKEN={}; run"]
+    texts = [shapes[i % 3].format(s) for i, s in enumerate(secrets)] + [f"see water/house/paper/light{i}" for i in range(60)]
+    texts += ["password = hunter2Xy9!", "user_password=hunter2Xy9", "one=two=three=four=five", "abcdefghij0123456789==", "API_KEY=YWJjZGVmZ2hpamts=="]
+    docs = documents(spark, texts)
+    found = {(r["doc_id"], r["value"]): r for r in candidates(docs, "doc_id", "text", "source").collect()}
+    assert {(i, s) for i, s in enumerate(secrets)} <= set(found)
+    assert [v for d, v in sorted(found) if d >= 120] == ["hunter2Xy9", "hunter2Xy9", "one=two=three=four=five", "abcdefghij0123456789==", "YWJjZGVmZ2hpamts=="]
+    assert all(texts[d][r["start"] : r["end"]] == v for (d, v), r in found.items())
+    kept = {(r["doc_id"], r["value"]) for r in secret_scan(docs).collect() if r["kept"]}
+    assert {(i, s) for i, s in enumerate(secrets)} <= kept and not any(60 <= d < 120 for d, _ in kept)
+
+
+def test_rare_findings_are_in_the_sample(spark, documents):
+    rows = [f"see water/house/paper/light{i}" for i in range(400)] + [f'token = "{i}f00ba4deadbeef9c0ffee1234"' for i in range(10, 14)]
+    kept = {r["doc_id"] for r in secret_scan(documents(spark, rows), sample_rows=20).collect() if r["kept"]}
+    assert kept == {400, 401, 402, 403}
