@@ -83,6 +83,12 @@ _SQL: dict[str, str] = {
         SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} s WHERE o_orderkey % 4 = 1 AND NOT EXISTS (
             SELECT 1 FROM {orders} t
             WHERE t.o_orderkey % 4 = 0 AND t.o_custkey = s.o_custkey AND s.o_totalprice > t.o_totalprice)""",
+    "merge_condition_insert_all": """
+        SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE (o_orderkey % 2 = 1) IS NOT TRUE
+        UNION ALL
+        SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} s WHERE o_orderkey % 2 = 1 AND NOT EXISTS (
+            SELECT 1 FROM {orders} t
+            WHERE (t.o_orderkey % 2 = 1) IS NOT TRUE AND t.o_custkey = s.o_custkey AND s.o_totalprice > t.o_totalprice)""",
     "merge_partial": """
         SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey,
                CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_orderstatus ELSE t.o_orderstatus END AS o_orderstatus,
@@ -221,6 +227,7 @@ _SQL: dict[str, str] = {
     "landing_write": """
         SELECT user_id AS account_id, url, end_time, '2024-01-31' AS ingest_date FROM {fx_games}""",
     "landing_load_since": "SELECT user_id AS account_id, url, end_time FROM {fx_games} WHERE user_id % 50 = 0",
+    "landing_load_since_all": "SELECT user_id AS account_id, url, end_time FROM {fx_games}",
     "landing_load": f"SELECT *, 'json' AS source_file FROM ({_FLAT})",
     "ingest_batch_games": f"""
         WITH flat AS ({_FLAT}),

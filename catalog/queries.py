@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.fixtures import DUE_NOW, LOCK_TIMEOUT, LOG_KEEP, NOW, fixture
 from tablesync import functions as fn
@@ -190,6 +191,17 @@ def merge_condition_insert(spark, sf):
     ).next_state
 
 
+@query
+def merge_condition_insert_all(spark, sf):
+    """As ``merge_condition_insert``, with every order on one side."""
+    orders = fixture(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    in_source = F.coalesce(F.col("o_orderkey") % 2 == 1, F.lit(False))
+    return ops.merge(
+        orders.where(~in_source), orders.where(in_source), PRICED_BY, keys=["o_custkey"], when_matched="ignore",
+        condition="_source.o_totalprice > _target.o_totalprice",
+    ).next_state
+
+
 @query
 def merge_partial(spark, sf):
     target, source = fixture(spark, sf, "fx_target"), fixture(spark, sf, "fx_source_full")
@@ -535,6 +547,19 @@ def landing_load_since(spark, sf):
     return loaded.select(F.col("account_id").cast("bigint").alias("account_id"), "url", "end_time")
 
 
+@query
+def landing_load_since_all(spark, sf):
+    """Two days of every account, in a bounded number of folders; the account stays in the record."""
+    root = scratch_dir(spark, "landing")
+    games = _raw_games(spark, sf, "user_id").withColumnRenamed("user_id", "account_id")
+    games = games.withColumn("bucket", F.pmod(F.coalesce("account_id", F.lit(0)), F.lit(16)))
+    for day in ("2024-01-30", "2024-01-31"):
+        landing_write(games, root, day, partition_by=("bucket", "ingest_date"))
+    schema = T.StructType([T.StructField("account_id", T.LongType()), *GAME.fields])
+    loaded = landing_load(spark, root, schema, since="2024-01-31")
+    return loaded.select("account_id", "url", "end_time")
+
+
 @query
 def landing_load_files(spark, sf):
     loaded = landing_load(spark, _land(spark, sf), GAME)
