@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_components, brute_fingerprint, wide_similarity
 
 from tablesync.llm.pieces import MODEL
 from tablesync.llm.quality import quality_rules
@@ -66,6 +66,25 @@ def test_near_duplicates(kept):
     assert texts(kept[3]) == {d: given[d] for d in set(components)}
 
 
+def test_near_duplicates_with_similar_shingles(kept):
+    """Both links of the stage, against all pairs."""
+    given = texts(kept[2])
+    ids, parent = list(given), {d: d for d in given}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    fps = {d: brute_fingerprint(t) for d, t in given.items()}
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            words = given[a].split() and given[b].split()
+            if (fps[a] ^ fps[b]).bit_count() <= 4 or words and wide_similarity(given[a], given[b]) >= 0.8:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert texts(kept[3]) == {d: given[d] for d in {root(d) for d in ids}}
+
+
 def test_mixture(kept):
     given = texts(kept[3])
     rows = Counter((r["doc_id"], r["text"]) for r in kept[4].collect())
