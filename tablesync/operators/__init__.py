@@ -58,6 +58,7 @@ from tablesync.operators.reads import (
     row_exists,
     table_read,
 )
+from tablesync.operators.running import number_rows, running_totals
 from tablesync.operators.writes import append_strict, delete_where, insert_ignore, overwrite, update_where
 
 __all__ = [name for name in dir() if not name.startswith("_")]

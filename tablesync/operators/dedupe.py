@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesync.functions.times import epoch_micros
 from tablesync.operators.guards import any_null, required
+from tablesync.operators.running import number_rows
 
 
 # Above this Spark no longer limits groups before a shuffle by itself.
@@ -57,27 +57,14 @@ def number_in_group(
     tie: Sequence[str],
     *,
     alias: str,
-    slice_seconds: int = 60,
+    parts: int | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in its group, ordered by ``time`` and ``tie``.
 
-    Groups are cut into time slices: rows are ranked inside a slice and shifted by the
-    number of rows in earlier slices, so one long group is ranked by many tasks and
-    only slice counts, not rows, meet per group. Choose ``slice_seconds`` so that a
-    slice of one group fits a task; rows at one instant stay together. A row without
-    group or time has no position and fails the job.
+    A distributed prefix sum (``number_rows``): a group is cut by time and tie into ranges of
+    even size, so neither a long group nor one whose rows share an instant is ranked by one
+    task. ``parts`` sets the number of ranges. A row without group or time has no position
+    and fails the job, which runs when this is called.
     """
     needed = {c: required(F.col(c), f"{c} is NULL, so {alias} is not defined") for c in (group, time)}
-    rows = df.withColumns(needed)
-    rows = rows.withColumn("_slice", F.floor(epoch_micros(F.col(time)) / F.lit(slice_seconds * 1_000_000)))
-    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(group, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(group, "_slice").orderBy(time, *tie)
-    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1)
-    # The ranked rows are already laid out by the join keys; only the counts move.
-    joined = ranked.join(offsets, [group, "_slice"])
-    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(alias))
+    return number_rows(df.withColumns(needed), [group], [time, *tie], alias, parts)

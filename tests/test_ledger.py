@@ -19,6 +19,7 @@ from tablesync.operators import (
     run_outcome,
     step_order,
 )
+from tablesync.operators.running import in_ranges, number_rows, running_totals
 from tablesync.plans import nightly_maintenance
 
 NOW = datetime(2024, 3, 10, 12)
@@ -102,7 +103,7 @@ def test_outcomes_and_errors(spark, rows):
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"slice_seconds": 1}, {"slice_seconds": 10**6}],
+    [{}, {"parts": 1}, {"parts": 20}],
 )
 def test_step_order(spark, options):
     start = datetime(2024, 3, 10, 1, 59)
@@ -116,11 +117,37 @@ def test_step_order(spark, options):
     assert got == want
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 60])
-def test_step_without_run_or_time_fails(spark, slice_seconds):
+def test_steps_of_one_instant_are_spread(spark):
+    """One run, one instant: the ties cut it into ranges, none of them large."""
+    steps = spark.range(20_000).select(
+        F.lit("r").alias("run_id"), F.lit(NOW).cast("timestamp_ntz").alias("started_at"), F.col("id").alias("name")
+    )
+    laid = in_ranges(steps, ["run_id"], ["started_at", "name"], parts=16)
+    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 5_000
+    assert step_order(steps, parts=16).where("step_order <> name").isEmpty()
+
+
+def test_running_totals_with_null_group_and_ties(spark):
+    data = [(None if i % 3 == 0 else f"g{i % 3}", i // 4, i, None if i % 7 == 0 else i) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, t int, id int, v int")
+    got = {r.id: (r.total, r.n) for r in running_totals(df, ["g"], ["t", "id"], {"total": F.col("v"), "n": F.lit(1)}, 7).collect()}
+    for g, t, i, _ in data:
+        upto = [d for d in data if d[0] == g and (d[1], d[2]) <= (t, i)]
+        assert got[i] == (sum(d[3] or 0 for d in upto), len(upto))
+
+
+def test_running_totals_of_no_rows(spark):
+    df = spark.createDataFrame([], "g string, t int")
+    assert running_totals(df, ["g"], ["t"], {"n": F.lit(1)}).collect() == []
+    assert number_rows(df, ["g"], ["t"], "n").collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 20])
+def test_step_without_run_or_time_fails(spark, parts):
     df = spark.createDataFrame([(None, NOW, 1)], "run_id string, started_at timestamp_ntz, id int")
     with fails("run_id is NULL"):
-        step_order(df, ["id"], slice_seconds=slice_seconds).collect()
+        step_order(df, ["id"], parts=parts).collect()
 
 
 def test_ledger_write_replaces_the_placeholder(spark, rows, runs):

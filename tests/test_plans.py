@@ -183,7 +183,8 @@ def test_step_numbering_moves_the_rows_once(spark, no_broadcast):
     events = spark.read.parquet(f"{SF}/events.parquet")
     steps = events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("started_at"), "event_id")
     text = tree(step_order(steps, ["event_id"]))
-    # One exchange for the rows; the other three carry slice counts.
+    # Laid out in ranges before, the rows move once more where offsets are too many to broadcast; the
+    # other three exchanges carry one row per range and run.
     assert text.count(" Exchange") == 4
 
 
