@@ -87,3 +87,64 @@ FROM marked GROUP BY doc_id
 """
 
 ORACLE = {"op5_reply_trees": OP5, "op7_line_frequency": OP7, "op9_line_dedup": OP9}
+
+# CRC-32 of an ASCII text, bit by bit: 3988292384 is the reversed polynomial EDB88320.
+_CRC = """xor(4294967295, list_reduce(
+    list_transform(string_split({0}, ''), lambda ch: ord(ch)::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+    4294967295::BIGINT))"""
+
+
+def _spelled(*values: str) -> str:
+    return " || ".join(f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values)
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE given AS (
+    SELECT doc_id, source, sha256({_spelled(*_FIELDS, "text")}) AS leaf,
+           sha256({_spelled(*_FIELDS, f"(CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")}) AS claim
+    FROM documents),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM given),
+lower_tree(source, l, i, h, n) AS (
+    SELECT source, 0, i, leaf, n FROM leaves
+    UNION ALL
+    SELECT source, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+    FROM lower_tree WHERE n > 1 GROUP BY source, l, i // 3, n),
+subroots AS (
+    SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j, count(*) OVER () AS m
+    FROM lower_tree WHERE n = 1),
+upper_tree(l, i, h, n) AS (
+    SELECT 0, j, subroot, m FROM subroots
+    UNION ALL
+    SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+    FROM upper_tree WHERE n > 1 GROUP BY l, i // 3, n),
+lower_runs AS (SELECT source, l, i // 3 AS run, list(h ORDER BY i) AS hs FROM lower_tree WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT l, i // 3 AS run, list(h ORDER BY i) AS hs FROM upper_tree WHERE n > 1 GROUP BY ALL),
+steps AS (
+    SELECT v.source, v.i, 0 AS part, r.l, hs, (v.i // (3 ** r.l)::BIGINT) % 3 AS pos
+    FROM leaves v JOIN lower_runs r ON v.source IS NOT DISTINCT FROM r.source AND r.run = v.i // (3 ** (r.l + 1))::BIGINT
+    UNION ALL
+    SELECT v.source, v.i, 1, r.l, hs, (s.j // (3 ** r.l)::BIGINT) % 3
+    FROM leaves v JOIN subroots s ON v.source IS NOT DISTINCT FROM s.source
+    JOIN upper_runs r ON r.run = s.j // (3 ** (r.l + 1))::BIGINT),
+paths AS (
+    SELECT source, i, list({{'l': array_to_string(list_slice(hs, 1, pos), ''), 'r': array_to_string(list_slice(hs, pos + 2, 3), ''), 'h': ''}}
+                           ORDER BY part, l) AS path
+    FROM steps GROUP BY source, i),
+proved AS (
+    SELECT v.doc_id, v.leaf, v.claim, s.subroot, (SELECT h FROM upper_tree WHERE n = 1) AS root,
+           coalesce(p.path, []) AS path
+    FROM leaves v JOIN subroots s ON v.source IS NOT DISTINCT FROM s.source
+    LEFT JOIN paths p ON v.source IS NOT DISTINCT FROM p.source AND v.i = p.i),
+done AS (
+    SELECT *, list_reduce(path, lambda a, s: {{'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}},
+                          {{'l': '', 'r': '', 'h': claim}}).h AS folded_root
+    FROM proved)
+SELECT doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM done"""

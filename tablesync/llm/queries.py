@@ -13,6 +13,7 @@ from tablesync.llm.common import read_table, whole
 from tablesync.llm.fingerprint import as_text, edited_documents, likeness, with_fingerprint
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mix
+from tablesync.llm.merkle import document_leaves, merkle_proofs, proof_text, verified
 from tablesync.llm.oracle import ORACLE  # noqa: F401 - part of this module's interface
 from tablesync.llm.pii import KINDS, find_personal_data
 from tablesync.llm.pieces import round_trip
@@ -142,3 +143,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(f"n_{kind}" for kind in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans"
     )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document, verified against texts of which half have lost their line breaks."""
+    docs = read_table(spark, sf_dir, "documents")
+    odd = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    leaves = document_leaves(docs, tampered=F.when(odd, F.translate(docs["text"], "\n", "")).otherwise(docs["text"]))
+    return verified(merkle_proofs(leaves), "claim").select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
