@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tablesync.llm.chat import best_paths, format_chat, read_loss, read_turns
 from tablesync.llm.common import read_table, whole
 from tablesync.llm.fingerprint import as_text, edited_documents, likeness, with_fingerprint
+from tablesync.llm.langid import language_id
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.mixing import mix
 from tablesync.llm.merkle import document_leaves, merkle_proofs, proof_text, verified
@@ -21,6 +22,7 @@ from tablesync.llm.quality import quality_rules
 from tablesync.llm.secrets import secret_scan
 from tablesync.llm.simhash import simhash_components
 from tablesync.llm.suffixes import repeated_substrings
+from tablesync.llm.trie import digested, prefix_trie, rebuilt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +157,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"),
         "folded_root", "verified",
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie(*rebuilt(digested(read_table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
