@@ -46,6 +46,10 @@ _DIFF = """
     UNION ALL SELECT 'o_orderstatus', 'nullable', 'not null', 'null', count(*) FILTER (WHERE o_orderstatus = 'P')
               FROM {orders}"""
 
+_EVENT_DAYS = """
+    SELECT *, CAST(substr(day, 9, 2) AS INT) AS dom
+    FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, value FROM {events})"""
+
 _SQL: dict[str, str] = {
     # merges
     "merge_upsert": _UPSERT,
@@ -262,7 +266,22 @@ _SQL: dict[str, str] = {
         SELECT event_id, day, CASE WHEN event_id % 3 = 0 AND (day IS NULL OR CAST(substr(day, 9, 2) AS INT) % 7 < 2)
                                    THEN 0.0::DOUBLE ELSE value END AS value
         FROM days""",
+    "sync_partitions_full": f"""
+        WITH days AS ({_EVENT_DAYS}), chosen AS (SELECT * FROM days WHERE day IS NULL OR dom % 7 < 2)
+        SELECT event_id, day, 0.0::DOUBLE AS value FROM chosen WHERE event_id % 3 = 0
+        UNION ALL SELECT -event_id, day, value FROM chosen WHERE event_id % 5 = 1""",
+    "sync_partitions_touched": f"""
+        WITH days AS ({_EVENT_DAYS}), chosen AS (SELECT * FROM days WHERE day IS NULL OR dom % 7 < 2)
+        SELECT event_id, day, 0.0::DOUBLE AS value FROM chosen WHERE event_id % 3 = 0
+        UNION ALL SELECT -event_id, day, value FROM chosen WHERE event_id % 5 = 1
+        UNION ALL SELECT event_id, day, value FROM days WHERE dom % 7 >= 2""",
+    "sync_partitions_delete": f"""
+        SELECT event_id, day, value FROM ({_EVENT_DAYS})
+        WHERE day IS NULL OR dom % 7 > 1 OR (dom % 7 = 1 AND event_id % 3 <> 0)""",
     "stream_dedupe": "SELECT DISTINCT url AS external_game_id, 1::BIGINT AS n_rows FROM {fx_games}",
+    "stream_dedupe_rejects": """
+        SELECT DISTINCT 'game' AS kind, url AS id, 1::BIGINT AS n_rows FROM {fx_games} WHERE event_id % 7 <> 0
+        UNION ALL SELECT 'reject', url, count(*) FROM {fx_games} WHERE event_id % 7 = 0 GROUP BY url""",
     # ledger
     "run_outcome": f"SELECT run_id, result FROM ({_OUTCOME})",
     "run_errors": """

@@ -617,6 +617,22 @@ def stream_dedupe_games(spark, sf):
     return games.groupBy("external_game_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def stream_dedupe_rejects(spark, sf):
+    """Games and rejects of one streaming query; every seventh record lacks a rating."""
+    root, table_path, rejects = (scratch_dir(spark, name) for name in ("landing", "games", "rejects"))
+    games = _raw_games(spark, sf, "event_id", "user_id").withColumnRenamed("user_id", "account_id")
+    rated = F.when(F.col("event_id") % 7 != 0, F.col("white.rating"))
+    landing_write(games.withColumn("white", F.col("white").withField("rating", rated)), root, "2024-01-31")
+    stream_dedupe(spark, root, table_path, scratch_dir(spark, "offsets"), rejects=rejects).awaitTermination()
+    kept = spark.read.schema(stored_table("games").struct()).parquet(table_path)
+    left = spark.read.schema(GAME).json(rejects)
+    both = kept.select(F.lit("game").alias("kind"), F.col("external_game_id").alias("id")).unionByName(
+        left.select(F.lit("reject").alias("kind"), F.col("url").alias("id"))
+    )
+    return both.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # -- ledger -----------------------------------------------------------------------
 
 
@@ -830,6 +846,49 @@ def sync_partitions(spark, sf):
     return spark.read.schema(EVENT_DAYS.struct()).parquet(path).select("event_id", "day", "value")
 
 
+def _event_days(spark, sf) -> tuple[str, DataFrame]:
+    """Events in a folder per day, some without a day; and the table as read."""
+    day = F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "yyyy-MM-dd"))
+    path = scratch_dir(spark, "event-days")
+    fixture(spark, sf, "events").select("event_id", day.alias("day"), "value").write.partitionBy("day").parquet(path)
+    return path, spark.read.schema(EVENT_DAYS.struct()).parquet(path)
+
+
+def _day_of_month():
+    return F.substring("day", 9, 2).cast("int")
+
+
+def _synced(spark, sf, **options) -> DataFrame:
+    """Every third event of two in seven days is set to 0, every fifth comes again under a new id."""
+    path, known = _event_days(spark, sf)
+    some = known.where(F.col("day").isNull() | (_day_of_month() % 7 < 2))
+    again = some.where("event_id % 5 = 1").withColumn("event_id", -F.col("event_id"))
+    changes = some.where("event_id % 3 = 0").withColumn("value", F.lit(0.0)).unionByName(again)
+    jobs_sync_partitions(path, changes, EVENT_DAYS, "day", when_not_matched_by_source="delete", **options)
+    return spark.read.schema(EVENT_DAYS.struct()).parquet(path).select("event_id", "day", "value")
+
+
+@query
+def sync_partitions_full(spark, sf):
+    """Full sync: days the source has nothing for are dropped."""
+    return _synced(spark, sf)
+
+
+@query
+def sync_partitions_touched(spark, sf):
+    """Full sync of the touched days; the others stay as they are."""
+    return _synced(spark, sf, delete_within="touched")
+
+
+@query
+def sync_partitions_delete(spark, sf):
+    """Matched rows go: all of the days at a multiple of seven, whose folders vanish, and a third of the next ones."""
+    path, known = _event_days(spark, sf)
+    keys = known.where((_day_of_month() % 7 == 0) | ((_day_of_month() % 7 == 1) & (F.col("event_id") % 3 == 0)))
+    jobs_sync_partitions(path, keys, EVENT_DAYS, "day", when_matched="delete", when_not_matched_by_target="ignore")
+    return spark.read.schema(EVENT_DAYS.struct()).parquet(path).select("event_id", "day", "value")
+
+
 @query
 def table_transform_clicks(spark, sf):
     clicks = table(

@@ -6,8 +6,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.contract import TableContract
 from tablesync.errors import ContractError
@@ -16,10 +17,11 @@ from tablesync.operators.ingest import advanced_accounts, game_flatten, game_rej
 from tablesync.operators.ledger import log_retention, purge_runs
 from tablesync.operators.links import live_links, orphan_accounts
 from tablesync.operators.merge import merge, watermark_advance
-from tablesync.operators.outcome import WriteOutcome, gathered
+from tablesync.operators.outcome import WriteOutcome
 from tablesync.operators.reads import table_read
 from tablesync.operators.writes import insert_ignore, overwrite
-from tablesync.session import discard, scratch_dir
+from tablesync.session import discard, scratch_dir, stored
+from tablesync.swaps import Folder, aside, mend, publish
 
 
 @dataclass(frozen=True)
@@ -87,57 +89,62 @@ def nightly_maintenance(
     return Maintenance(purge_runs(runs, now), links, orphan_accounts(accounts, links), log_retention(logs, now))
 
 
-def _touched(table: DataFrame, source: DataFrame, partition: str) -> DataFrame:
-    """The partitions of ``table`` that occur in ``source``, the NULL partition like any other.
-
-    The smallest and largest value prune partitions before the table is read; a
-    null-safe join on the distinct values does the rest, however many there are.
-    """
-    low, high, nulls = source.agg(F.min(partition), F.max(partition), F.count_if(F.col(partition).isNull())).first()
-    within = F.col(partition).between(F.lit(low), F.lit(high)) if low is not None else F.lit(False)
-    if nulls:
-        within = within | F.col(partition).isNull()
-    values = source.select(F.col(partition).alias("_touched")).distinct()
-    return table.where(within).join(values, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
-
-
-def _untouched(table: DataFrame, source: DataFrame, partition: str) -> DataFrame:
-    values = source.select(F.col(partition).alias("_touched")).distinct()
-    return table.join(values, F.col(partition).eqNullSafe(F.col("_touched")), "left_anti")
+def _folder_of(spark: SparkSession, column: str, value: str | None) -> str:
+    """Spark's own folder name of a partition value, escapes included."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return names.getPartitionPathString(column, value)
 
 
 def sync_partitions(
-    path: str, source: DataFrame, contract: TableContract, partition_by: str, **merge_options
+    path: str, source: DataFrame, contract: TableContract, partition_by: str, *, delete_within: str = "table", **merge_options
 ) -> dict:
     """Merge into a partitioned Parquet table, rewriting only the partitions the source touches.
 
-    For merges that remove no row and whose partition value never changes for a
-    key, as with an ingestion date; a source key held by a partition that the source
-    does not touch fails the job. Each call looks through the keys of the whole table
-    for that, and no other column of those partitions. The touched partitions are
-    merged to scratch first, because a path cannot be read and overwritten in one
-    job; that copy stays there until the partitions have been replaced.
+    Partitions that lose all their rows vanish. ``when_not_matched_by_source="delete"`` makes it a full sync: of the
+    whole table, so that partitions without a source row are dropped unread, or with ``delete_within="touched"``
+    of the partitions the source has rows for. An empty source changes nothing.
+
+    The source is run once and kept in scratch. Its distinct partition values, as many as it touches folders,
+    prune the table's folders by name, so two days of a year read two days. The merged partitions are written once,
+    beside the table, and swapped in by a list of moves: after a crash between any two steps, calling again mends the
+    table first (``tablesync.swaps``). A key's partition value must not change: a source key held by a partition
+    that the source does not touch fails the job; of those partitions the keys alone are read for that.
     """
-    if merge_options.get("when_matched") == "delete" or merge_options.get("when_not_matched_by_source") == "delete":
-        raise ContractError("a partition-wise merge cannot delete: an emptied partition would stay")
+    if delete_within not in ("table", "touched"):
+        raise ContractError(f"delete_within must be 'table' or 'touched', not {delete_within!r}")
     contract.check_known([partition_by], "partition column")
     if partition_by not in source.columns:
         raise ContractError(f"source lacks the partition column {partition_by!r}")
     spark = source.sparkSession
-    table = spark.read.schema(contract.struct()).parquet(path)
-    target = _touched(table, source, partition_by)
-    keys = list(merge_options.get("keys") or contract.primary_key)
-    moved = _untouched(table, source, partition_by).select(*keys).join(source.select(*keys), keys, "left_semi")
-    source = guard_empty(source, moved, f"source keys of {contract.name} held by another partition")
-    staging = scratch_dir(spark, "sync")
-    counts = merge(target.select(*contract.column_names), source, contract, **merge_options).write(staging)
-    merged = spark.read.schema(contract.struct()).parquet(staging)
-    (
-        gathered(merged, [partition_by])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_by)
-        .parquet(path)
-    )
-    discard(spark, staging)
-    return counts
+    folder = Folder(spark, path)
+    mend(folder)
+    kept, staging = scratch_dir(spark, "sync-source"), aside()
+    try:
+        source = stored(source, kept)
+        part = F.col(partition_by)
+        values = [r[0] for r in source.select(part.cast(contract.column(partition_by).type)).distinct().collect()]
+        if not values:
+            return {"strategy": "merge", "rows_inserted": 0, "rows_updated": 0, "rows_deleted": 0}
+        touched = part.isin([v for v in values if v is not None])
+        touched = F.coalesce(touched, F.lit(None in values))
+        table = spark.read.schema(contract.struct()).parquet(path)
+        keys = list(merge_options.get("keys") or contract.primary_key)
+        rest = table.where(~touched)
+        moved = rest.select(*keys).join(source.select(*keys), keys, "left_semi")
+        checked = guard_empty(source, moved, f"source keys of {contract.name} held by another partition")
+        target = table.where(touched).select(*contract.column_names)
+        done = merge(target, checked, contract, **merge_options)
+        counts = done.write(f"{folder.root}/{staging}", partition_by=[partition_by])
+        prefix = f"{partition_by}="
+        put = [n for n in folder.names(staging) if n.startswith(prefix)]
+        there = [n for n in folder.names() if n.startswith(prefix)]
+        texts = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", contract.column(partition_by).type)]))
+        ours = {_folder_of(spark, partition_by, r[0]) for r in texts.select(F.col("v").cast("string")).collect()}
+        gone = [n for n in there if n in ours]
+        if merge_options.get("when_not_matched_by_source") == "delete" and delete_within == "table":
+            counts["rows_deleted"] += rest.count()
+            gone = there
+        publish(folder, staging, put, sorted(set(gone) - set(put)))
+        return counts
+    finally:
+        discard(spark, kept)

@@ -1,5 +1,5 @@
 """Structured Streaming forms of the ingestion path."""
 
-from tablesync.streaming.ingest import ingest_stream, read_ingested, stream_dedupe
+from tablesync.streaming.ingest import compact_ingested, ingest_counts, ingest_stream, read_ingested, stream_dedupe
 
-__all__ = ["ingest_stream", "read_ingested", "stream_dedupe"]
+__all__ = ["compact_ingested", "ingest_counts", "ingest_stream", "read_ingested", "stream_dedupe"]

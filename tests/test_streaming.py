@@ -7,8 +7,8 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tablesync import stored_table
-from tablesync.streaming import ingest_stream, read_ingested, stream_dedupe
+from tablesync import stored_table, swaps
+from tablesync.streaming import ingest_counts, ingest_stream, read_ingested, stream_dedupe
 
 GAMES = stored_table("games")
 
@@ -104,12 +104,91 @@ def test_a_new_checkpoint_adds_to_the_table(spark, rows, paths, tmp_path):
     assert rows(read_ingested(spark, table, GAMES), "external_game_id") == [("g1",), ("g2",), ("g3",)]
 
 
-def test_look_up_reads_the_buckets_of_a_batch(spark, paths, tmp_path):
+def ingest(spark, raw, table, offsets, tmp_path, **options):
+    ingest_stream(spark, str(raw), table, offsets, GAMES, rejects=str(tmp_path / "r"), **options).awaitTermination()
+
+
+def test_a_batch_reads_only_segments_that_may_hold_its_ids(spark, rows, paths, tmp_path):
+    raw, table, offsets = paths
+    for i in range(6):
+        land(raw, f"{i}.jsonl", *((f"g{i}-{k}", 100 + k) for k in range(50)))
+    land(raw, "6.jsonl", ("g2-7", 1), ("g2-8", 1), ("new", 1))
+    for name, at in ((f"{i}.jsonl", i) for i in range(7)):
+        os.utime(raw / name, (1_700_000_000 + at, 1_700_000_000 + at))
+    ingest(spark, raw, table, offsets, tmp_path, max_files=1)
+    assert read_ingested(spark, table, GAMES).count() == 301
+    counts = {int(r.batch_id.rpartition("-")[2]): r for r in ingest_counts(spark, table).collect()}
+    assert [counts[i].segments for i in range(7)] == list(range(7))
+    assert all(counts[i].rows_read == 51 and counts[i].rows_rejected == 1 and counts[i].rows_inserted == 50 for i in range(6))
+    # New ids are known by no sketch, but for one in a hundred per segment.
+    assert sum(counts[i].segments_read for i in range(6)) <= 8
+    assert (counts[6].rows_distinct, counts[6].rows_inserted) == (3, 1) and 1 <= counts[6].segments_read <= 2
+
+
+def test_many_batches_leave_few_segments_and_read_as_little(spark, rows, paths, tmp_path):
+    raw, table, offsets = paths
+    n = 30
+    for i in range(n):
+        land(raw, f"{i:03}.jsonl", *((f"g{i}-{k}", 100 + k) for k in range(5)), (f"g{i - 9}-1", 7), ("shared", i))
+        os.utime(raw / f"{i:03}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+    ingest(spark, raw, table, offsets, tmp_path, max_files=1)
+    games = read_ingested(spark, table, GAMES)
+    want = sorted({f"g{i}-{k}" for i in range(n) for k in range(5)} | {"shared"} | {f"g{i - 9}-1" for i in range(9)})
+    assert rows(games, "external_game_id") == [(x,) for x in want]
+    assert games.select("batch_id").distinct().count() == n
+    folders = [p for p in (tmp_path / "table").iterdir() if p.name.startswith("segment=")]
+    assert len(folders) <= 16 and all(len(list(p.glob("*.parquet"))) <= 2 for p in folders)
+    counts = ingest_counts(spark, table).collect()
+    assert len(counts) == n and max(r.segments for r in counts) <= 16 and max(r.segments_read for r in counts) <= 6
+    assert sum(r.rows_inserted for r in counts) == len(want)
+
+
+def test_compaction_that_breaks_off_is_mended(spark, rows, paths, tmp_path, monkeypatch):
+    raw, table, offsets = paths
+    for i in range(9):
+        land(raw, f"{i}.jsonl", (f"g{i}", 1))
+        os.utime(raw / f"{i}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+    with monkeypatch.context() as patched:
+        plain, left = swaps.Folder.delete, [3]
+
+        def delete(self, name):
+            if name.startswith("segment="):
+                left[0] -= 1
+                if not left[0]:
+                    raise OSError("gone")
+            return plain(self, name)
+
+        patched.setattr(swaps.Folder, "delete", delete)
+        with pytest.raises(StreamingQueryException):
+            ingest(spark, raw, table, offsets, tmp_path, max_files=1)
+    ingest(spark, raw, table, offsets, tmp_path, max_files=1)
+    assert rows(read_ingested(spark, table, GAMES), "external_game_id") == [(f"g{i}",) for i in range(9)]
+
+
+def test_a_segment_without_sketch_is_read(spark, rows, paths, tmp_path):
     raw, table, offsets = paths
     land(raw, "1.jsonl", ("g1", 100))
-    ingest_stream(spark, str(raw), table, offsets, GAMES, rejects=str(tmp_path / "r")).awaitTermination()
-    known = read_ingested(spark, table, GAMES).where(F.col("bucket").isin([3]))
-    assert "PartitionFilters: [isnotnull(bucket" in known._jdf.queryExecution().toString()
+    ingest(spark, raw, table, offsets, tmp_path)
+    shutil.rmtree(tmp_path / "table" / "_ids")
+    land(raw, "2.jsonl", ("g1", 5), ("g2", 5))
+    ingest(spark, raw, table, offsets, tmp_path)
+    assert rows(read_ingested(spark, table, GAMES), "external_game_id") == [("g1",), ("g2",)]
+
+
+def test_stream_dedupe_with_a_rejects_path_that_fails(spark, rows, paths, tmp_path):
+    """One handle: the failure reaches the caller, and nothing is lost or doubled once the path is good."""
+    raw, table, offsets = paths
+    rejects = tmp_path / "rejects"
+    rejects.write_text("a file, not a folder")
+    land(raw, "1.jsonl", ("g1", 1), ("g1", 2), ("g2", 1))
+    with pytest.raises(StreamingQueryException):
+        stream_dedupe(spark, str(raw), table, offsets, rejects=str(rejects)).awaitTermination()
+    assert not spark.streams.active
+    rejects.unlink()
+    for _ in range(2):
+        stream_dedupe(spark, str(raw), table, offsets, rejects=str(rejects)).awaitTermination()
+    assert rows(spark.read.schema(GAMES.struct()).parquet(table), "external_game_id") == [("g1",), ("g2",)]
+    assert rows(spark.read.json(str(rejects)), "line") == [('{"broken',)]
 
 
 def test_stream_dedupe_keeps_what_old_files_hold(spark, rows, paths, tmp_path):

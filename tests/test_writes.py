@@ -155,7 +155,7 @@ def test_sync_partitions_rewrites_only_what_it_touches(spark, rows, tmp_path):
         assert got == [(1, "a", "d1"), (2, "B", "d1"), (3, "c", "d2"), (4, "d", "d3")]
     assert sorted(p.name for p in (tmp_path / "t" / "day=d2").glob("*.parquet")) == untouched
     with pytest.raises(ContractError):
-        sync_partitions(path, new, table, "day", when_matched="delete")
+        sync_partitions(path, new, table, "day", delete_within="day")
 
 
 def test_table_transform(spark, rows, target):
