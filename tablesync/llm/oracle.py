@@ -148,3 +148,36 @@ SELECT doc_id, leaf, subroot, root,
        sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
        folded_root, folded_root = root AS verified
 FROM done"""
+
+ORACLE["op13_prefix_trie"] = f"""
+WITH given AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 5 AS b, {_CRC.format("c::VARCHAR")} % 9 AS h, count(*) AS n FROM given GROUP BY c),
+sized AS (SELECT v.c, v.b, v.h, least(v.h, coalesce(g.n, 0)) AS taken FROM convs v LEFT JOIN convs g ON g.c = v.b),
+turns AS (
+    SELECT s.c, g.i AS d, role, text FROM sized s JOIN given g ON g.c = s.b AND g.i <= s.h
+    UNION ALL
+    SELECT s.c, g.i - s.h + s.taken, role, text FROM sized s JOIN given g ON g.c = s.c WHERE g.i > s.h),
+prefixes AS (
+    SELECT c, d, strlen(text) AS bytes,
+           sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '')
+                  OVER (PARTITION BY c ORDER BY d)) AS p
+    FROM turns
+    UNION ALL SELECT c, 0, 0, '' FROM convs),
+placed AS (
+    SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS before, d = max(d) OVER (PARTITION BY c) AS last FROM prefixes),
+nodes AS (
+    SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, max(before) AS before,
+           string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last) AS ends
+    FROM placed GROUP BY d, p),
+children AS (SELECT d - 1 AS d, before AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+family AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON k.d = n.d AND k.p = n.p),
+below AS (
+    SELECT a.d, a.p, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved
+    FROM family f JOIN prefixes a ON a.c = f.conv_id AND a.d <= f.d GROUP BY a.d, a.p)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves,
+       b.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM family f JOIN below b ON b.d = f.d AND b.p = f.p
+LEFT JOIN nodes up ON up.d = f.d - 1 AND up.p = f.before"""
