@@ -40,14 +40,14 @@ repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
 ),
 lines AS (
-  SELECT doc_id, source, {_key("line")} AS key, line FROM (
-    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT doc_id, source, pos, {_key("s[pos]")} AS key, s[pos] AS line FROM (
+    SELECT doc_id, source, s, unnest(range(1, len(s) + 1)) AS pos FROM (
+      SELECT doc_id, source, string_split(text, chr(10)) AS s FROM d))
+  WHERE regexp_matches(s[pos], '[^\x20\x09-\x0D]')
 ),
-bodies AS (SELECT doc_id, max(struct_pack(n := length(key), k := key)).k AS body FROM lines GROUP BY doc_id),
+bodies AS (SELECT doc_id, string_agg(key, chr(10) ORDER BY pos) AS body FROM lines GROUP BY doc_id),
 limited AS (
-  SELECT source, key FROM lines JOIN bodies USING (doc_id) GROUP BY source, key
-  HAVING count(DISTINCT doc_id) > 20 AND 2 * count(DISTINCT body) >= count(DISTINCT doc_id)
+  SELECT source, key FROM lines JOIN bodies USING (doc_id) GROUP BY source, key HAVING count(DISTINCT body) > 20
 ),
 gone AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n

@@ -6,9 +6,7 @@ such lines is depleted and rejected, beside documents that fail the base rules.
 
 Copies of one document are no boilerplate: documents with the same normalised lines count as one body, and
 a line is limited if more than ``max_documents`` bodies of its host hold it. Copies stay for near-duplicate
-removal to decide. ``by_longest`` is the rule of the SQL of op7: one longest line is one body, and a line in
-more than ``max_documents`` documents is limited only if at least half of them differ in body; it keeps
-boilerplate that is the longest line itself, or that a large group of copies shares.
+removal to decide.
 
 Defined results: NULL or empty text has no words and fails the base rules. A NULL host is a host of
 its own. Rows with the same id are one document in the line counts and keep a row each. Other columns
@@ -30,46 +28,56 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
 
-def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus the base counts of each whole text and ``base_failed``.
-
-    Repeated windows are found by sorting the hashes of a text's windows with their
-    places: linear memory and n log n time in the length of one text.
-    """
-    hashes = F.transform(
-        indices(F.size("_words") - (WINDOW - 1)),
-        lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(WINDOW))),
-    )
-    placed = F.when(
-        F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
-        F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-    )
-    twice = F.filter(
-        "_placed",
-        lambda x, j: (F.get("_placed", j - 1)["h"] == x["h"]) | (F.get("_placed", j + 1)["h"] == x["h"]),
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value standing in a one-row array: it is computed once, however often it is used
+    and wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeated_words(words: Column) -> Column:
+    """Words in windows found twice or more. Equal windows are neighbours once the hashes are sorted with their
+    places: linear memory and n log n time in the length of one text."""
+
+    def covered(twice: Column) -> Column:
+        return F.aggregate(
+            F.array_sort(F.transform(twice, lambda x: x["i"])),
+            F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
+            lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")),
+            lambda a: a["n"],
+        )
+
+    def neighbours(placed: Column) -> Column:
+        return F.filter(placed, lambda x, j: (F.get(placed, j - 1)["h"] == x["h"]) | (F.get(placed, j + 1)["h"] == x["h"]))
+
+    def counted(hashes: Column) -> Column:
+        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(repeated, _once(placed, lambda p: covered(neighbours(p)))).otherwise(0)
+
+    windows = F.transform(
+        indices(F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW)))
     )
-    covered = F.aggregate(
-        F.array_sort(F.transform("_twice", lambda x: x["i"])),
-        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
-        lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")),
-        lambda a: a["n"],
+    return _once(windows, counted)
+
+
+def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus the base counts of each whole text and ``base_failed``."""
+    given = F.col(text)
+    spoken = F.filter(F.split(whole(given), "\n", -1), lambda line: line.rlike(NOT_SPACE))
+    of_words = _once(
+        words_of(given),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w).cast("long").alias("repeated")),
     )
-    spoken = F.filter(F.split(whole(F.col(text)), "\n", -1), lambda line: line.rlike(NOT_SPACE))
+    of_lines = _once(spoken, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return (
-        docs.withColumn("_words", words_of(F.col(text)))
-        .withColumn("_hashes", hashes)
-        .withColumn("_placed", placed)
-        .withColumn("_twice", F.coalesce(twice, F.array()))
-        .withColumn("_lines", spoken)
+        docs.withColumn("_of_words", of_words)
         .select(
             *(docs[c] for c in docs.columns),
-            F.size("_words").cast("long").alias("n_words"),
-            F.length(F.translate(whole(F.col(text)), " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(whole(F.col(text))) - F.length(F.translate(whole(F.col(text)), SYMBOLS, "")))
-            .cast("long")
-            .alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            covered.cast("long").alias("n_repeat_words"),
+            F.col("_of_words.n").alias("n_words"),
+            F.length(F.translate(whole(given), " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            (F.length(whole(given)) - F.length(F.translate(whole(given), SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            of_lines.cast("long").alias("n_dup_lines"),
+            F.col("_of_words.repeated").alias("n_repeat_words"),
         )
         .withColumn(
             "base_failed",
@@ -79,9 +87,8 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column, by_longest: bool = False) -> DataFrame:
-    """One row per line of each text that has a word: id, hash of the text, body (hash of all normalised lines
-    or of the longest), place among all lines, hash of host and normalised line, and its number of words."""
+def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column) -> DataFrame:
+    """One row per line of each text that has a word: id, hash of the text, body (hash of all normalised lines), place among all lines, hash of host and normalised line, and its number of words."""
     plain = docs.select(doc_id.alias("id"), whole(text).alias("text"), host.alias("host"))
     keyed = plain.select(
         "id",
@@ -89,8 +96,7 @@ def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column, by_lo
         F.xxhash64("text").alias("body_of_row"),
         F.transform(F.split("text", "\n", -1), lambda line: lower_ascii(strip_space(line))).alias("lines"),
     )
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x), x.alias("line"))))["line"]
-    body = longest if by_longest else F.array_join(F.filter("lines", lambda x: x != ""), "\n")
+    body = F.array_join(F.filter("lines", lambda x: x != ""), "\n")
     exploded = keyed.withColumn("body", F.xxhash64(body)).select(
         "id", "host", "body_of_row", "body", F.posexplode("lines").alias("at", "line")
     )
@@ -104,19 +110,12 @@ def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column, by_lo
     )
 
 
-def limited_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, by_longest: bool = False) -> DataFrame:
+def limited_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Hashes of the lines above the limit. Each grouping combines rows before it moves them."""
     documents = rows.groupBy("key", "id").agg(F.min("body").alias("body"))
-    bodies = documents.groupBy("key", "body").agg(F.count("*").alias("n"))
-    above = F.col("bodies") > max_documents
-    if by_longest:
-        above = (F.col("documents") > max_documents) & (2 * F.col("bodies") >= F.col("documents"))
-    return (
-        bodies.groupBy("key")
-        .agg(F.sum("n").alias("documents"), F.count("*").alias("bodies"))
-        .where(above)
-        .select("key")
-    )
+    bodies = documents.select("key", "body").distinct()
+    counted = bodies.groupBy("key").agg(F.count("*").alias("bodies"))
+    return counted.where(F.col("bodies") > max_documents).select("key")
 
 
 def quality_rules(
@@ -126,12 +125,11 @@ def quality_rules(
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS,
     min_left_percent: int = MIN_LEFT_PERCENT,
-    by_longest: bool = False,
 ) -> DataFrame:
     """Id, text, base counts, ``base_failed``, ``limited_words`` and ``limited_places`` (words in and places of
     lines above the limit, NULL for no places) and ``kept``."""
-    rows = line_rows(docs, docs[doc_id], docs[text], docs[host], by_longest)
-    limited = cut(limited_lines(rows, max_documents, by_longest), "limited_lines")
+    rows = line_rows(docs, docs[doc_id], docs[text], docs[host])
+    limited = cut(limited_lines(rows, max_documents), "limited_lines")
     # Rows that repeat id and text repeat each place; it counts once.
     places = rows.join(limited, "key").groupBy("id", "body_of_row", "at").agg(F.max("words").alias("words"))
     depleted = cut(

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
-from test_simhash import brute_components, brute_fingerprint, wide_similarity
+from test_simhash import brute_fingerprint, wide_similarity
 
 from tablesync.llm.pieces import MODEL
 from tablesync.llm.quality import quality_rules
@@ -60,12 +60,6 @@ def test_lines(kept):
     assert all(r["n_chars"] == len(r["text"]) for r in kept[2].collect())
 
 
-def test_near_duplicates(kept):
-    given = texts(kept[2])
-    components = brute_components(list(given), [brute_fingerprint(t) for t in given.values()])
-    assert texts(kept[3]) == {d: given[d] for d in set(components)}
-
-
 def test_near_duplicates_with_similar_shingles(kept):
     """Both links of the stage, against all pairs."""
     given = texts(kept[2])

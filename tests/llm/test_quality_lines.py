@@ -1,6 +1,9 @@
 
+import time
+
 import pytest
 from catalog.compare import connect, differences
+from pyspark.sql import functions as F
 
 from tablesync.llm.lines import line_dedup
 from tablesync.llm.quality import kept_documents, quality_rules
@@ -88,3 +91,14 @@ def test_lines_of_repeated_rows_nulls_long_texts_and_none(spark, documents):
         ("10", 0, 20_000), ("11", 0, 20_000), ("12", len(many), 0), ("4", 0, 1), ("4", 0, 1), ("9", len(line), 0), ("None", 0, 1)
     ]
     assert line_dedup(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "condition", ["kept", "base_failed", "n_words > 5", "n_repeat_words > 3", "n_dup_lines = 0", "limited_words = 0", "n_symbols > 0"]
+)
+def test_a_filter_on_any_column_is_as_cheap(spark, condition):
+    judged = quality_rules(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    wanted = [r for r in judged.withColumn("_is", F.expr(condition)).collect() if r["_is"]]
+    start = time.monotonic()
+    assert judged.where(condition).count() == len(wanted)
+    assert time.monotonic() - start < 10
