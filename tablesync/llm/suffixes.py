@@ -9,6 +9,8 @@ hash; equal suffixes have equal anchors at equal places. Neighbouring suffixes w
    a passage in very many documents reaches a bucket once per task.
 2. Induction: runs with a common anchor that differ are the ends of matches. Their few dozen bytes are
    fetched, their suffixes sorted within the anchor, and neighbours with a common prefix of ``LENGTH`` decided.
+   An anchor with more than ``HOT`` such runs is split: its suffixes are dealt by their own hash, the smallest
+   document of each is found by a combining aggregation and joined back, so no group grows with an anchor.
 3. Decided suffixes become byte ranges per document; their union is removed.
 
 Sorts are Spark's shuffle plus an in-memory sort of one bucket, whose size is set by the input.
@@ -35,8 +37,9 @@ GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 RUN = 32
 CHUNK_BYTES = 1 << 20
-COMBINE_BYTES = 1 << 24
-BUCKET_BYTES = 1 << 24  # text bytes per bucket; a bucket's tuples take about as many
+COMBINE_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 23  # text bytes per bucket; a bucket's tuples take about as many
+HOT = 1 << 15  # runs to compare with one anchor, beyond which they are dealt by suffix
 NO_ID = -(1 << 63)
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -274,6 +277,40 @@ def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+SUFFIXES = "uid long, id long, anchor long, place int, suffix long"
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per suffix of the runs asked for."""
+    schema = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("anchor", pa.int64()), ("place", pa.int32()), ("suffix", pa.int64())])
+    for batch in batches:
+        texts, uids, ids, asked = (batch.column(c) for c in ("text", "uid", "id", "asked"))
+        for i in range(batch.num_rows):
+            text = np.frombuffer(texts[i].as_py().encode(), np.uint8)
+            parts = []
+            for x in asked[i].as_py():
+                first, size, anchor = x["first"], x["size"], x["anchor"]
+                (hashes,) = substring_hashes(text[first : first + size + LENGTH - 1], (LENGTH,))
+                parts.append((np.full(size, anchor), np.arange(first, first + size), hashes.view(np.int64)))
+            anchor, place, suffix = (np.concatenate(x) for x in zip(*parts, strict=True))
+            who = [np.full(len(place), v, np.int64) for v in (uids[i].as_py(), ids[i].as_py())]
+            columns = [*who, anchor, place.astype(np.int32), suffix]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _asked(runs: DataFrame) -> DataFrame:
+    return runs.groupBy(F.col("uid").alias("a_uid")).agg(F.collect_list(F.struct("first", "size", "anchor")).alias("asked"))
+
+
+def _by_suffix(known: DataFrame, runs: DataFrame) -> DataFrame:
+    """Ranges of the suffixes of ``runs`` that a smaller document has too, dealt by suffix."""
+    joined = known.join(_asked(runs), F.col("uid") == F.col("a_uid")).select(*known.columns, "asked")
+    rows = cut(joined.mapInArrow(_suffixes, SUFFIXES), "hot_suffixes")
+    least = rows.groupBy("anchor", "suffix").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    gone = rows.join(least, ["anchor", "suffix"]).where("id > least")
+    return gone.select("uid", F.col("place").alias("first"), F.lit(1).alias("size"))
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, ends = _text_bytes(batch.column("text"))
@@ -321,21 +358,22 @@ def repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     ship_code(docs.sparkSession)
     known = _identified(docs, docs[doc_id], docs[text])
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(max(16, total // BUCKET_BYTES), 1 << 16)
+    buckets = max(16, total // BUCKET_BYTES)
     packed = known.select("uid", "id", "text").mapInArrow(_sampler(buckets), PACKED)
     decided = cut(packed.groupBy("bucket").applyInPandas(_decide, DECIDED), "runs")
-    asked = (
-        decided.where("anchor IS NOT NULL")
-        .groupBy(F.col("uid").alias("a_uid"))
-        .agg(F.collect_list(F.struct("first", "size", "anchor")).alias("asked"))
-    )
+    asked = decided.where("anchor IS NOT NULL")
+    # At most one anchor in HOT runs.
+    hot = cut(asked.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot_anchors")
+    split = not hot.isEmpty()
     fetched = (
-        known.join(asked, F.col("uid") == F.col("a_uid"))
+        known.join(_asked(asked.join(hot, "anchor", "left_anti") if split else asked), F.col("uid") == F.col("a_uid"))
         .select(*known.columns, "asked")
         .mapInArrow(_fetcher(buckets), FETCHED)
     )
     # Both joins take the same columns of the documents, so that one exchange of the texts serves both.
     induced = fetched.groupBy("bucket").applyInPandas(_induce, RANGES)
+    if split:
+        induced = induced.unionByName(_by_suffix(known, asked.join(hot, "anchor", "left_semi")))
     ranges = (
         decided.where("anchor IS NULL").select("uid", "first", "size").unionByName(induced)
         .groupBy(F.col("uid").alias("r_uid"))

@@ -3,6 +3,7 @@ import random
 
 import pyarrow.parquet as pq
 
+from tablesync.llm import suffixes
 from tablesync.llm.queries import QUERIES
 from tablesync.llm.suffixes import repeated_substrings
 
@@ -73,3 +74,25 @@ def test_repeated_and_null_ids_and_no_rows(spark, documents):
     result = sorted((str(r["doc_id"]), bytes(r["kept"]).decode()) for r in found)
     assert result == sorted([("1", x[60:]), ("1", x[60:]), ("1", "z" + x[60:]), ("None", x[:60]), ("2", "")])
     assert repeated_substrings(documents(spark, ["a"]).where("false")).count() == 0
+
+
+def test_a_stock_phrase_in_very_many_contexts_is_split(spark, documents, monkeypatch):
+    """One string in 20,000 contexts, some shared: no group of an anchor is larger than the limit."""
+    monkeypatch.setattr(suffixes, "HOT", 200)
+    sizes = []
+    monkeypatch.setattr(suffixes, "_by_suffix", lambda known, runs, plain=suffixes._by_suffix: (sizes.append(runs.count()), plain(known, runs))[1])
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    heads, tails = [word(40) for _ in range(150)], [word(40) for _ in range(150)]
+    texts = [rng.choice(heads)[rng.randrange(30) :] + " all rights reserved! " + rng.choice(tails)[: rng.randrange(10, 40)] for _ in range(20_000)]
+    docs = documents(spark, texts).repartition(4)
+    assert got(repeated_substrings(docs)) == sorted(brute([(d, t.encode()) for d, t in enumerate(texts)]))
+    assert sizes and sizes[0] > 200
+
+
+def test_every_anchor_split_gives_the_same(spark, documents, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 0)
+    rows = [(r["doc_id"], r["text"] or "") for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    docs = documents(spark, rows)
+    assert got(repeated_substrings(docs)) == sorted(brute([(d, t.encode()) for d, t in rows]))
