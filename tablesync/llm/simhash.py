@@ -12,8 +12,9 @@ link at ``RADIUS`` or fewer differing bits; documents with equal fingerprints ar
   one component are not emitted.
 
 ``near_dedup`` is wider than ``simhash_components``: beside those links it joins documents whose sets of
-``WIDE_SHINGLE``-word shingles have a Jaccard similarity of at least ``MIN_SIMILAR`` percent. ``BANDS`` x ``BAND``
-MinHash values name the candidates (a pair at 0.8 shares no band once in some 38,000 times) and every candidate is
+``WIDE_SHINGLE``-word shingles have a Jaccard similarity of at least ``MIN_SIMILAR`` percent. 40 bands of 6
+MinHash values name the candidates (a pair at 0.8 shares no band once in some 190,000 times), the sketches of the 240
+values dismiss those far below (``FAR_BITS``: one pair at 0.8 in some ten million), and every other candidate is
 verified by its exact similarity.
 
 Defined results: NULL or empty text, or one without words, has fingerprint 0. A NULL id counts only if its
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.llm import minhash
 from tablesync.llm.common import by_merge, cut, indices, lower_ascii, ship_code, whole, words_of
 from tablesync.llm.components import connected
 
@@ -41,8 +43,7 @@ SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
 VOTE_ROWS = 1 << 16
 WIDE_SHINGLE = 5
 MIN_SIMILAR = 80
-BANDS, BAND = 20, 4
-SIGN_ROWS = 1 << 10
+FAR_BITS = 49  # of 240; 24 are expected at a similarity of 0.8, with a deviation of 4.6
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -146,27 +147,6 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """``BANDS`` * ``BAND`` MinHash values of unsigned hashes: the high halves of odd multiples, shifted."""
-    draw = np.random.default_rng(1)
-    n = BANDS * BAND
-    factors = draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = draw.integers(0, 1 << 63, n, dtype=np.uint64)
-    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), SIGN_ROWS):
-        part = hashes[at : at + SIGN_ROWS].view(np.uint64)
-        least = np.minimum(least, (part[:, None] * factors + shifts).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32)
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = batch.column("hashes")
-        values, ends = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
-        rows = [signature(np.ascontiguousarray(values[a:b])).tobytes() for a, b in itertools.pairwise(ends)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "signed"])
-
-
 def _wide_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id`` and its distinct wide shingles; documents without words have none and no row."""
     sets = docs.select(
@@ -196,29 +176,38 @@ def wide_components(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", t
     Of each bucket first every member meets the smallest; then the pairs of a bucket that are still in
     different components meet. A large group of near copies is one component by then.
     """
-    ship_code(docs.sparkSession)
     labels = cut(
         found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("label")), "simhash_labels"
     )
-    signed = _wide_sets(docs, doc_id, text).where("doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, signed binary")
-    width = 4 * BAND
-    bands = [F.xxhash64(F.lit(k), F.expr(f"substring(signed, {k * width + 1}, {width})")) for k in range(BANDS)]
+    marked = cut(
+        minhash.signed(docs, docs[doc_id], docs[text]).where("doc_id IS NOT NULL").withColumn("sig", F.xxhash64("bands")),
+        "signed",
+    )
+    # Rows that repeat an id may have sketches of their own; those ids are never dismissed by one.
+    sketches = cut(
+        marked.groupBy("doc_id").agg(F.when(F.min("sketch") == F.max("sketch"), F.min("sketch")).alias("sketch")), "sketches"
+    )
     # Documents with one signature go on as the smallest of them, each other one with a pair of its own.
-    alike = cut(signed.groupBy("signed").agg(F.min("doc_id").alias("first")), "signatures")
+    alike = marked.groupBy("sig").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("first"))
+    alike = cut(alike, "signatures")
     twins = (
-        signed.join(alike, "signed").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    )
-    keyed = alike.select(F.col("first").alias("doc_id"), F.explode(F.array(*bands)).alias("key"))
+        marked.select("doc_id", "sig").join(alike.select("sig", "first"), "sig").where("doc_id <> first")
+        .select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    )
+    keyed = alike.select(F.col("first").alias("doc_id"), F.explode("bands").alias("key"))
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = cut(keyed.join(least, "key"), "wide_buckets")
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
 
+    def near(a: str, b: str) -> Column:
+        return F.coalesce(minhash.sketch_distance(F.col(a), F.col(b)) <= FAR_BITS, F.lit(True))
+
     def linked(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
         """``labels`` after the verified ones of those pairs whose labels differ."""
-        of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"label_{c}"))
-        apart = cut(
-            pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b"), f"{name}_pairs"
-        )
+        known = labels.join(sketches, "doc_id")
+        of = lambda c: known.select(F.col("doc_id").alias(c), F.col("label").alias(f"label_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        apart = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b")
+        apart = cut(apart.where(near("sketch_a", "sketch_b")).drop("sketch_a", "sketch_b"), f"{name}_pairs")
         met = apart.select(F.col("a").alias("_met")).union(apart.select("b")).distinct()
         chosen = docs.join(by_merge(met), docs[doc_id].cast("long") == F.col("_met"), "left_semi")
         sets = cut(_wide_sets(chosen, doc_id, text), f"{name}_sets")
@@ -233,10 +222,12 @@ def wide_components(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", t
     mixed = placed.groupBy("key").agg(
         F.min_by("label", "doc_id").alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    placed = placed.join(mixed.where("low <> high").select("key", "lead"), "key")
-    other = placed.select("key", F.col("doc_id").alias("d"), F.col("label").alias("label_d"))
+    placed = placed.join(mixed.where("low <> high").select("key", "lead"), "key").join(sketches, "doc_id")
+    other = placed.select(
+        "key", F.col("doc_id").alias("d"), F.col("label").alias("label_d"), F.col("sketch").alias("sketch_d")
+    )
     rest = placed.where("label <> lead").join(other, "key").where(
-        "label <> label_d AND (label_d = lead OR doc_id < d)"
+        F.expr("label <> label_d AND (label_d = lead OR doc_id < d)") & near("sketch", "sketch_d")
     )
     labels = linked(
         rest.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")), labels, "rest"

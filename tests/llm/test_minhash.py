@@ -1,0 +1,55 @@
+"""Signatures of many texts at once against one text at a time, and what they estimate."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tablesync.llm import minhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def one(text):
+    """Least values over the distinct shingles of a text, word by word."""
+    words = np.array([minhash.word_hashes(np.frombuffer(w.encode(), np.uint8))[0][0] for w in WORD.findall(text)], np.uint64)
+    if not len(words):
+        return None
+    hashes, _ = minhash.shingles(words, np.zeros(len(words), np.int64))
+    return (np.unique(hashes)[:, None] * minhash._FACTORS + minhash._SHIFTS).min(0) >> np.uint64(32)
+
+
+def many(texts):
+    data = [f"{t} ".encode() for t in texts]
+    ends = np.cumsum([0, *map(len, data)])
+    rows, values = minhash.signatures(np.frombuffer(b"".join(data), np.uint8), ends)
+    return dict(zip(rows.tolist(), values, strict=True))
+
+
+@pytest.mark.parametrize("size", [1 << 18, 300, 40])
+def test_slices_and_long_texts_give_the_same(monkeypatch, size):
+    monkeypatch.setattr(minhash, "SLICE", size)
+    rng = random.Random(1)
+    texts = ["", " \n", "One", "one", "a b c d", "a b c d e", "x" * 500, "é ü\tß\n" * 9]
+    texts += [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(400))) for _ in range(40)]
+    found = many(texts)
+    for i, text in enumerate(texts):
+        wanted = one(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        assert (i in found) == (wanted is not None)
+        assert wanted is None or (found[i] == wanted).all()
+    assert (found[2] == found[3]).all()
+
+
+def test_equal_values_follow_similarity():
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    for edits in (0, 6, 20, 60):
+        other = list(words)
+        for at in rng.sample(range(600), edits):
+            other[at] = f"e{at}"
+        sets = [{tuple(x[i : i + 5]) for i in range(596)} for x in (words, other)]
+        similar = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        a, b = many([" ".join(words), " ".join(other)]).values()
+        assert abs((a == b).mean() - similar) < 0.11
+        assert abs(((a ^ b) & 1).mean() - (1 - similar) / 2) < 0.12
