@@ -54,6 +54,16 @@ FIXTURES: dict[str, str] = {
                     AS white_result,
                '600' AS time_control, CASE WHEN event_id % 20 = 0 THEN NULL ELSE '1. e4 e5' END AS pgn
         FROM {events}""",
+    "fx_ragged": """
+        SELECT event_id, CASE
+            WHEN event_id % 13 = 0 THEN chr(123) || '"id": broken'
+            WHEN event_id % 17 = 0 THEN '[1, 2]'
+            ELSE chr(123) || '"id":' || CAST(event_id AS STRING) || ',"kind":"' || event_type || '"'
+                 || CASE WHEN event_id % 2 = 0 THEN ',"user":' || CAST(user_id AS STRING) ELSE '' END
+                 || CASE WHEN event_id % 3 = 0 THEN ',"tags":["a",' || '"b"]' ELSE '' END
+                 || CASE WHEN event_id % 5 = 0 THEN ',"deep":' || chr(123) || '"on":true' || chr(125) ELSE '' END
+                 || CASE WHEN event_id % 7 = 0 THEN ',"note":null' ELSE '' END || chr(125) END AS record
+        FROM {events}""",
     "fx_steps": """
         SELECT CAST(user_id AS STRING) || '_' || CAST(CAST(ts AS DATE) AS STRING) AS run_id, event_id, user_id,
                'step_' || CAST(event_id AS STRING) AS name, event_id % 3 = 0 AS critical,

@@ -288,6 +288,71 @@ _SQL: dict[str, str] = {
         SELECT run_id, event_id, name || ': ' || error_message AS error FROM {fx_steps} WHERE error_message <> ''""",
     "step_order": f"SELECT run_id, event_id, step_order FROM ({_NUMBERED})",
     "step_order_sliced": f"SELECT run_id, event_id, step_order FROM ({_NUMBERED})",
+    "lock_conflicts": """
+        SELECT b.run_id, b.name, b.user_id, b.started_at, max(a.until) AS held_until,
+               max(struct_pack(u := a.until, r := a.run_id)).r AS held_by
+        FROM (SELECT *, least(CASE WHEN finished_at = TIMESTAMP '1970-01-01 00:00:00' THEN TIMESTAMP '2024-01-31 00:00:00'
+                                   ELSE finished_at END, started_at + INTERVAL '1' HOUR) AS until FROM {fx_ledger}) a
+        JOIN {fx_ledger} b ON a.name IS NOT DISTINCT FROM b.name AND a.user_id IS NOT DISTINCT FROM b.user_id
+            AND (a.started_at < b.started_at OR (a.started_at = b.started_at AND a.run_id < b.run_id))
+            AND a.until > b.started_at
+        GROUP BY b.run_id, b.name, b.user_id, b.started_at""",
+    # references, profiles, ragged records
+    "cascade_delete": """
+        WITH n AS (SELECT * FROM {nation} WHERE n_regionkey <> 1),
+        c AS (SELECT * FROM {customer} WHERE c_nationkey NOT IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)),
+        gone_c AS (SELECT c_custkey FROM {customer} WHERE c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)),
+        gone_o AS (SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM gone_c))
+        SELECT 'region' AS "table", CAST(r_regionkey AS VARCHAR) AS "key" FROM {region} WHERE r_regionkey <> 1
+        UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM n
+        UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM c
+        UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM {orders} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone_o)
+        UNION ALL SELECT 'lineitem', l_orderkey || ',' || l_linenumber FROM {lineitem}
+                  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone_o)""",
+    "cascade_ring": """
+        WITH RECURSIVE links AS (
+            SELECT 'supplier' AS up, nullif(s_suppkey // 2, 0) AS u, 'supplier' AS down, s_suppkey AS d FROM {supplier}
+            UNION ALL SELECT 'part', nullif(s_suppkey % 11, 0) * 3, 'supplier', s_suppkey FROM {supplier}
+            UNION ALL SELECT 'supplier', p_partkey // 4, 'part', p_partkey FROM {part}),
+        gone(t, k) AS (
+            SELECT 'supplier', s_suppkey FROM {supplier} WHERE s_suppkey = 9
+            UNION SELECT down, d FROM gone JOIN links ON up = t AND u = k),
+        held AS (SELECT 'supplier' AS t, s_suppkey AS k FROM {supplier} UNION ALL SELECT 'part', p_partkey FROM {part})
+        SELECT t AS "table", k AS "key" FROM held WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = held.t AND g.k = held.k)""",
+    "reference_check": """
+        WITH r AS (SELECT * FROM {region} WHERE r_regionkey % 9 <> 1), n AS (SELECT * FROM {nation} WHERE n_nationkey % 9 <> 1),
+        c AS (SELECT * FROM {customer} WHERE c_custkey % 9 <> 1), o AS (SELECT * FROM {orders} WHERE o_orderkey % 9 <> 1)
+        SELECT 'nation' AS "table", 'n_regionkey' AS columns, 'region' AS parent, count(*) AS n_bad
+        FROM n WHERE n_regionkey NOT IN (SELECT r_regionkey FROM r)
+        UNION ALL SELECT 'customer', 'c_nationkey', 'nation', count(*) FROM c WHERE c_nationkey NOT IN (SELECT n_nationkey FROM n)
+        UNION ALL SELECT 'orders', 'o_custkey', 'customer', count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)
+        UNION ALL SELECT 'lineitem', 'l_orderkey', 'orders', count(*) FROM {lineitem}
+                  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)""",
+    "table_profile": """
+        WITH e AS (SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN event_type END AS event_type,
+                          user_id + CASE WHEN event_id % 10 = 0 THEN 40000 ELSE 0 END AS user_id FROM {events})
+        SELECT 'event_id' AS "column", count(*) AS n_rows, 0::BIGINT AS n_null, 0::BIGINT AS n_bad,
+               CAST(min(event_id) AS VARCHAR) AS low, CAST(max(event_id) AS VARCHAR) AS high FROM e
+        UNION ALL SELECT 'event_type', count(*), count(*) FILTER (WHERE event_type IS NULL), 0, min(event_type), max(event_type) FROM e
+        UNION ALL SELECT 'user_id', count(*), count(*) FILTER (WHERE user_id IS NULL), count(*) FILTER (WHERE user_id > 32767),
+               CAST(min(user_id) FILTER (WHERE user_id <= 32767) AS VARCHAR),
+               CAST(max(user_id) FILTER (WHERE user_id <= 32767) AS VARCHAR) FROM e""",
+    "ragged_records": """
+        WITH j AS (SELECT event_id, record, CASE WHEN json_valid(record) AND json_type(record) = 'OBJECT' THEN record END AS r FROM {fx_ragged})
+        SELECT event_id, CAST(json_extract_string(r, '$.id') AS BIGINT) AS id, json_extract_string(r, '$.kind') AS kind,
+               CAST(json_extract_string(r, '$.user') AS BIGINT) AS "user",
+               CASE WHEN len(list_filter(json_keys(r), lambda k: k NOT IN ('id', 'kind', 'user'))) > 0 THEN
+                   chr(123) || array_to_string(list_transform(
+                       list_sort(list_filter(json_keys(r), lambda k: k NOT IN ('id', 'kind', 'user'))),
+                       lambda k: '"' || k || '":' || CAST(json_extract(r, '$.' || k) AS VARCHAR)), ',') || chr(125) END AS rest,
+               CASE WHEN r IS NULL THEN record END AS bad_json
+        FROM j""",
+    "ragged_fields": """
+        WITH j AS (SELECT record AS r FROM {fx_ragged} WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+        k AS (SELECT r, unnest(json_keys(r)) AS field FROM j)
+        SELECT field, CASE field WHEN 'id' THEN 'BIGINT' WHEN 'user' THEN 'BIGINT' WHEN 'kind' THEN 'STRING'
+               WHEN 'tags' THEN 'ARRAY<STRING>' WHEN 'deep' THEN 'OBJECT<on: BOOLEAN>' ELSE 'VOID' END AS type, count(*) AS n
+        FROM k GROUP BY field""",
     "ledger_write": f"""
         SELECT l.run_id, l.name, l.user_id,
                CASE WHEN l.result = 'in_progress' THEN o.result ELSE l.result END AS result, l.started_at,

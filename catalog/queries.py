@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from catalog.fixtures import DUE_NOW, LOCK_TIMEOUT, LOG_KEEP, NOW, fixture
 from tablesync import functions as fn
 from tablesync import operators as ops
 from tablesync.contract import ColumnContract as C
-from tablesync.contract import TableContract, stored_table
+from tablesync.contract import Reference, TableContract, stored_table
 from tablesync.operators.ingest import GAME
 from tablesync.plans import ingest_batch, nightly_maintenance, table_transform
 from tablesync.plans import sync_partitions as jobs_sync_partitions
@@ -660,6 +661,12 @@ def step_order_sliced(spark, sf):
     return numbered.select("run_id", "event_id", "step_order")
 
 
+@query
+def lock_conflicts(spark, sf):
+    """Runs that started while another held their lock."""
+    return ops.lock_conflicts(fixture(spark, sf, "fx_ledger"), NOW)
+
+
 def _finished_steps(spark, sf) -> DataFrame:
     numbered = ops.step_order(fixture(spark, sf, "fx_steps"), tie=["event_id"])
     columns = ["run_id", "step_order", "name", "result", "started_at", "finished_at", "error_message"]
@@ -919,3 +926,111 @@ def nightly_maintenance_counts(spark, sf):
     parts = {"runs": done.runs.next_state, "links": done.links, "orphans": done.orphans, "logs": done.logs}
     counts = [ops.row_count(df).select(F.lit(name).alias("part"), "n_rows") for name, df in parts.items()]
     return ops.concat_batches(counts)
+
+
+# -- references, profiles, ragged records ---------------------------------------------
+
+
+def _tree() -> list[TableContract]:
+    """Five tables, each referring to the one before."""
+
+    def one(name: str, key: tuple[str, ...], *references: Reference) -> TableContract:
+        columns = dict.fromkeys([*key, *(c for r in references for c in r.columns)])
+        return table(name, key, *(C(c, "bigint") for c in columns), references=references)
+
+    return [
+        one("lineitem", ("l_orderkey", "l_linenumber"), Reference("l_orderkey", "orders", "o_orderkey")),
+        one("orders", ("o_orderkey",), Reference("o_custkey", "customer", "c_custkey")),
+        one("customer", ("c_custkey",), Reference("c_nationkey", "nation", "n_nationkey")),
+        one("nation", ("n_nationkey",), Reference("n_regionkey", "region", "r_regionkey")),
+        one("region", ("r_regionkey",)),
+    ]
+
+
+def _tree_tables(spark, sf) -> dict[str, DataFrame]:
+    return {c.table_name: fixture(spark, sf, c.table_name).select(*c.column_names) for c in _tree()}
+
+
+@query
+def cascade_delete(spark, sf):
+    """A region goes, and with it its nations, their customers, orders and lines; the keys that stay."""
+    tables = _tree_tables(spark, sf)
+    left = ops.cascade_delete(tables, _tree(), "region", tables["region"].where("r_regionkey = 1"))
+    keys = [
+        left[c.table_name].select(F.lit(c.table_name).alias("table"), F.concat_ws(",", *c.primary_key).alias("key")) for c in _tree()
+    ]
+    return reduce(DataFrame.unionByName, keys)
+
+
+def _ring(spark, sf) -> tuple[dict[str, DataFrame], list[TableContract]]:
+    """Suppliers with a boss and a sample part, parts with a maker: a ring, and a table that refers to itself."""
+    supplier = table(
+        "supplier",
+        ("s_suppkey",),
+        *(C(c, "bigint") for c in ("s_suppkey", "boss", "sample")),
+        references=(Reference("boss", "supplier", "s_suppkey"), Reference("sample", "part", "p_partkey")),
+    )
+    part = table(
+        "part",
+        ("p_partkey",),
+        *(C(c, "bigint") for c in ("p_partkey", "maker")),
+        references=(Reference("maker", "supplier", "s_suppkey"),),
+    )
+    tables = {
+        "supplier": fixture(spark, sf, "supplier").select(
+            "s_suppkey", F.expr("nullif(s_suppkey div 2, 0)").alias("boss"), F.expr("nullif(s_suppkey % 11, 0) * 3").alias("sample")
+        ),
+        "part": fixture(spark, sf, "part").select("p_partkey", F.expr("p_partkey div 4").alias("maker")),
+    }
+    return tables, [supplier, part]
+
+
+@query
+def cascade_ring(spark, sf):
+    tables, contracts = _ring(spark, sf)
+    left = ops.cascade_delete(tables, contracts, "supplier", tables["supplier"].where("s_suppkey = 9"))
+    keys = [left[c.table_name].select(F.lit(c.table_name).alias("table"), F.col(c.primary_key[0]).alias("key")) for c in contracts]
+    return reduce(DataFrame.unionByName, keys)
+
+
+@query
+def reference_check(spark, sf):
+    """Of each table every ninth row is missing; what refers to it then."""
+    tables = _tree_tables(spark, sf)
+    held = {n: df if n == "lineitem" else df.where(F.col(df.columns[0]) % 9 != 1) for n, df in tables.items()}
+    return ops.reference_check(held, _tree())
+
+
+PROFILED = table(
+    "profiled", ("event_id",), C("event_id", "bigint", nullable=False), C("event_type", "text"), C("user_id", "smallint"), C("day", "text")
+)
+
+
+@query
+def table_profile(spark, sf):
+    """A profile of the days of one half month, then of the days added since; together the whole table's."""
+    path = scratch_dir(spark, "profiled")
+    kind = F.when(F.col("event_id") % 6 != 0, F.col("event_type"))
+    user = F.col("user_id") + F.when(F.col("event_id") % 10 == 0, 40_000).otherwise(0)
+    events = fixture(spark, sf, "events").select(
+        "event_id", kind.alias("event_type"), user.alias("user_id"), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    )
+    early = F.substring("day", 9, 2).cast("int") < 15
+    schema = T.StructType([*events.schema.fields])
+    events.where(early).write.partitionBy("day").parquet(path)
+    profile = ops.profile_update(spark, path, None, PROFILED, "day", schema)
+    events.where(~early).write.mode("append").partitionBy("day").parquet(path)
+    profile = ops.profile_update(spark, path, profile, PROFILED, "day", schema)
+    return ops.profile_summary(profile, PROFILED).drop("n_distinct")
+
+
+@query
+def ragged_records(spark, sf):
+    known = T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("user", T.LongType())])
+    return ops.ragged_records(fixture(spark, sf, "fx_ragged"), "record", known)
+
+
+@query
+def ragged_fields(spark, sf):
+    """Which keys occur, with which types, how often."""
+    return ops.found_fields(fixture(spark, sf, "fx_ragged"), "record")

@@ -116,6 +116,36 @@ class ColumnContract:
         return T.StructField(self.name, self.type, self.nullable, notes)
 
 
+ON_DELETE = ("cascade", "restrict", "set_null")
+
+
+@dataclass(frozen=True)
+class Reference:
+    """Columns that name a row of another table, or of the same one, and what happens to a row whose
+    parent is deleted. A reference with a NULL part names nothing."""
+
+    columns: tuple[str, ...]
+    table: str
+    parent_columns: tuple[str, ...]
+    on_delete: str = "cascade"
+
+    def __post_init__(self) -> None:
+        for name in ("columns", "parent_columns"):
+            given = getattr(self, name)
+            given = (given,) if isinstance(given, str) else tuple(given)
+            object.__setattr__(self, name, tuple(check_identifier(c, "reference column") for c in given))
+        object.__setattr__(self, "table", check_identifier(self.table, "referenced table"))
+        if not self.columns or len(self.columns) != len(self.parent_columns):
+            raise ContractError(f"a reference needs as many columns as it names: {self.columns}, {self.parent_columns}")
+        if self.on_delete not in ON_DELETE:
+            raise ContractError(f"on_delete must be one of {list(ON_DELETE)}, not {self.on_delete!r}")
+
+    @classmethod
+    def from_mapping(cls, raw: Mapping[str, Any]) -> Reference:
+        return cls(raw.get("columns") or (), raw.get("table", ""), raw.get("parent_columns") or raw.get("columns") or (),
+                   raw.get("on_delete", "cascade"))
+
+
 @dataclass(frozen=True)
 class TableContract:
     """A table: ordered columns, primary key, and the column lists some operators need.
@@ -131,6 +161,7 @@ class TableContract:
     comment: str | None = None
     id_columns: tuple[str, ...] = ()
     watermark_columns: tuple[str, ...] = ()
+    references: tuple[Reference, ...] = ()
     _by_name: Mapping[str, ColumnContract] = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -143,6 +174,9 @@ class TableContract:
         unknown = [c for c in key if c not in by_name]
         if unknown:
             raise ContractError(f"primary key columns are not declared: {unknown}")
+        absent = [c for r in self.references for c in r.columns if c not in by_name]
+        if absent:
+            raise ContractError(f"reference columns are not declared: {absent}")
         rest = [c for c in self.columns if c.name not in key]
         object.__setattr__(self, "schema_name", check_identifier(self.schema_name, "schema name"))
         object.__setattr__(self, "table_name", check_identifier(self.table_name, "table name"))
@@ -165,6 +199,7 @@ class TableContract:
             primary_key=(key,) if isinstance(key, str) else tuple(key),
             id_columns=tuple(raw.get("id_columns") or ()),
             watermark_columns=tuple(raw.get("watermark_columns") or ()),
+            references=tuple(map(Reference.from_mapping, raw.get("references") or ())),
             columns=tuple(
                 ColumnContract(
                     name=c.get("name", ""),

@@ -62,6 +62,13 @@ def text_to_utc(text: Column) -> Column:
     return F.when(text.rlike(_NO_ZONE), text.cast("timestamp_ntz")).otherwise(zoned)
 
 
+def try_text_to_utc(text: Column) -> Column:
+    """``text_to_utc``, with NULL for text that is no time or has an unknown zone."""
+    text = F.trim(text)
+    zoned = instant_to_utc(text.try_cast("timestamp"))
+    return F.when(text.rlike(_NO_ZONE), text.try_cast("timestamp_ntz")).otherwise(zoned)
+
+
 def zoned_to_utc(local: Column, zone: Column | str) -> Column:
     """Wall-clock time in ``zone`` to UTC.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesync.functions.times import try_text_to_utc
 
 def any_null(columns: Iterable[str]) -> Column:
     return reduce(or_, (F.col(c).isNull() for c in columns))
@@ -46,13 +47,21 @@ def guard_empty(df: DataFrame, violations: DataFrame, message: str) -> DataFrame
     return df.where(fail_when(found > 0, text))
 
 
+def converted(column: Column, have: T.DataType, want: T.DataType) -> Column:
+    """The value in another type, NULL where it does not cast. Zone-less timestamps hold UTC, so the
+    zone of a text is applied, not cut off."""
+    if isinstance(have, T.StringType) and isinstance(want, T.TimestampNTZType):
+        return try_text_to_utc(column)
+    return column.try_cast(want)
+
+
 def lossy(column: Column, have: T.DataType, want: T.DataType) -> Column:
     """True for a value that another type cannot hold: it does not cast, or does not come back.
 
     Text may spell a value in many ways, so it is compared in the widest type of its
     kind. Between floating-point types rounding is expected.
     """
-    cast = column.try_cast(want)
+    cast = converted(column, have, want)
     lost = column.isNotNull() & cast.isNull()
     floats = (T.FloatType, T.DoubleType)
     if isinstance(want, T.StringType) or (isinstance(have, floats) and isinstance(want, floats)):
@@ -71,7 +80,7 @@ def exact_cast(df: DataFrame, name: str, want: T.DataType) -> Column:
     column = F.col(name)
     if df.schema[name].dataType == want:
         return column
-    cast = column.try_cast(want)
+    cast = converted(column, df.schema[name].dataType, want)
     lost = lossy(column, df.schema[name].dataType, want)
     message = F.concat(F.lit(f"{name} does not cast to {want.simpleString()}: "), column.cast("string"))
     return F.when(lost, F.raise_error(message)).otherwise(cast)

@@ -18,6 +18,7 @@ from tablesync.operators.dedupe import number_in_group
 from tablesync.operators.merge import merge
 from tablesync.operators.outcome import WriteOutcome
 from tablesync.operators.quality import valid_zones
+from tablesync.operators.running import highest_before
 from tablesync.operators.writes import delete_where
 
 # How long a lock blocks, how long an abandoned run or a log is kept.
@@ -76,6 +77,23 @@ def lock_check(
     return asked.join(held, same, "left").select("name", "user_id", status.alias("status"), "locked_at")
 
 
+def lock_conflicts(runs: DataFrame, now: datetime, timeout: timedelta = LOCK_TIMEOUT) -> DataFrame:
+    """Runs that started while an earlier run of their ``(name, user_id)`` still held the lock, with
+    ``held_until`` and ``held_by`` of the one that held it longest.
+
+    A run holds its lock until it finishes, at ``now`` if it is still active, but no longer than ``timeout``: from
+    then on it is stale and does not block. Runs of one instant are ordered by ``run_id``. The end that
+    counts is a running maximum, so that a lock with any number of runs is cut over many tasks.
+    """
+    end = F.when(is_active(), ntz(now)).otherwise(F.col("finished_at"))
+    until = F.least(end, F.timestamp_add("SECOND", F.lit(int(timeout.total_seconds())), F.col("started_at")))
+    held = F.struct(until.alias("until"), F.col("run_id").alias("by"))
+    checked = highest_before(runs, ["name", "user_id"], ["started_at", "run_id"], {"_held": held})
+    return checked.where(F.col("_held.until") > F.col("started_at")).select(
+        "run_id", "name", "user_id", "started_at", F.col("_held.until").alias("held_until"), F.col("_held.by").alias("held_by")
+    )
+
+
 def purge_runs(runs: DataFrame, now: datetime, older_than: timedelta = PURGE_AFTER) -> WriteOutcome:
     """Delete active runs that started before the cut-off."""
     return delete_where(runs, is_active() & (F.col("started_at") < ago(now, older_than)))

@@ -60,18 +60,31 @@ def running_totals(
 
     A NULL adds nothing; a total of NULLs alone is 0.
     """
-    values = {f"_v{i}": F.coalesce(v, F.lit(0)) for i, v in enumerate(totals.values())}
-    placed = in_ranges(df.withColumns(values), group, order, parts).withColumn(_GROUP, F.struct(*group))
-    sums = placed.groupBy(_GROUP, _PART).agg(*(F.sum(v).alias(f"_sum{v}") for v in values))
+    values = {a: F.coalesce(v, F.lit(0)) for a, v in totals.items()}
+    return _running(df, group, order, values, F.sum, lambda before, inside: F.coalesce(before, F.lit(0)) + inside, 0, parts)
+
+
+def highest_before(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column | str],
+    values: Mapping[str, Column],
+    parts: int | None = None,
+) -> DataFrame:
+    """``df`` with the largest of each value over the rows of its group before this one, NULL where there is none."""
+    return _running(df, group, order, values, F.max, F.greatest, -1, parts)
+
+
+def _running(df, group, order, values, total, joined_to, end, parts) -> DataFrame:
+    """Running aggregates over ranges: each range's own for a group, continued by those of the ranges before."""
+    named = {f"_v{i}": v for i, v in enumerate(values.values())}
+    placed = in_ranges(df.withColumns(named), group, order, parts).withColumn(_GROUP, F.struct(*group))
+    sums = placed.groupBy(_GROUP, _PART).agg(*(total(v).alias(f"_all{v}") for v in named))
     earlier = Window.partitionBy(_GROUP).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        _GROUP, _PART, *(F.coalesce(F.sum(f"_sum{v}").over(earlier), F.lit(0)).alias(f"_before{v}") for v in values)
-    )
-    inside = Window.partitionBy(_GROUP, _PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0)
-    # The running sums lay the rows out by the join keys; only the offsets move.
-    summed = placed.withColumns({f"_in{v}": F.sum(v).over(inside) for v in values})
+    offsets = sums.select(_GROUP, _PART, *(total(f"_all{v}").over(earlier).alias(f"_before{v}") for v in named))
+    inside = Window.partitionBy(_GROUP, _PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, end)
+    # The windows lay the rows out by the join keys; only the offsets move.
+    summed = placed.withColumns({f"_in{v}": total(v).over(inside) for v in named})
     joined = summed.join(offsets, [_GROUP, _PART])
-    return joined.select(
-        *df.columns,
-        *((F.col(f"_before{v}") + F.col(f"_in{v}")).alias(a) for v, a in zip(values, totals, strict=True)),
-    )
+    both = {v: joined_to(F.col(f"_before{v}"), F.col(f"_in{v}")) for v in named}
+    return joined.select(*df.columns, *(both[v].alias(a) for v, a in zip(named, values, strict=True)))

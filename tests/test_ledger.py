@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,6 +13,7 @@ from tablesync.operators import (
     due_users,
     ledger_write,
     lock_check,
+    lock_conflicts,
     lock_staleness,
     log_retention,
     purge_runs,
@@ -137,6 +139,27 @@ def test_running_totals_with_null_group_and_ties(spark):
         assert got[i] == (sum(d[3] or 0 for d in upto), len(upto))
 
 
+def test_lock_conflicts_against_all_pairs(spark):
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    data = []
+    for i in range(250):
+        at = start + timedelta(minutes=rng.randrange(3000))
+        end = rng.choice([at + timedelta(minutes=rng.randrange(90)), at + timedelta(minutes=rng.randrange(300)), datetime(1970, 1, 1)])
+        data.append((f"r{i:03}", rng.choice(["a", "a", "a", "b"]), rng.choice([None, "u", "v"]), at, end))
+    df = spark.createDataFrame(data, "run_id string, name string, user_id string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    now = start + timedelta(minutes=2500)
+    until = lambda r: min(now if r[4].year == 1970 else r[4], r[3] + timedelta(hours=1))
+    want = []
+    for b in data:
+        held = [(until(a), a[0]) for a in data if a[1:3] == b[1:3] and (a[3], a[0]) < (b[3], b[0]) and until(a) > b[3]]
+        if held:
+            want.append((*b[:4], *max(held)))
+    assert len(want) > 20
+    assert sorted(map(tuple, lock_conflicts(df, now).collect())) == sorted(want)
+    assert lock_conflicts(df.limit(0), now).collect() == []
+
+
 def test_running_totals_of_no_rows(spark):
     df = spark.createDataFrame([], "g string, t int")
     assert running_totals(df, ["g"], ["t"], {"n": F.lit(1)}).collect() == []
