@@ -54,6 +54,7 @@ _SQL: dict[str, str] = {
     # merges
     "merge_upsert": _UPSERT,
     "merge_upsert_shuffled": _UPSERT,
+    "merge_bucketed": _UPSERT,
     "merge_upsert_in_place": _UPSERT,
     "merge_upsert_split_shuffled": _UPSERT,
     "merge_full_sync": """
@@ -82,11 +83,11 @@ _SQL: dict[str, str] = {
         FROM {fx_target} t LEFT JOIN {fx_source} s
           ON t.o_orderkey = s.o_orderkey AND t.o_totalprice > 100000 AND t.o_orderstatus <> 'F'""",
     "merge_condition_insert": """
-        SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey % 4 = 0
+        SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE (o_orderkey % 4 = 1) IS NOT TRUE
         UNION ALL
         SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} s WHERE o_orderkey % 4 = 1 AND NOT EXISTS (
             SELECT 1 FROM {orders} t
-            WHERE t.o_orderkey % 4 = 0 AND t.o_custkey = s.o_custkey AND s.o_totalprice > t.o_totalprice)""",
+            WHERE (t.o_orderkey % 4 = 1) IS NOT TRUE AND t.o_custkey = s.o_custkey AND s.o_totalprice > t.o_totalprice)""",
     "merge_condition_insert_all": """
         SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE (o_orderkey % 2 = 1) IS NOT TRUE
         UNION ALL
@@ -230,7 +231,7 @@ _SQL: dict[str, str] = {
         SELECT event_id, url, end_time, white_username FROM {fx_games} WHERE event_id % 4 = 3""",
     "landing_write": """
         SELECT user_id AS account_id, url, end_time, '2024-01-31' AS ingest_date FROM {fx_games}""",
-    "landing_load_since": "SELECT user_id AS account_id, url, end_time FROM {fx_games} WHERE user_id % 50 = 0",
+    "landing_load_since": "SELECT user_id AS account_id, url, end_time FROM {fx_games}",
     "landing_load_since_all": "SELECT user_id AS account_id, url, end_time FROM {fx_games}",
     "landing_load": f"SELECT *, 'json' AS source_file FROM ({_FLAT})",
     "ingest_batch_games": f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -17,7 +18,9 @@ from tablesync.contract import ColumnContract as C
 from tablesync.contract import Reference, TableContract, stored_table
 from tablesync.operators.ingest import GAME
 from tablesync.plans import ingest_batch, nightly_maintenance, table_transform
+from tablesync.plans import merge_bucketed as jobs_merge_bucketed
 from tablesync.plans import sync_partitions as jobs_sync_partitions
+from tablesync.plans import write_bucketed
 from tablesync.session import scratch_dir
 from tablesync.sources import landing_load, landing_write, log_read, log_tail, ndjson_read
 from tablesync.streaming import ingest_stream, read_ingested, stream_dedupe
@@ -146,6 +149,17 @@ def merge_upsert_split_shuffled(spark, sf):
     return _merge(spark, sf, shape="shuffle_split").next_state
 
 
+@query
+def merge_bucketed(spark, sf):
+    """The upsert into a table bucketed by its key, whose next state is bucketed alike."""
+    name, path = f"order_state_{uuid.uuid4().hex}", scratch_dir(spark, "next")
+    write_bucketed(fixture(spark, sf, "fx_target"), name, ORDER_STATE, 8, scratch_dir(spark, "bucketed"))
+    jobs_merge_bucketed(spark, name, fixture(spark, sf, "fx_source"), ORDER_STATE, f"{name}_next", path)
+    for done in (name, f"{name}_next"):
+        spark.sql(f"DROP TABLE {done}")
+    return spark.read.schema(ORDER_STATE.struct()).parquet(path)
+
+
 @query
 def merge_full_sync(spark, sf):
     return _merge(spark, sf, when_not_matched_by_source="delete").next_state
@@ -185,7 +199,8 @@ PRICED_BY = table(
 def merge_condition_insert(spark, sf):
     """Orders dearer than none the customer has in the target; customers repeat on both sides."""
     orders = fixture(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    target, source = orders.where("o_orderkey % 4 = 0"), orders.where("o_orderkey % 4 = 1")
+    fourth = F.coalesce(F.col("o_orderkey") % 4 == 1, F.lit(False))
+    target, source = orders.where(~fourth), orders.where(fourth)
     return ops.merge(
         target, source, PRICED_BY, keys=["o_custkey"], when_matched="ignore",
         condition="_source.o_totalprice > _target.o_totalprice",
@@ -194,7 +209,7 @@ def merge_condition_insert(spark, sf):
 
 @query
 def merge_condition_insert_all(spark, sf):
-    """As ``merge_condition_insert``, with every order on one side."""
+    """As ``merge_condition_insert``, with half of the orders on either side."""
     orders = fixture(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     in_source = F.coalesce(F.col("o_orderkey") % 2 == 1, F.lit(False))
     return ops.merge(
@@ -541,7 +556,7 @@ def landing_write_read(spark, sf):
 def landing_load_since(spark, sf):
     """Two days, a folder per account; the accounts come back from the folders' names."""
     root = scratch_dir(spark, "landing")
-    games = _raw_games(spark, sf, "user_id").withColumnRenamed("user_id", "account_id").where("account_id % 50 = 0")
+    games = _raw_games(spark, sf, "user_id").withColumnRenamed("user_id", "account_id")
     for day in ("2024-01-30", "2024-01-31"):
         landing_write(games, root, day, partition_by=("account_id", "ingest_date"))
     loaded = landing_load(spark, root, GAME, since="2024-01-31")
