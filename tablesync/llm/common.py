@@ -46,6 +46,17 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to be added that none of ``df`` has, in any case: underscores go in front of taken ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def by_merge(table: DataFrame) -> DataFrame:
     """For the side that meets whole texts: a merge join at every size, so that what a small table lets
     pass as a broadcast is not a surprise where the table has grown."""

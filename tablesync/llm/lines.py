@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import by_merge, cut, indices, lower_ascii, strip_space, whole
+from tablesync.llm.common import by_merge, cut, indices, lower_ascii, spare, strip_space, whole
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -61,26 +61,25 @@ def line_dedup(
     The place list of a text is no longer than the text; kept places are its complement by a hash set.
     A column already named ``n_lines`` or ``n_dropped`` is replaced.
     """
-    gone = cut(
+    row, gone_id, gone_row, gone, lines = spare(docs, "_row", "_gone_id", "_gone_row", "_gone", "_lines")
+    places = cut(
         dropped_places(docs, docs[doc_id], docs[text], min_chars, min_documents).select(
-            F.col("id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone")
+            F.col("id").alias(gone_id), F.col("row").alias(gone_row), F.col("gone").alias(gone)
         ),
         "dropped_lines",
     )
-    joined = docs.withColumn("_row", F.xxhash64(whole(docs[text]))).join(
-        by_merge(gone), docs[doc_id].eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left"
+    joined = docs.withColumn(row, F.xxhash64(whole(docs[text]))).join(
+        by_merge(places), docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.col(row) == F.col(gone_row)), "left"
     )
-    lined = joined.withColumn("_lines", F.split(whole(docs[text]), "\n", -1))
+    lined = joined.withColumn(lines, F.split(whole(docs[text]), "\n", -1))
     kept = F.when(
-        F.col("_gone").isNotNull(),
-        F.array_join(
-            F.transform(F.array_except(indices(F.size("_lines")), F.col("_gone")), lambda i: F.get("_lines", i)), "\n"
-        ),
+        F.col(gone).isNotNull(),
+        F.array_join(F.transform(F.array_except(indices(F.size(lines)), F.col(gone)), lambda i: F.get(lines, i)), "\n"),
     ).otherwise(docs[text])
     return lined.withColumns(
         {
             text: kept,
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
         }
-    ).drop("_row", "_gone_id", "_gone_row", "_gone", "_lines")
+    ).drop(row, gone_id, gone_row, gone, lines)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import by_merge, cut, numbered, ship_code, words_of
+from tablesync.llm.common import by_merge, cut, numbered, ship_code, spare, words_of
 
 LIMIT = 3.0
 BLOCK_ROWS = 4096
@@ -194,11 +194,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
+    mix_id, mix_row, mix_copies, row, copy = spare(docs, "_mix_id", "_mix_row", "_mix_copies", "_row", "_copy")
     plan = mix(docs, doc_id, text, source).where("copies > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies")
+        F.col("doc_id").alias(mix_id), F.col("row").alias(mix_row), F.col("copies").alias(mix_copies)
     ).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    joined = keyed.join(by_merge(plan), docs[doc_id].eqNullSafe(F.col("_mix_id")) & (F.col("_row") == F.col("_mix_row")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(
-        *(docs[c] for c in docs.columns)
-    )
+    keyed = docs.withColumn(row, F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    joined = keyed.join(by_merge(plan), keyed[doc_id].eqNullSafe(F.col(mix_id)) & (F.col(row) == F.col(mix_row)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(mix_copies).cast("int")))).select(docs.columns)

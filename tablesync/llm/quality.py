@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import NOT_SPACE, by_merge, cut, indices, lower_ascii, strip_space, whole, words_of
+from tablesync.llm.common import NOT_SPACE, by_merge, cut, indices, lower_ascii, spare, strip_space, whole, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -88,7 +88,8 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_rows(docs: DataFrame, doc_id: Column, text: Column, host: Column) -> DataFrame:
-    """One row per line of each text that has a word: id, hash of the text, body (hash of all normalised lines), place among all lines, hash of host and normalised line, and its number of words."""
+    """One row per line of each text that has a word: id, hash of the text, body (hash of all normalised lines),
+    place among all lines, hash of host and normalised line, and its number of words."""
     plain = docs.select(doc_id.alias("id"), whole(text).alias("text"), host.alias("host"))
     keyed = plain.select(
         "id",
@@ -153,22 +154,23 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``docs`` without the documents that ``quality_rules`` rejects, and without the lines above the limit in
     those it keeps. Rows are told apart by id and text."""
     judged = quality_rules(docs, doc_id, text, host)
+    gone_id, gone_row, kept, places, lines = spare(docs, "_gone_id", "_gone_row", "_kept", "_places", "_lines")
     changed = cut(
         judged.where(~F.col("kept") | F.col("limited_places").isNotNull())
         .select(
-            F.col("doc_id").alias("_gone_id"),
-            F.xxhash64(whole(F.col("text"))).alias("_gone_row"),
-            F.col("kept").alias("_kept"),
-            F.when(F.col("kept"), F.col("limited_places")).alias("_places"),
+            F.col("doc_id").alias(gone_id),
+            F.xxhash64(whole(F.col("text"))).alias(gone_row),
+            F.col("kept").alias(kept),
+            F.when(F.col("kept"), F.col("limited_places")).alias(places),
         )
-        .dropDuplicates(["_gone_id", "_gone_row"]),
+        .dropDuplicates([gone_id, gone_row]),
         "rejected",
     )
     row = F.xxhash64(whole(docs[text]))
     joined = docs.join(
-        by_merge(changed), docs[doc_id].eqNullSafe(F.col("_gone_id")) & (row == F.col("_gone_row")), "left"
-    ).where(F.coalesce("_kept", F.lit(True)))
-    lined = joined.withColumn("_lines", F.split(whole(docs[text]), "\n", -1))
-    left = F.transform(F.array_except(indices(F.size("_lines")), F.col("_places")), lambda i: F.get("_lines", i))
-    kept = F.when(F.col("_places").isNotNull(), F.array_join(left, "\n")).otherwise(docs[text])
-    return lined.withColumn(text, kept).select(docs.columns)
+        by_merge(changed), docs[doc_id].eqNullSafe(F.col(gone_id)) & (row == F.col(gone_row)), "left"
+    ).where(F.coalesce(kept, F.lit(True)))
+    lined = joined.withColumn(lines, F.split(whole(docs[text]), "\n", -1))
+    left = F.transform(F.array_except(indices(F.size(lines)), F.col(places)), lambda i: F.get(lines, i))
+    shortened = F.when(F.col(places).isNotNull(), F.array_join(left, "\n")).otherwise(docs[text])
+    return lined.withColumn(text, shortened).select(docs.columns)

@@ -176,6 +176,8 @@ def wide_components(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", t
     Of each bucket first every member meets the smallest; then the pairs of a bucket that are still in
     different components meet. A large group of near copies is one component by then.
     """
+    # Without other columns, whose names could be those used here.
+    docs, doc_id, text = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "doc_id", "text"
     labels = cut(
         found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("label")), "simhash_labels"
     )
