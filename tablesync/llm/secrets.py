@@ -47,7 +47,8 @@ PROBABLE = 0.5
 
 def candidates(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
     keep = (docs[path].cast("string").alias("path"),)
-    spans = find_spans(docs, docs[doc_id], docs[text], {"secret": CANDIDATE, "short": SHORT}, keep)
+    # Four branches follow; stored, the texts are scanned once.
+    spans = cut(find_spans(docs, docs[doc_id], docs[text], {"secret": CANDIDATE, "short": SHORT}, keep), "secret_spans")
     same = [c for c in spans.columns if c not in ("kind", "start", "end", "value", "before", "after")]
     runs = spans.where("kind = 'secret'")
     simple = ~F.col("value").rlike("=[^=]")

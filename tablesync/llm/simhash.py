@@ -7,7 +7,8 @@ link at ``RADIUS`` or fewer differing bits; documents with equal fingerprints ar
   fingerprint names the 65 members of its one-bit ball and those that share a member are linked to the
   smallest among them. No more than 65 fingerprints share one, and no pairs are listed.
 * Longer links: of three segments, one differs by at most one bit (first two segments) or by none (last),
-  since more would exceed the radius. Small balls are enumerated in those segments, matched against the
+  since more would exceed the radius. From ``MANY`` fingerprints on, where keys of some 20 bits would be shared by
+  too many, there are two segments of 32 bits with balls of two bits and of one, which finds the same links. Small balls are enumerated in those segments, matched against the
   segment table by an equi-join, and the complete distance is verified inside the join. Pairs already in
   one component are not emitted.
 
@@ -40,6 +41,8 @@ SHINGLE = 4
 RADIUS = 4
 # (first bit, bits, radius of the ball): the radii plus one sum to RADIUS + 1.
 SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
+WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+MANY = 1 << 24
 VOTE_ROWS = 1 << 16
 WIDE_SHINGLE = 5
 MIN_SIMILAR = 80
@@ -102,20 +105,21 @@ def short_links(nodes: DataFrame) -> DataFrame:
     return shared.select(F.explode("near").alias("u"), F.array_min("near").alias("v")).where("u <> v")
 
 
-def long_links(labelled: DataFrame) -> DataFrame:
+def long_links(labelled: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
     """Links (u, v) between labels, from fingerprints (fp, label) of different labels within the radius."""
 
     def segment(first: int, bits: int) -> Column:
         return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
     def key(k: int, value: Column) -> Column:
-        return value + F.lit(k << 32)
+        return value + F.lit(k << 32).cast("long")
 
     table, probes = [], []
-    for k, (first, bits, radius) in enumerate(SEGMENTS):
+    for k, (first, bits, radius) in enumerate(segments):
         value = segment(first, bits)
         table.append(key(k, value))
-        probes += [key(k, value), *(key(k, _flip(value, b)) for b in range(bits) if radius)]
+        masks = [sum(1 << b for b in flipped) for r in range(radius + 1) for flipped in itertools.combinations(range(bits), r)]
+        probes += [key(k, value.bitwiseXOR(F.lit(m).cast("long"))) for m in masks]
     stored = labelled.select(
         F.col("fp").alias("fp2"), F.col("label").alias("label2"), F.explode(F.array(*table)).alias("key")
     )
@@ -139,7 +143,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     close = connected(short_links(nodes))
     labelled = cut(_relabelled(nodes.withColumn("label", F.col("fp")), close, "label"), "labelled")
-    far = connected(long_links(labelled))
+    far = connected(long_links(labelled, SEGMENTS if nodes.count() < MANY else WIDE_SEGMENTS))
     labelled = cut(_relabelled(labelled, far, "label"), "components")
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     return marked.join(labelled.join(smallest, "label").select("fp", "component_id"), "fp").select(

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tablesync.llm.queries import QUERIES
-from tablesync.llm.simhash import connected, long_links, near_dedup, short_links, simhash_components
+from tablesync.llm.simhash import SEGMENTS, WIDE_SEGMENTS, connected, long_links, near_dedup, short_links, simhash_components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,8 +87,8 @@ def test_large_ids_beside_null(spark, documents):
     assert {r["doc_id"] for r in simhash_components(docs).collect()} == {2**60 + 1, None}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_at_every_distance(spark, seed):
+@pytest.mark.parametrize(("seed", "segments"), [(1, SEGMENTS), (2, SEGMENTS), (1, WIDE_SEGMENTS), (3, WIDE_SEGMENTS)])
+def test_links_at_every_distance(spark, seed, segments):
     """Random fingerprints around centres, against all pairs."""
     rng = random.Random(seed)
     fps = set()
@@ -102,7 +102,7 @@ def test_links_at_every_distance(spark, seed):
     expected = brute_components(signed, fps)
     close = {r["node"]: r["label"] for r in connected(short_links(nodes)).collect()}
     labelled = spark.createDataFrame([(f, close.get(f, f)) for f in signed], "fp long, label long")
-    far = {r["node"]: r["label"] for r in connected(long_links(labelled)).collect()}
+    far = {r["node"]: r["label"] for r in connected(long_links(labelled, segments)).collect()}
     got = [far.get(close.get(f, f), close.get(f, f)) for f in signed]
     groups = lambda labels: {frozenset(f for f, x in zip(signed, labels, strict=True) if x == y) for y in labels}
     assert groups(got) == groups(expected)
