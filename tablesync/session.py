@@ -82,3 +82,11 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch directory this application made."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch folders of this application. Frames that operators gave it can't be read afterwards, so
+    this is for the end of a job, or between two."""
+    parent = spark.conf.get("spark.checkpoint.dir", None)
+    if parent:
+        discard(spark, f"{parent.rstrip('/')}/tablesync-{spark.sparkContext.applicationId}")

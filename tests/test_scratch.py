@@ -1,0 +1,16 @@
+from tablesync.session import clear_scratch, scratch_dir, stored
+
+
+def test_scratch_of_an_application_is_removed(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        kept = scratch_dir(spark, "kept")
+        assert stored(spark.range(3), kept).count() == 3
+        other = tmp_path / "other"
+        other.mkdir()
+        clear_scratch(spark)
+        assert [p.name for p in tmp_path.iterdir()] == ["other"]
+        clear_scratch(spark)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    clear_scratch(spark)
