@@ -42,13 +42,18 @@ def build_session(
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """What the session names as the folder that driver and executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unused directory on the storage all executors share.
 
     The parent is ``spark.checkpoint.dir``. Only a local master may do without
     that setting; it then gets a temporary folder that is removed at exit.
     """
-    parent = spark.conf.get("spark.checkpoint.dir", None)
+    parent = shared_folder(spark)
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
@@ -87,6 +92,6 @@ def discard(spark: SparkSession, path: str) -> None:
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all scratch folders of this application. Frames that operators gave it can't be read afterwards, so
     this is for the end of a job, or between two."""
-    parent = spark.conf.get("spark.checkpoint.dir", None)
+    parent = shared_folder(spark)
     if parent:
         discard(spark, f"{parent.rstrip('/')}/tablesync-{spark.sparkContext.applicationId}")

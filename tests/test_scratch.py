@@ -1,16 +1,16 @@
+from tablesync import session
 from tablesync.session import clear_scratch, scratch_dir, stored
 
 
-def test_scratch_of_an_application_is_removed(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        kept = scratch_dir(spark, "kept")
-        assert stored(spark.range(3), kept).count() == 3
-        other = tmp_path / "other"
-        other.mkdir()
+def test_scratch_of_an_application_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    kept = scratch_dir(spark, "kept")
+    assert stored(spark.range(3), kept).count() == 3
+    (tmp_path / "other").mkdir()
+    for _ in range(2):
         clear_scratch(spark)
         assert [p.name for p in tmp_path.iterdir()] == ["other"]
-        clear_scratch(spark)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_without_a_shared_folder_there_is_nothing_to_clear(spark):
     clear_scratch(spark)
