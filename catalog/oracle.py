@@ -267,6 +267,9 @@ _SQL: dict[str, str] = {
         SELECT event_id, day, CASE WHEN event_id % 3 = 0 AND (day IS NULL OR CAST(substr(day, 9, 2) AS INT) % 7 < 2)
                                    THEN 0.0::DOUBLE ELSE value END AS value
         FROM days""",
+    "ingest_stream_counts": """
+        SELECT 2 * count(*) AS rows_read, 0::BIGINT AS rows_rejected, 2 * count(DISTINCT url) AS rows_distinct,
+               count(DISTINCT url) AS rows_inserted FROM {fx_games}""",
     "sync_partitions_full": f"""
         WITH days AS ({_EVENT_DAYS}), chosen AS (SELECT * FROM days WHERE day IS NULL OR dom % 7 < 2)
         SELECT event_id, day, 0.0::DOUBLE AS value FROM chosen WHERE event_id % 3 = 0
@@ -393,6 +396,10 @@ _SQL: dict[str, str] = {
             FROM {fx_users}, (VALUES ('2024-06-30'), ('2024-07-01'), ('2024-07-02')) AS days(d)
             WHERE timezone <> 'Mars/Olympus')
         WHERE due_at >= TIMESTAMP '2024-07-01 00:00:00' AND due_at < TIMESTAMP '2024-07-01 18:00:00'""",
+    "bad_schedules": """
+        SELECT * FROM (SELECT user_id, timezone, CASE WHEN user_id % 7 = 0 THEN 'noon' WHEN user_id % 11 = 0 THEN NULL
+                                                      ELSE cron_time END AS cron_time FROM {fx_users})
+        WHERE timezone = 'Mars/Olympus' OR try_cast(cron_time AS TIME) IS NULL""",
     # logs
     "log_read": """
         SELECT ts, level, logger, msg, CAST(log_id AS STRING) AS log_id, 'test' AS environment, exc_type,

@@ -23,7 +23,7 @@ from tablesync.plans import sync_partitions as jobs_sync_partitions
 from tablesync.plans import write_bucketed
 from tablesync.session import scratch_dir
 from tablesync.sources import landing_load, landing_write, log_read, log_tail, ndjson_read
-from tablesync.streaming import ingest_stream, read_ingested, stream_dedupe
+from tablesync.streaming import ingest_counts, ingest_stream, read_ingested, stream_dedupe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,6 +625,17 @@ def ingest_stream_restart(spark, sf):
     return read_ingested(spark, table_path, contract).select("external_game_id")
 
 
+@query
+def ingest_stream_counts(spark, sf):
+    """What the batches of a stream over all landed games report, and of a second one that finds them known."""
+    table_path, contract, landed = scratch_dir(spark, "games"), stored_table("games"), _land(spark, sf)
+    for _ in range(2):
+        ingest_stream(spark, landed, table_path, scratch_dir(spark, "offsets"), contract).awaitTermination()
+    return ingest_counts(spark, table_path).agg(
+        *(F.sum(c).alias(c) for c in ("rows_read", "rows_rejected", "rows_distinct", "rows_inserted"))
+    )
+
+
 @query
 def stream_dedupe_games(spark, sf):
     table_path, checkpoint = scratch_dir(spark, "games"), scratch_dir(spark, "offsets")
@@ -752,6 +763,15 @@ def due_users(spark, sf):
     return due.select("user_id", "timezone", "due_at")
 
 
+@query
+def bad_schedules(spark, sf):
+    """Users of an unknown zone, and some whose time of day is none."""
+    users = fixture(spark, sf, "fx_users")
+    odd = F.when(F.col("user_id") % 7 == 0, "noon").when(F.col("user_id") % 11 == 0, F.lit(None).cast("string"))
+    broken = users.withColumn("cron_time", odd.otherwise(F.col("cron_time")))
+    return ops.bad_schedules(broken).select("user_id", "timezone", "cron_time")
+
+
 # -- logs -------------------------------------------------------------------------
 
 
