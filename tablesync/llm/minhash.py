@@ -2,8 +2,8 @@
 
 A text's words (ASCII lower case, split at the six white-space characters) are hashed from running sums over the
 bytes, its shingles from the words, and the least values of each of ``BANDS * BAND`` permutations by one pass over
-all shingles of a slice. ``bands`` holds one hash per band, ``sketch`` the lowest bit of every value, 60 to a
-number: two texts of similarity s differ in about (1 - s) / 2 of them.
+all shingles of a slice. ``bands`` holds one hash per band, ``sketch`` the lowest four bits of every value, 16 values
+to a number: two texts of similarity s differ in about (1 - s) * 15 / 16 of the values.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tablesync.llm.common import ship_code, whole
 
 SHINGLE = 5
 BANDS, BAND = 40, 6
-SKETCH_BITS = 60
+NIBBLES = 16  # values in a number of the sketch
 SLICE = 1 << 18  # bytes of text hashed at once
 VALUES = BANDS * BAND
 SIGNED = "doc_id long, bands array<long>, sketch array<long>"
@@ -145,8 +145,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
         rows, values = signatures(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends)
         banded = mixed((values.reshape(-1, BANDS, BAND).astype(np.uint64) * factor).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-        bits = (values & np.uint32(1)).astype(np.uint64).reshape(len(rows), VALUES // SKETCH_BITS, SKETCH_BITS)
-        sketch = (bits << np.arange(SKETCH_BITS, dtype=np.uint64)).sum(2, dtype=np.uint64)
+        low = (values & np.uint32(15)).astype(np.uint64).reshape(len(rows), VALUES // NIBBLES, NIBBLES)
+        sketch = (low << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
 
         def lists(numbers: np.ndarray) -> pa.Array:
             width = numbers.shape[1]
@@ -167,6 +167,12 @@ def signed(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 
 def sketch_distance(a: Column, b: Column) -> Column:
-    """Bits in which two sketches differ."""
-    words = [F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(VALUES // SKETCH_BITS)]
+    """Values in which two sketches differ."""
+
+    def differing(k: int) -> Column:
+        x = F.get(a, k).bitwiseXOR(F.get(b, k))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111).cast("long")))
+
+    words = [differing(k) for k in range(VALUES // NIBBLES)]
     return sum(words[1:], words[0])

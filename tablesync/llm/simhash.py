@@ -15,7 +15,7 @@ link at ``RADIUS`` or fewer differing bits; documents with equal fingerprints ar
 ``near_dedup`` is wider than ``simhash_components``: beside those links it joins documents whose sets of
 ``WIDE_SHINGLE``-word shingles have a Jaccard similarity of at least ``MIN_SIMILAR`` percent. 40 bands of 6
 MinHash values name the candidates (a pair at 0.8 shares no band once in some 190,000 times), the sketches of the 240
-values dismiss those far below (``FAR_BITS``: one pair at 0.8 in some ten million), and every other candidate is
+values dismiss those far below (``FAR``: one pair at 0.8 in some million), and every other candidate is
 verified by its exact similarity.
 
 Defined results: NULL or empty text, or one without words, has fingerprint 0. A NULL id counts only if its
@@ -46,7 +46,7 @@ MANY = 1 << 24
 VOTE_ROWS = 1 << 16
 WIDE_SHINGLE = 5
 MIN_SIMILAR = 80
-FAR_BITS = 49  # of 240; 24 are expected at a similarity of 0.8, with a deviation of 4.6
+FAR = 75  # of 240 values; 45 are expected to differ at a similarity of 0.8, with a deviation of 6
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -206,7 +206,7 @@ def wide_components(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", t
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
 
     def near(a: str, b: str) -> Column:
-        return F.coalesce(minhash.sketch_distance(F.col(a), F.col(b)) <= FAR_BITS, F.lit(True))
+        return F.coalesce(minhash.sketch_distance(F.col(a), F.col(b)) <= FAR, F.lit(True))
 
     def linked(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
         """``labels`` after the verified ones of those pairs whose labels differ."""

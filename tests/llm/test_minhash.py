@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablesync.llm import minhash
 
@@ -52,4 +53,16 @@ def test_equal_values_follow_similarity():
         similar = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
         a, b = many([" ".join(words), " ".join(other)]).values()
         assert abs((a == b).mean() - similar) < 0.11
-        assert abs(((a ^ b) & 1).mean() - (1 - similar) / 2) < 0.12
+        assert abs((((a ^ b) & 15) != 0).mean() - (1 - similar) * 15 / 16) < 0.11
+
+
+def test_sketch_distance_counts_differing_values(spark, documents):
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:250], *(f"x{k}" for k in range(50))]), "other words altogether here"]
+    docs = documents(spark, texts)
+    rows = minhash.signed(docs, docs["doc_id"], docs["text"])
+    values = many(texts)
+    both = rows.alias("a").join(rows.alias("b"), F.expr("a.doc_id < b.doc_id"))
+    got = both.select("a.doc_id", "b.doc_id", minhash.sketch_distance(F.col("a.sketch"), F.col("b.sketch"))).collect()
+    assert len(got) == 3
+    assert all(d == (((values[a] ^ values[b]) & 15) != 0).sum() for a, b, d in got)
