@@ -37,6 +37,13 @@ HEADLINE = [
     "sync_partitions",
     "landing_load",
     "ingest_stream",
+    "sync_partitions_full",
+    "merge_bucketed",
+    "lock_conflicts",
+    "cascade_delete",
+    "table_profile",
+    "ragged_records",
+    "stream_dedupe_rejects",
 ]
 
 
