@@ -16,6 +16,7 @@ from tablesync.operators.outcome import gathered
 CORRUPT = "_corrupt_record"
 # Half-written files (.tmp) never match.
 LANDED = "*.{json,jsonl}"
+BUCKETS = 16
 
 
 def ndjson_read(
@@ -89,6 +90,8 @@ def landing_write(
     ingest_date: str,
     *,
     partition_by: Sequence[str] = ("ingest_date",),
+    bucket_by: str | None = None,
+    buckets: int = BUCKETS,
     max_records_per_file: int = 1_000_000,
 ) -> None:
     """Append records as JSON lines under ``root``; no records, no files.
@@ -97,8 +100,16 @@ def landing_write(
     one. Files go by day only: a folder per account would mean one tiny file per
     account and task. The account stays in the record; pass
     ``("account_id", "ingest_date")`` for a folder per account.
+
+    That is for few accounts: every folder costs its own file, move and listing. With
+    ``bucket_by="account_id"`` the accounts share ``buckets`` folders
+    (``account_id_bucket=7``) however many they are, and stay in the record, NULL as well.
     """
     dated = records.withColumn("ingest_date", F.lit(ingest_date).cast("date"))
+    if bucket_by is not None:
+        bucket = f"{bucket_by}_bucket"
+        dated = dated.withColumn(bucket, F.pmod(F.xxhash64(bucket_by), F.lit(buckets)).cast("int"))
+        partition_by = (bucket, *partition_by)
     if len(partition_by) > 1:
         dated = gathered(dated, partition_by)
     writer = dated.write.mode("append").partitionBy(*partition_by)

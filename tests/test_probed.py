@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from helpers import fails
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync import functions as fn
 from tablesync.contract import ColumnContract as C
@@ -118,6 +119,27 @@ def test_landing_by_account_and_day(spark, rows, tmp_path):
     assert "PartitionFilters: [isnotnull(ingest_date" in loaded._jdf.queryExecution().toString()
 
 
+def test_landing_of_many_accounts_in_few_folders(spark, rows, tmp_path):
+    games = spark.range(300).selectExpr(
+        "IF(id = 7, NULL, id) AS account_id", "concat('g', id) AS url", "named_struct('username', 'ann') AS white"
+    )
+    root = tmp_path / "raw"
+    for day in ("2024-01-30", "2024-01-31"):
+        landing_write(games, str(root), day, bucket_by="account_id")
+    assert 1 < len(list(root.glob("account_id_bucket=*"))) <= 16
+    schema = T.StructType([T.StructField("account_id", T.LongType()), *GAME.fields])
+    loaded = landing_load(spark, str(root), schema, since="2024-01-31")
+    assert rows(loaded, "account_id", "url") == rows(games, "account_id", "url")
+
+
+def test_landing_query_has_no_folder_per_account(spark):
+    from catalog.queries import QUERIES
+
+    loaded = QUERIES["landing_load_since"](spark, "/root/testdata/sf0.01")
+    assert loaded.select("account_id").distinct().count() > 100
+    assert len({f.rsplit("/", 2)[0] for f in loaded.inputFiles()}) <= 16
+
+
 def test_catalog_defaults_are_no_difference(spark):
     contract = TableContract(
         "default", "with_defaults", (C("id", "integer"), C("q", "text", default="it's"), C("n", "integer", default=3))
