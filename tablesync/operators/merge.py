@@ -80,7 +80,17 @@ def absent_from(source: DataFrame, target: DataFrame, keys: list[str], *, unique
         # place and the next join can take whichever form suits their measured number.
         hits = held.join(source.select(*keys), keys, "left_semi")
         return source.join(hits if unique_target else hits.distinct(), keys, "left_anti")
-    return source.join(held if unique_target else key_set(target, keys), keys, "left_anti")
+    if unique_target:
+        return source.join(held, keys, "left_anti")
+    # AQE merges partitions by their compressed size. Keys compress so well that a merged partition sorts and hashes
+    # some fifty times as much; a number given by hand keeps the partitions as they are. No cut of a hot key is lost:
+    # the other side is grouped, and such a join is never cut. An anti join would slip below the repartition.
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mark = _HELD
+    while mark.lower() in {c.lower() for c in source.columns}:
+        mark = f"_{mark}"
+    held = key_set(target, keys).withColumn(mark, F.lit(True))
+    return source.repartition(parts, *keys).join(held, keys, "left").where(F.col(mark).isNull()).drop(mark)
 
 
 def merge(

@@ -150,6 +150,22 @@ def test_joins_on_a_key_that_may_be_hot_can_be_cut(spark, orders, no_broadcast):
     assert tree(orphan_accounts(accounts, bridge)).count("HashAggregate") == 2
 
 
+def test_absent_keys_are_not_merged_into_few_partitions(spark, orders, no_broadcast):
+    """What AQE merges by compressed size is many times as large in memory."""
+    accounts = orders.select(F.col("o_orderkey").alias("account_id"), F.lit("x").alias("_held"))
+    bridge = accounts.where("account_id % 2 = 0").select(F.lit(1).alias("user_id"), "account_id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        left = orphan_accounts(accounts.unionAll(accounts.limit(0)), bridge)
+        assert left.columns == ["account_id", "_held"]
+        got = left.select("account_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["account_id"] for r in got} == {r[0] for r in accounts.where("account_id % 2 <> 0").select("account_id").collect()}
+    assert len({r["p"] for r in got}) > 12
+
+
 def test_aqe_cuts_a_hot_account(spark, tmp_path, no_broadcast):
     conf = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
