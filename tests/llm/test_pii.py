@@ -2,8 +2,10 @@ import hashlib
 import re
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from tablesync.llm.pii import KINDS, PROPOSED, find_personal_data
+from tablesync.llm import pii
+from tablesync.llm.pii import KINDS, PROPOSED, find_personal_data, scored
 from tablesync.llm.queries import QUERIES
 from tablesync.llm.spans import find_spans
 
@@ -107,3 +109,25 @@ def test_labels_of_a_caller(spark, documents):
     labels = found.selectExpr("doc_id", "row", "kind", "start", "end", "value LIKE '%/%' AS is_personal")
     got = {r["doc_id"]: r["spans"] for r in find_personal_data(docs, labels=labels).collect()}
     assert got == {i: "phone:4:16" if i % 2 else "" for i in range(400)}
+
+
+def test_every_labelled_candidate_is_learned_from(spark, monkeypatch):
+    """12,000 candidates of a kind, of which a few have a form of their own: all weigh in fit and calibration."""
+    candidates = spark.range(12_000).selectExpr(
+        "id AS doc_id", "0L AS row", "'phone' AS kind", "4 AS start", "14 AS end", "'ref ' AS before", "'' AS after",
+        "CASE WHEN id % 100 = 0 THEN '555/1234' WHEN id % 2 = 0 THEN '(555) 1234' ELSE '5551234' END AS value",
+        "false AS finding", "id % 2 = 0 AS label",
+    )
+    seen = {}
+
+    class Trees(pii.GBTClassifier):
+        def fit(self, data, params=None):
+            n = "n" if "n" in data.columns else "1"
+            seen["n"], seen["rows"] = data.agg(F.expr(f"sum({n})"), F.count("*")).first()
+            return super().fit(data, params)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    held = F.pmod(F.xxhash64("doc_id", "row", "kind", "start", "end"), F.lit(pii.HELD_OUT)) == 0
+    judged = scored(candidates)
+    assert seen["n"] == candidates.where(~held).count() and seen["rows"] == 3
+    assert {r["doc_id"] for r in judged.where("accepted").collect()} == set(range(0, 12_000, 2))
