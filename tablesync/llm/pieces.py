@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
@@ -39,9 +39,10 @@ SIGN = "▁"
 UNIT = f"{SIGN}*[^{SIGN}]+|{SIGN}+"
 DICTIONARY_UNITS = 1 << 17
 DICTIONARY_CHARS = 24
-TASK_CACHE = 1 << 18
+TASK_CACHE = 1 << 16
 SHORT_UNIT = 128
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
 
 
 def piece_table(model: str = MODEL) -> list[tuple[str, int, float]]:
@@ -133,15 +134,15 @@ class Fold(dict):
 
     def __init__(self, known: dict[str, bytes], pieces: dict[str, tuple[float, int]], base: int):
         super().__init__(known)
-        self.known, self.base = known, base
+        self.n_known, self.base = len(known), base
         self.ids = {p: i for p, (_, i) in pieces.items()}
         self.rank = {p: rank for p, (rank, _) in pieces.items()}.get
         self.most = max(map(len, pieces))
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) > len(self.known) + TASK_CACHE:
-            self.clear()
-            self.update(self.known)
+        if len(self) >= self.n_known + TASK_CACHE:
+            while len(self) > self.n_known:
+                self.popitem()  # the newest first: the dictionary stays
         packed = np.array(self.fold(unit), dtype="<i4").tobytes()
         if len(unit) <= DICTIONARY_CHARS:
             self[unit] = packed
@@ -197,6 +198,14 @@ class Fold(dict):
         return [unit[i : after[i]] for i in range(n) if after[i] > 0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``. Whole texts in batches of Spark's 10,000 rows are tens
+    of MB, held by the JVM and the worker of every running task at once. Batches never change results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 Step = tuple[str, DataType, str, Callable[[pa.Array], pa.Array]]
 
 
@@ -204,6 +213,7 @@ def _with_columns(df: DataFrame, steps: list[Step], gone: tuple[str, ...] = ())
     """``df`` with columns (name, type, input column, function) made in order, a slice of rows at a time;
     columns in ``gone`` go, the others pass as they are."""
     ship_code(df.sparkSession)
+    small_batches(df.sparkSession)
     made = {name for name, *_ in steps}
     kept = [f for f in df.schema.fields if f.name not in made]
     out = StructType([*(f for f in kept if f.name not in gone), *(StructField(n, t) for n, t, *_ in steps)])
@@ -217,6 +227,8 @@ def _with_columns(df: DataFrame, steps: list[Step], gone: tuple[str, ...] = ())
                 for name, _, source, step in steps:
                     columns[name] = step(columns[source])
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+            # Else this batch is held while the next one comes in.
+            batch = part = columns = None
 
     return df.mapInArrow(run, out)
 

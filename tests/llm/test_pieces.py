@@ -3,7 +3,8 @@ import hashlib
 import pyarrow.parquet as pq
 import sentencepiece
 
-from tablesync.llm.pieces import MODEL, decode, encode, encode_units
+from tablesync.llm import pieces
+from tablesync.llm.pieces import MODEL, Fold, decode, encode, encode_units, first_byte, piece_table
 from tablesync.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,23 @@ def test_no_rows_and_clashing_columns(spark, documents):
     more = documents(spark, ["a b", None]).selectExpr("*", "'x' AS ids", "1 AS unit", "2 AS piece")
     got = decode(encode(more)).orderBy("doc_id").collect()
     assert [r["decoded"] for r in got] == ["a b", ""] and got[0]["unit"] == 1
+
+
+def test_workers_hold_little(spark, documents, monkeypatch):
+    """Whole texts come in small Arrow batches, and a worker keeps its dictionary with a bounded cache on top."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = documents(spark, [f"a b{i}" for i in range(3000)])
+        assert [list(r["ids"]) for r in encode(docs).orderBy("doc_id").collect()] == [LIBRARY.encode(f"a b{i}") for i in range(3000)]
+        assert int(spark.conf.get(name)) <= 1024
+    finally:
+        spark.conf.set(name, before)
+    monkeypatch.setattr(pieces, "TASK_CACHE", 10)
+    known = {"▁known": b"1234"}
+    fold = Fold(known, {p: (rank, i) for p, i, rank in piece_table()}, first_byte())
+    for i in range(50):
+        assert list(memoryview(fold[f"▁w{i}"]).cast("i")) == LIBRARY.encode(f"w{i}")
+        assert len(fold) <= 11 and fold["▁known"] == b"1234"
+    assert not any(d == known for d in vars(fold).values())
